@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from kelora.llm.common import stored
 
 WEIGHTS, MOST = (5.0, 2.0, 1.0), 3.0
-#: Documents in one bucket of the first flight, and fractional documents that may land together.
-BUCKET, LAST = 20_000, 2_000
+#: Documents of one source that fly together, about.
+BUCKET = 2_000
 EDGE = 1e-9
 COLUMNS = ["doc_id", "row", "source", "size", "draw", "p"]
 
