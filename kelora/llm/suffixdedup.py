@@ -232,7 +232,8 @@ def _finer(parts: DataFrame, length: int, width: int) -> DataFrame:
 def repeated_windows(docs: DataFrame, length: int = LENGTH, span: int = SPAN, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
     """(rid, lo, hi): ranges of window starts in each text of ``docs`` (rid, text) whose ``length`` bytes occur elsewhere."""
     places = stored(contexts(docs, length, span, gram), "contexts")
-    often = places.groupBy("key").agg(F.count("*").alias("total")).where("total > 1").select("key")
+    # written, so that both sides of the next join are plain exchanges and a hot anchor's partition can be split
+    often = stored(places.groupBy("key").agg(F.count("*").alias("total")).where("total > 1").select("key"), "often")
     places = stored(places.join(often, "key", "left_semi"), "places")
     one = F.min(F.struct("rid", "p", "lo", "hi")).alias("one")
     kinds = stored(places.groupBy("key", "ctx").agg(F.count("*").alias("cnt"), one), "kinds")
