@@ -12,7 +12,14 @@ from pyspark.sql import functions as F
 TRAIN_ROWS = 20_000
 
 
+#: Rows of one Arrow batch: whole documents are long, so a batch holds few of them.
+ARROW_ROWS = "1000"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of ``sf_dir``; also lowers the session's Arrow batch to ARROW_ROWS, unless the user set it."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -37,6 +44,15 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def bounded(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """About ``rows`` rows of ``df``, chosen by a hash of ``keys`` below a share; all of them where there are fewer.
+
+    The share is taken from the table's row count, so neither a sort nor the driver sees more than the sample.
+    """
+    n = df.count()
+    return df if n <= rows else df.where(F.xxhash64(*keys) / 2.0**64 + 0.5 < rows / n)
+
+
 def training_docs(docs: DataFrame, labels: DataFrame, label: str, rows: int = TRAIN_ROWS) -> DataFrame:
     """(text, label) of at most ``rows`` labelled documents that are not held out.
 
@@ -44,7 +60,7 @@ def training_docs(docs: DataFrame, labels: DataFrame, label: str, rows: int = TR
     A document labelled more than once takes its largest label; null ids and null labels are not used.
     """
     chosen = (
-        labels.select(F.col("doc_id").alias("doc_id"), F.col(label).cast("int").alias("label"))
+        bounded(labels, 2 * rows, "doc_id").select(F.col("doc_id").alias("doc_id"), F.col(label).cast("int").alias("label"))
         .where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & ~held_out())
         .groupBy("doc_id").agg(F.max("label").alias("label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)

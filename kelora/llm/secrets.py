@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kelora.llm.common import TRAIN_ROWS
+from kelora.llm.common import TRAIN_ROWS, bounded
 
 # fixed patterns and word lists
 CANDIDATE = re.compile(r"""(?x)
@@ -35,6 +35,8 @@ WORDY = re.compile(r"[A-Za-z]{3,}")
 
 N_FEATURES = 17
 TREES, DEPTH, LEAST = 40, 7, 4
+#: Most documents that are searched for training findings.
+TRAIN_DOCS = 100_000
 REDACTED = "[SECRET]"
 
 
@@ -167,7 +169,7 @@ class Forest:
 
 
 def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> Forest | None:
-    """A forest from the ``rows`` findings of smallest hash, all labels by strict rules; None where there is no finding."""
+    """A forest from at most ``rows`` findings in about TRAIN_DOCS documents, all labels by strict rules; None without findings."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -178,7 +180,7 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> Forest | None:
                     out += [(x, y, seed) for x, y in labelled(value, before, after, seed)]
             yield pd.DataFrame(out, columns=["x", "y", "seed"])
 
-    found = docs.select("text").mapInPandas(run, "x array<double>, y int, seed long")
+    found = bounded(docs, TRAIN_DOCS, "doc_id").select("text").mapInPandas(run, "x array<double>, y int, seed long")
     got = found.distinct().orderBy(F.xxhash64("seed", "y"), "x").limit(rows).toPandas()
     if not len(got) or got["y"].nunique() < 2:
         return None

@@ -39,7 +39,7 @@ LETTERS = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 STEM_LENGTHS = (4, 5, 6, 7)
 #: Most stems the learned lexicon keeps; the model that is sent to executors is bounded by it.
 MAX_STEMS = 4000
-CACHE_WORDS = 400_000
+CACHE_WORDS = 60_000
 
 
 class Transducer:
@@ -127,10 +127,12 @@ class Words(dict):
             weight = 1.0 if kind in (INSULT, THREAT) else 0.0
         if kind == PLAIN and ('"' in word or "“" in word or "”" in word):
             kind = QUOTE
-        self[word] = out = (kind, weight, bool(CLAUSE_END.search(word)))
+        ends = bool(CLAUSE_END.search(word))
+        self[word] = out = (kind, weight, ends) if kind != PLAIN else _PLAIN[ends]  # most words share one value
         return out
 
 
+_PLAIN = {False: (PLAIN, 0.0, False), True: (PLAIN, 0.0, True)}
 _INSULTS, _THREATS, _TARGETS, _NEGATORS, _SAYERS = map(frozenset, (SEED_INSULTS, SEED_THREATS, TARGETS, NEGATORS, SAYERS))
 
 
