@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from kelora.plans import evidence, network, statements  # noqa: F401  (importing registers their queries)
+from kelora.plans.registry import ORACLES, QUERIES  # noqa: F401
+
 FLAGSHIP = "q_agg02_noisy_or"
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
