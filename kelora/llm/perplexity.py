@@ -201,7 +201,7 @@ def op6(docs: DataFrame) -> DataFrame:
 
     counted = stored(scored.mapInPandas(run, "doc_id long, lang string, n_bytes long, log_ppl double, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"), "counted")
     limits = F.broadcast(bands(counted))  # one row a language, checked when its histogram was read
-    room = F.lit(BAND_BYTES) / F.sqrt("n_bytes")
+    room = F.lit(BAND_BYTES) / F.sqrt(F.greatest(F.col("n_bytes"), F.lit(1)))
     low = F.col("mid") - F.col("spread") * BAND_LOW - room
     high = F.col("mid") + F.col("spread") * BAND_HIGH + room
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))

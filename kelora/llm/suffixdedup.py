@@ -219,7 +219,7 @@ def _finer(parts: DataFrame, length: int, width: int) -> DataFrame:
                 for rid, p, lo, hi, body in b[["rid", "p", "lo", "hi", "body"]].iloc[i : i + 256].itertuples(index=False):
                     for d0 in range((p - hi) // width * width, p - lo + 1, width):
                         a, z = max(lo, p - d0 - width + 1), min(hi, p - d0)  # window starts of the block
-                        common = body[p - d0 - lo : p - d0 - width + 1 - lo + length] if p - d0 >= lo else b""
+                        common = body[p - d0 - lo : max(0, p - d0 - width + 1 - lo + length)]  # empty where a block is wider than a window
                         own = body[a - lo : z - lo + length]
                         key = hashlib.blake2b(b"%d.%d." % (width, d0) + common, digest_size=8).digest()
                         ctx = hashlib.blake2b(b"%d.%d." % (p - a, p - z) + own, digest_size=8).digest()
