@@ -109,7 +109,11 @@ def _buffers(texts: list[bytes], length: int):
 
 
 def contexts(docs: DataFrame, length: int, span: int, gram: int) -> DataFrame:
-    """(rid, key, ctx, p, lo, hi, n): the distinct contexts of each text; n is 2 where one occurs again in the same text."""
+    """(rid, key, ctx, p, lo, hi, n): the distinct contexts of each text, n the times one occurs in it.
+
+    Rows with n = 0 are not contexts: they are the window ranges, merged where they meet, of contexts that a text itself
+    repeats. Periodic texts repeat one context thousands of times; so they cost a few rows, not one per period.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -121,9 +125,17 @@ def contexts(docs: DataFrame, length: int, span: int, gram: int) -> DataFrame:
                 starts = np.array([a for _, a, _ in places])
                 which = np.searchsorted(starts, lo, "right") - 1
                 shift = np.array([c - a for _, a, c in places])[which]
-                yield pd.DataFrame({"rid": rid[np.array([r for r, _, _ in places])[which]], "key": key.view(np.int64), "ctx": ctx.view(np.int64), "p": p + shift, "lo": lo + shift, "hi": hi + shift})
+                who = rid[np.array([r for r, _, _ in places])[which]]
+                _, first, back, times = np.unique(ctx ^ (which + 1).astype(np.uint64) * np.uint64(_INVERSE), return_index=True, return_inverse=True, return_counts=True)
+                yield pd.DataFrame({"rid": who[first], "key": key[first].view(np.int64), "ctx": ctx[first].view(np.int64), "p": (p + shift)[first], "lo": (lo + shift)[first], "hi": (hi + shift)[first], "n": times})
+                own = np.flatnonzero(times[back] > 1)
+                if len(own):
+                    new = np.ones(len(own), bool)
+                    new[1:] = (which[own][1:] != which[own][:-1]) | (lo[own][1:] > hi[own][:-1] + 1)
+                    a, z = own[new], own[np.append(np.flatnonzero(new)[1:] - 1, len(own) - 1)]
+                    yield pd.DataFrame({"rid": who[a], "key": 0, "ctx": 0, "p": 0, "lo": (lo + shift)[a], "hi": (hi + shift)[z], "n": 0})
 
-    return docs.select("rid", "text").mapInPandas(run, "rid long, key long, ctx long, p int, lo int, hi int")
+    return docs.select("rid", "text").mapInPandas(run, "rid long, key long, ctx long, p int, lo int, hi int, n int")
 
 
 def column_wise(texts: list[bytes], shift: np.ndarray, d_high: np.ndarray, d_low: np.ndarray, length: int) -> np.ndarray:
@@ -231,12 +243,13 @@ def _finer(parts: DataFrame, length: int, width: int) -> DataFrame:
 
 def repeated_windows(docs: DataFrame, length: int = LENGTH, span: int = SPAN, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
     """(rid, lo, hi): ranges of window starts in each text of ``docs`` (rid, text) whose ``length`` bytes occur elsewhere."""
-    places = stored(contexts(docs, length, span, gram), "contexts")
+    found = stored(contexts(docs, length, span, gram), "contexts")
+    inside, places = found.where("n = 0").select("rid", "lo", "hi"), found.where("n > 0")
     # written, so that both sides of the next join are plain exchanges and a hot anchor's partition can be split
-    often = stored(places.groupBy("key").agg(F.count("*").alias("total")).where("total > 1").select("key"), "often")
+    often = stored(places.groupBy("key").agg(F.sum("n").alias("total")).where("total > 1").select("key"), "often")
     places = stored(places.join(often, "key", "left_semi"), "places")
     one = F.min(F.struct("rid", "p", "lo", "hi")).alias("one")
-    kinds = stored(places.groupBy("key", "ctx").agg(F.count("*").alias("cnt"), one), "kinds")
+    kinds = stored(places.groupBy("key", "ctx").agg(F.sum("n").alias("cnt"), one), "kinds")
     whole = places.join(kinds.where("cnt > 1").select("key", "ctx"), ["key", "ctx"], "left_semi").select("rid", "lo", "hi")
     many = kinds.groupBy("key").agg(F.count("*").alias("kinds"), F.min("cnt").alias("least")).where("kinds > 1 and least = 1").select("key", "kinds")
     asked = kinds.join(many, "key").select("one.*", "key", "ctx", "cnt", "kinds")
@@ -251,7 +264,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, span: int = SPAN, gr
     kind = "rid long, key long, ctx long, cnt long, kinds long, p int, lo int, hi int, body binary"
     parts = docs.join(wanted.hint("shuffle_hash"), "rid").select("rid", "text", "want").mapInPandas(bodies, kind)
     parts = stored(parts.dropDuplicates(["key", "ctx"]), "parts")
-    found = whole.unionByName(_sorted_shards(parts.where(F.col("kinds") <= shard), length, shard))
+    found = inside.unionByName(whole).unionByName(_sorted_shards(parts.where(F.col("kinds") <= shard), length, shard))
     dense = parts.where(F.col("kinds") > shard)
     for width in (32, 4, 1):
         if dense.isEmpty():
