@@ -23,6 +23,8 @@ WEIGHTS, MOST = (5.0, 2.0, 1.0), 3.0
 #: Documents of one source that fly together, about.
 BUCKET = 2_000
 EDGE = 1e-9
+#: Drawn documents that may be swapped at the landing to make up for a long one that landed.
+LANDINGS = 4
 COLUMNS = ["doc_id", "row", "source", "size", "draw", "p"]
 
 
@@ -47,8 +49,12 @@ def targets(sizes: dict, weights: tuple = WEIGHTS, most: float = MOST) -> dict:
 
 
 def flight(p: np.ndarray, size: np.ndarray, draws: np.ndarray, land: bool) -> np.ndarray:
-    """Move ``p`` (each in 0..1) to 0 or 1, keeping sum(p) and sum(p * size); at most two stay fractional unless ``land``."""
-    p, size = p.astype(float).tolist(), size.astype(float).tolist()
+    """Move ``p`` (each in 0..1) to 0 or 1, keeping sum(p) and sum(p * size); at most two stay fractional unless ``land``.
+
+    Landing rounds those two and then changes at most LANDINGS documents so that the words come near their total again.
+    """
+    start, sizes = p.astype(float), size.astype(float)
+    p, size = start.tolist(), sizes.tolist()
     live: list[int] = []
     for i in range(len(p)):
         if EDGE < p[i] < 1 - EDGE:
@@ -73,7 +79,17 @@ def flight(p: np.ndarray, size: np.ndarray, draws: np.ndarray, land: bool) -> np
         best = min(range(1 << len(live)), key=lambda m: (abs(sum(size[k] for j, k in enumerate(live) if m >> j & 1) - want), m))
         for j, k in enumerate(live):
             p[k] = float(best >> j & 1)
-    return np.array(p)
+    out = np.array(p)
+    if land:
+        free = np.flatnonzero((start > EDGE) & (start < 1 - EDGE))
+        for _ in range(LANDINGS if len(free) else 0):
+            off = float((out * sizes).sum() - (start * sizes).sum())
+            after = np.abs(off + np.where(out[free] > 0.5, -sizes[free], sizes[free]))
+            i = int(after.argmin())
+            if after[i] >= abs(off):
+                break
+            out[free[i]] = 1 - out[free[i]]
+    return out
 
 
 def _flown(fly: DataFrame, keys: list[str], land: bool) -> DataFrame:
