@@ -87,3 +87,26 @@ def walk_seconds(metres: Column) -> Column:
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float = K.EARTH_M) -> Column:
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), F.lit(2.0)) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), F.lit(2.0))
     return 2 * radius * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
+
+
+def consequence(severity: Column, issue: Column) -> Column:
+    """Weight of a disruption's consequence, 0 to 1."""
+    worst = max(K.SEVERITY.values()) - 1
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), (lookup(severity, K.SEVERITY, 1.0) - 1) / worst * lookup(issue, K.ISSUE, 0.5)))
+
+
+def _times32(a: Column, b: Column) -> Column:
+    """Product of two unsigned 32-bit numbers modulo 2^32, in halves so that no long overflows."""
+    mask = F.lit((1 << 32) - 1)
+    high = (F.shiftright(a, 16) * b).bitwiseAND(F.lit(0xFFFF)) * F.lit(1 << 16).cast("long")
+    return (high + a.bitwiseAND(F.lit(0xFFFF)) * b).bitwiseAND(mask)
+
+
+def draw(seed: Column, n: Column) -> Column:
+    """The n-th uniform draw (from 0) of the mulberry32 generator, seeded by the first 32 bits of SHA-256."""
+    mask = F.lit((1 << 32) - 1)
+    start = F.conv(F.substring(F.sha2(seed.cast("binary"), 256), 1, 8), 16, 10).cast("long")
+    a = (start + (n + 1) * F.lit(0x6D2B79F5)).bitwiseAND(mask)
+    b = _times32(a.bitwiseXOR(F.shiftright(a, 15)), a.bitwiseOR(F.lit(1).cast("long")))
+    c = b.bitwiseXOR((b + _times32(b.bitwiseXOR(F.shiftright(b, 7)), b.bitwiseOR(F.lit(61).cast("long")))).bitwiseAND(mask))
+    return c.bitwiseXOR(F.shiftright(c, 14)) / 4294967296.0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,3 +55,55 @@ def language(text: Column) -> Column:
     votes = [(F.size(F.filter(words, lambda w, s=s: w.isin(*s.split()))), k) for k, s in STOPWORDS.items()]
     best = F.greatest(*(v for v, _ in votes))
     return F.when(best > 0, F.coalesce(*(F.when(v == best, F.lit(k)) for v, k in votes)))
+
+
+_MARKED = [c for c in map(chr, range(0xC0, 0x250)) if unicodedata.normalize("NFKD", c)[0] in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz" and all(map(unicodedata.combining, unicodedata.normalize("NFKD", c)[1:]))]
+_PLAIN = [unicodedata.normalize("NFKD", c)[0] for c in _MARKED]
+
+
+def folded(x: Column) -> Column:
+    """Upper case without diacritics; only letters, digits and ``'-.!?;`` are kept, spaces squeezed."""
+    x = F.regexp_replace(F.translate(x, "".join(_MARKED), "".join(_PLAIN)), r"[\u0300-\u036f]", "")
+    x = F.translate(F.upper(x), "\u2018\u2019", "''")
+    return F.trim(F.regexp_replace(F.regexp_replace(x, r"[^A-Z0-9'\- .!?;]+", " "), r"\s+", " "))
+
+
+def display_name(x: Column, acronyms: list[str]) -> Column:
+    """Title case word by word; acronyms are upper case and words of mixed case stay as they are."""
+    parts = F.regexp_extract_all(F.trim(F.regexp_replace(x, r"\s+", " ")), F.lit("([^ -]+|[ -])"), F.lit(1))
+
+    def shown(t):
+        title = F.concat(F.upper(F.substring(t, 1, 1)), F.lower(F.substr(t, F.lit(2))))
+        return F.when(F.upper(t).isin(*acronyms), F.upper(t)).when((t != F.upper(t)) & (t != F.lower(t)), t).otherwise(title)
+
+    return F.array_join(F.transform(parts, shown), "")
+
+
+def position_hash(vehicle: Column, trip: Column, route: Column, lat: Column, lon: Column, bearing: Column, speed: Column, at: Column) -> Column:
+    """SHA-256 over a vehicle position: six decimals for places, three for motion, empty for null."""
+    fixed = lambda c, n: F.coalesce(F.format_string(f"%.{n}f", c), F.lit(""))
+    motion = lambda c: F.when(c.isNull(), "").otherwise(fixed(c, 3))
+    parts = [vehicle, F.coalesce(trip, F.lit("")), F.coalesce(route, F.lit("")), fixed(lat, 6), fixed(lon, 6), motion(bearing), motion(speed), at.cast("string")]
+    return F.sha2(F.concat_ws("\u0001", *parts).cast("binary"), 256)
+
+
+def lenient_seconds(x: Column) -> Column:
+    """H:M[:S] to seconds without a range check; null where the text is no clock time."""
+    part = lambda i: F.regexp_extract(x, r"^(\d+):(\d+)(?::(\d+))?$", i)
+    s = F.when(part(3) == "", F.lit(0).cast("long")).otherwise(part(3).try_cast("long"))
+    return part(1).try_cast("long") * 3600 + part(2).try_cast("long") * 60 + s
+
+
+def hour24(hour: Column, part: Column) -> Column:
+    """The hour of 24 of an hour with a Malay part of the day; without one it stays."""
+    m = F.coalesce(F.regexp_replace(F.lower(part), r"\s+", " "), F.lit(""))
+    before = m.isin("tengah malam", "pagi", "subuh", "malam")
+    after = m.isin("tengah hari", "tengahari", "petang", "malam")
+    return F.when(before & (hour == 12), 0).when(after & (hour < 12), hour + 12).otherwise(hour)
+
+
+def document_date(x: Column) -> Column:
+    """``D:YYYY[MM[DD[HH[MM[SS]]]]]`` at +08:00 as UTC; null where it cannot be read."""
+    part = lambda i, low: F.coalesce(F.nullif(F.regexp_extract(x, r"^D:(\d{4})(\d{2})?(\d{2})?(\d{2})?(\d{2})?(\d{2})?", i), F.lit("")), F.lit(low))
+    stamp = F.concat(part(1, ""), F.lit("-"), part(2, "01"), F.lit("-"), part(3, "01"), F.lit(" "), part(4, "00"), F.lit(":"), part(5, "00"), F.lit(":"), part(6, "00"))
+    return stamp.try_cast("timestamp_ntz") - F.expr("interval 8 hours")
