@@ -1,8 +1,8 @@
 """Secret scans: candidates by pattern, then a random forest that removes false positives.
 
 Candidates are assigned values, quoted strings and long mixed tokens of a whole text. The forest sees candidate length,
-character transitions, entropy, dictionary coverage, path-like shape and neighbouring words. It is trained on labelled
-findings: a bounded sample of the corpus' own candidates labelled by strict rules (provider formats and keyworded keys
+character transitions, entropy, dictionary coverage, path-like shape and neighbouring words. The dictionary is the
+DICTIONARY most frequent words of all documents, counted by Spark. The forest is trained on labelled findings: a bounded sample of the corpus' own candidates labelled by strict rules (provider formats and keyworded keys
 are secrets; paths, addresses, counters, plain words and placeholders are not), and variants of them with a keyword
 removed, the quotes dropped or the value replaced by ordinary words, so no single feature decides.
 """
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,15 +34,58 @@ HARMLESS = "example sample placeholder dummy checksum sha1 sha256 md5 commit rev
 EMAIL = re.compile(r"^[^@\s]+@[^@\s]+\.[^@\s]+$")
 WORDY = re.compile(r"[A-Za-z]{3,}")
 
-N_FEATURES = 17
+N_FEATURES = 18
+#: Words of the dictionary; this bounds what the driver collects and the executors receive.
+DICTIONARY = 20_000
+WORD_LENGTHS = (4, 20)
+#: Distinct words a task counts before it hands them to Spark.
+COUNTED_WORDS = 200_000
 TREES, DEPTH, LEAST = 40, 7, 4
 #: Most documents that are searched for training findings.
 TRAIN_DOCS = 100_000
 REDACTED = "[SECRET]"
 
 
-def shape(value: str, before: str, after: str) -> list[float]:
-    """The features of one candidate and the text around it (40 characters on either side)."""
+def dictionary(docs: DataFrame, size: int = DICTIONARY) -> frozenset[str]:
+    """The ``size`` most frequent lower-case words (letters only) of all texts; ties by word. Empty for no texts."""
+    least, most = WORD_LENGTHS
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: Counter = Counter()
+
+        def flush() -> pd.DataFrame:
+            words: Counter = Counter()
+            for token, n in seen.items():
+                word = token.strip(".,;:!?()[]\"'")
+                if word.isalpha() and least <= len(word) <= most:
+                    words[word.lower()] += n
+            seen.clear()
+            return pd.DataFrame({"word": np.array(list(words), object), "n": np.array(list(words.values()), np.int64)}).astype({"word": object})
+
+        for b in batches:
+            for text in b["text"]:
+                seen.update((text or "").split())
+                if len(seen) > COUNTED_WORDS:
+                    yield flush()
+        yield flush()
+
+    counted = docs.select("text").mapInPandas(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return frozenset(r.word for r in counted.orderBy(F.desc("n"), "word").limit(size).collect())
+
+
+def coverage(value: str, words: frozenset[str]) -> float:
+    """The share of ``value``'s characters inside dictionary words, longest first from the left of each run of letters."""
+    covered = 0
+    for run in WORDY.findall(value.lower()):
+        at = 0
+        while at + WORD_LENGTHS[0] <= len(run):
+            n = next((k for k in range(min(WORD_LENGTHS[1], len(run) - at), WORD_LENGTHS[0] - 1, -1) if run[at : at + k] in words), 0)
+            covered, at = covered + n, at + (n or 1)
+    return covered / max(1, len(value))
+
+
+def shape(value: str, before: str, after: str, known: frozenset[str] = frozenset()) -> list[float]:
+    """The features of one candidate and the text around it (40 characters on either side); ``known`` is the dictionary."""
     kinds = [0 if c.isdigit() else 1 if c.islower() else 2 if c.isupper() else 3 for c in value]
     n = len(value)
     counts: dict[str, int] = {}
@@ -57,6 +101,7 @@ def shape(value: str, before: str, after: str) -> list[float]:
         sum(map(len, words)) / n, float(max(map(len, words), default=0)), vowels, len(counts) / n,
         float("@" in value), float(value.count(".") + value.count("/")), float(any(w in KEYWORDS for w in near)), float(any(w in HARMLESS for w in near)),
         float(before.rstrip()[-1:] in ("=", ":") or before.rstrip().rstrip("\"'").rstrip()[-1:] in ("=", ":")), float(before[-1:] in ("'", '"') and after[:1] in ("'", '"')),
+        coverage(value, known),
     ]
 
 
@@ -84,37 +129,38 @@ def strict_label(value: str, before: str, after: str) -> int | None:
     return None
 
 
-def labelled(value: str, before: str, after: str, seed: int) -> list[tuple[list[float], int]]:
+def labelled(value: str, before: str, after: str, seed: int, known: frozenset[str] = frozenset()) -> list[tuple[list[float], int]]:
     """Training findings of one candidate: itself and variants whose label is known."""
+    form = lambda *of: shape(*of, known)
     label = strict_label(value, before, after)
     if label is None:
         return []
-    out = [(shape(value, before, after), label)]
+    out = [(form(value, before, after), label)]
     rng = np.random.default_rng(seed & 0xFFFFFFFF)
     if label:
         words = re.findall(r"[^\W\d_]{3,}", before + " " + after) or ["plain", "words"]
         plain = "_".join(rng.permutation(words)[:4].tolist())
-        out.append((shape(plain[:60], before, after), 0))  # an assigned value of ordinary words: a placeholder
+        out.append((form(plain[:60], before, after), 0))  # an assigned value of ordinary words: a placeholder
         mail = f"{words[0]}{int(rng.integers(100))}@{words[-1]}.example.com"
-        out.append((shape(mail, " ".join(words[:3]) + " ", " "), 0))
+        out.append((form(mail, " ".join(words[:3]) + " ", " "), 0))
         for cut in (16, 24, 32):
             if len(value) > cut:
-                out.append((shape(value[:cut], before, after), 1))
+                out.append((form(value[:cut], before, after), 1))
         upper = value.upper() if rng.integers(2) else value
-        out.append((shape(upper, before.upper() if rng.integers(2) else before, after), 1))
+        out.append((form(upper, before.upper() if rng.integers(2) else before, after), 1))
         number = "".join(map(str, rng.integers(0, 10, 16)))
-        out.append((shape(number[:14] + "a", "the ", " "), 0))
+        out.append((form(number[:14] + "a", "the ", " "), 0))
     return out
 
 
 class Forest:
     """A random forest of axis-parallel trees as flat arrays, grown by Gini impurity on random features."""
 
-    def __init__(self, feature, cut, left, right, value):
-        self.feature, self.cut, self.left, self.right, self.value = feature, cut, left, right, value
+    def __init__(self, feature, cut, left, right, value, known: frozenset[str] = frozenset()):
+        self.feature, self.cut, self.left, self.right, self.value, self.known = feature, cut, left, right, value, known
 
     @classmethod
-    def grown(cls, x: np.ndarray, y: np.ndarray, seed: int = 5) -> "Forest":
+    def grown(cls, x: np.ndarray, y: np.ndarray, known: frozenset[str] = frozenset(), seed: int = 5) -> "Forest":
         rng = np.random.default_rng(seed)
         trees = [cls._tree(x, y, rng.integers(0, len(x), len(x)), rng) for _ in range(TREES)]
         size = max(len(t) for t in trees)
@@ -123,7 +169,7 @@ class Forest:
             for j, node in enumerate(tree):
                 for k, v in enumerate(node):
                     out[k][i, j] = v
-        return cls(*out)
+        return cls(*out, known)
 
     @staticmethod
     def _tree(x, y, rows, rng) -> list[list]:
@@ -170,6 +216,7 @@ class Forest:
 
 def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> Forest | None:
     """A forest from at most ``rows`` findings in about TRAIN_DOCS documents, all labels by strict rules; None without findings."""
+    known = dictionary(docs)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -177,14 +224,14 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> Forest | None:
             for text in b["text"]:
                 for start, value, before, after in candidates(text):
                     seed = hash_of(value)
-                    out += [(x, y, seed) for x, y in labelled(value, before, after, seed)]
+                    out += [(x, y, seed) for x, y in labelled(value, before, after, seed, known)]
             yield pd.DataFrame(out, columns=["x", "y", "seed"])
 
     found = bounded(docs, TRAIN_DOCS, "doc_id").select("text").mapInPandas(run, "x array<double>, y int, seed long")
     got = found.distinct().orderBy(F.xxhash64("seed", "y"), "x").limit(rows).toPandas()
     if not len(got) or got["y"].nunique() < 2:
         return None
-    return Forest.grown(np.vstack(got["x"]), got["y"].to_numpy(float))
+    return Forest.grown(np.vstack(got["x"]), got["y"].to_numpy(float), known)
 
 
 def hash_of(value: str) -> int:
@@ -199,7 +246,7 @@ def probabilities(found: list[tuple[int, str, str, str]], forest: Forest | None)
         return np.zeros(0)
     if forest is None:
         return np.array([float(strict_label(*f[1:]) or 0) for f in found])
-    return forest(np.array([shape(*f[1:]) for f in found]))
+    return forest(np.array([shape(*f[1:], forest.known) for f in found]))
 
 
 def findings(docs: DataFrame, forest: Forest | None) -> DataFrame:

@@ -89,6 +89,15 @@ def test_media_round_trip(spark, sf):
     assert packets and all(p.length == matroska.FRAME and p.track == 1 for p in packets)
 
 
+def test_secret_dictionary(spark):
+    docs = spark.createDataFrame([(1, "Plain words, plain river. a1b2"), (2, None), (3, ""), (4, "river (Words) plain x")], "doc_id long, text string")
+    assert secrets.dictionary(docs) == {"plain", "words", "river"} and secrets.dictionary(docs, 1) == {"plain"}
+    assert secrets.dictionary(docs.limit(0)) == frozenset()
+    known = frozenset({"plain", "river", "rive"})
+    assert secrets.coverage("plain_river99", known) == 10 / 13 and secrets.coverage("xxplainriver", known) == 10 / 12
+    assert secrets.coverage("9f8e7d6c5b4a", known) == 0.0 and secrets.coverage("", known) == 0.0
+
+
 def test_secrets(spark):
     key = hashlib.sha1(b"k").hexdigest()
     texts = [f'and token = "{hashlib.sha1(str(i).encode()).hexdigest()}" more words{i}@mail.example.com here' for i in range(60)]
