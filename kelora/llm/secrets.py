@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kelora.llm.common import TRAIN_ROWS, bounded
+from kelora.llm.common import TRAIN_ROWS, bounded, stored
 
 # fixed patterns and word lists
 CANDIDATE = re.compile(r"""(?x)
@@ -47,7 +47,11 @@ REDACTED = "[SECRET]"
 
 
 def dictionary(docs: DataFrame, size: int = DICTIONARY) -> frozenset[str]:
-    """The ``size`` most frequent lower-case words (letters only) of all texts; ties by word. Empty for no texts."""
+    """At most ``size`` words (lower-case, letters only, found twice or more) of all texts, the most frequent ones.
+
+    Frequencies are cut between logarithmic steps, whose number is bounded, so tied words stay or go together and the
+    driver receives the steps and the chosen words only. Empty for no texts.
+    """
     least, most = WORD_LENGTHS
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -70,7 +74,14 @@ def dictionary(docs: DataFrame, size: int = DICTIONARY) -> frozenset[str]:
         yield flush()
 
     counted = docs.select("text").mapInPandas(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return frozenset(r.word for r in counted.orderBy(F.desc("n"), "word").limit(size).collect())
+    counted = stored(counted.where("n > 1").withColumn("step", F.floor(F.log("n") * 64)), "words")
+    total, cut = 0, None
+    for r in sorted(counted.groupBy("step").agg(F.count("*").alias("words")).collect(), key=lambda r: -r.step):  # under 3,000 rows
+        total += r.words
+        if total > size:
+            break
+        cut = r.step
+    return frozenset(r.word for r in counted.where(F.col("step") >= cut).select("word").collect()) if cut is not None else frozenset()
 
 
 def coverage(value: str, words: frozenset[str]) -> float:
