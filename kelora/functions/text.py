@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -107,3 +108,32 @@ def document_date(x: Column) -> Column:
     part = lambda i, low: F.coalesce(F.nullif(F.regexp_extract(x, r"^D:(\d{4})(\d{2})?(\d{2})?(\d{2})?(\d{2})?(\d{2})?", i), F.lit("")), F.lit(low))
     stamp = F.concat(part(1, ""), F.lit("-"), part(2, "01"), F.lit("-"), part(3, "01"), F.lit(" "), part(4, "00"), F.lit(":"), part(5, "00"), F.lit(":"), part(6, "00"))
     return stamp.try_cast("timestamp_ntz") - F.expr("interval 8 hours")
+
+
+def swaps_counted(a: str, b: str) -> int:
+    """Edit distance in which a swap of two neighbours is one edit and no part is edited twice."""
+    before, row = [], list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            best = min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (x != y))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                best = min(best, before[j - 2] + 1)
+            new.append(best)
+        before, row = row, new
+    return row[-1]
+
+
+def typo_distance(a: Column, b: Column, budget: Column) -> Column:
+    """The distance of ``swaps_counted`` where it is at most ``budget``, else null.
+
+    A swap costs at most two plain edits, so the built-in distance rules out most pairs before Python sees them.
+    """
+
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None or q is None else swaps_counted(p, q) for p, q in zip(x, y)], dtype="Int64")
+
+    near = F.levenshtein(a, b) <= 2 * budget
+    # the branch not taken reaches the Arrow batch as nulls, which cost nothing
+    d = F.pandas_udf(run, "long")(F.when(near, a), F.when(near, b))
+    return F.when(d <= budget, d)

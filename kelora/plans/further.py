@@ -467,3 +467,13 @@ def overlay_diagnostics(spark, d):
     e = read(spark, d, "events").select("event_type", F.get_json_object("props", "$.k").cast("int").alias("k")).join(known, "k", "left")
     kind = F.when(F.col("event_type") == "signup", "inactive").when(F.col("known").isNull(), "orphan").otherwise("applied")
     return e.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query("q_str08_typo_distance")
+def typo_distance(spark, d):  # each name against its neighbour's and against itself with two letters swapped
+    p = read(spark, d, "part").select("p_partkey", "p_name")
+    nxt = p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("mention"))
+    swapped = p.select("p_partkey", F.concat(F.substring("p_name", 2, 1), F.substring("p_name", 1, 1), F.substr("p_name", F.lit(3))).alias("mention"))
+    pairs = p.join(nxt.unionByName(swapped), "p_partkey")
+    budget = F.when(F.length("p_name") >= 8, 2).otherwise(1)
+    return pairs.select("p_partkey", "p_name", "mention", text.typo_distance(F.col("p_name"), F.col("mention"), budget).alias("distance"))

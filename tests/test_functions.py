@@ -48,3 +48,28 @@ def test_bands_and_walk(spark):
 
 def test_haversine(spark):
     assert abs(one(spark, risk.haversine(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0))) - 111195.08) < 0.5
+
+
+def test_typo_distance(spark, sf):
+    from functools import lru_cache
+
+    from kelora import catalog
+    from kelora.functions import text
+
+    def brute(a, b):
+        @lru_cache(None)
+        def d(i, j):
+            if not i or not j:
+                return i + j
+            best = min(d(i - 1, j) + 1, d(i, j - 1) + 1, d(i - 1, j - 1) + (a[i - 1] != b[j - 1]))
+            return min(best, d(i - 2, j - 2) + 1) if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1] else best
+
+        return d(len(a), len(b))
+
+    assert text.swaps_counted("abcd", "abdc") == 1 and text.swaps_counted("ca", "abc") == 3 and text.swaps_counted("", "ab") == 2
+    rows = catalog.QUERIES["q_str08_typo_distance"](spark, sf).collect()
+    n = spark.read.parquet(f"{sf}/part.parquet").count()
+    assert len(rows) == 2 * n - 1
+    for r in rows:
+        want = brute(r.p_name, r.mention)
+        assert r.distance == (want if want <= (2 if len(r.p_name) >= 8 else 1) else None)
