@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame) -> DataFrame:
     """Cut the lineage with a table in the shared checkpoint folder."""
     spark = df.sparkSession
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("kelora.scratch.dir", None)
@@ -23,13 +23,13 @@ def _written(df: DataFrame) -> DataFrame:
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, root): the smallest id reachable from each id of ``nodes``; ``edges`` has a, b. Rounds grow with the log of the diameter."""
-    both = _written(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
-    label = _written(nodes.select("id", F.col("id").alias("root")))
+    both = written(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
+    label = written(nodes.select("id", F.col("id").alias("root")))
     while True:
         near = both.join(label, both["b"] == label["id"]).groupBy("a").agg(F.min("root").alias("near"))
         step = label.join(near, label["id"] == near["a"], "left").select("id", F.col("root").alias("old"), F.least("root", F.coalesce("near", "root")).alias("root"))
         jump = step.select(F.col("id").alias("j"), F.col("root").alias("far"))
-        new = _written(step.join(jump, step["root"] == jump["j"], "left").select("id", "old", F.least("root", F.coalesce("far", "root")).alias("root")))
+        new = written(step.join(jump, step["root"] == jump["j"], "left").select("id", "old", F.least("root", F.coalesce("far", "root")).alias("root")))
         label = new.select("id", "root")
         if new.where("root <> old").isEmpty():
             return label

@@ -8,8 +8,11 @@ station or trip; the timetable is read once per round and never collected.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kelora.operators.graph import written
+
 CHANGE_SECONDS = 60
 
 
@@ -36,3 +39,44 @@ def earliest_arrivals(queries: DataFrame, stops: DataFrame, walks: DataFrame | N
         new = rode.groupBy("query", "station").agg(F.min("arrival").alias("arrival")).withColumn("rides", F.lit(k))
         labels = labels.unionByName(new).groupBy("query", "station").agg(F.min(F.struct("arrival", "rides")).alias("l")).select("query", "station", "l.arrival", "l.rides")
     return labels
+
+
+def journeys(queries: DataFrame, stops: DataFrame, rounds: int, max_wait: int = 3600, banned: DataFrame | None = None) -> DataFrame:
+    """(query, station, arrival, trips): the earliest arrival and the trips ridden; ties go to fewer, then smaller trips.
+
+    ``queries``: query, station, depart. ``stops``: trip, seq, station, time, line. ``banned``: query, line; a query
+    never boards a line that is banned for it. ``query`` may be of any type, so one run serves many plans.
+    """
+    labels = queries.select("query", "station", F.col("depart").alias("arrival"), F.expr("cast(array() as array<bigint>)").alias("trips"))
+    board = stops.select("trip", "line", F.col("seq").alias("from_seq"), "station", F.col("time").alias("leave"))
+    later = stops.select("trip", "seq", F.col("station").alias("to"), F.col("time").alias("reach"))
+    for k in range(1, rounds + 1):
+        caught = labels.where(F.size("trips") == k - 1).join(board, "station")
+        caught = caught.where((F.col("leave") >= F.col("arrival") + CHANGE_SECONDS) if k > 1 else F.col("leave").between(F.col("arrival"), F.col("arrival") + max_wait))
+        if banned is not None:
+            caught = caught.join(banned, ["query", "line"], "left_anti")
+        on = caught.groupBy("query", "trip").agg(F.min(F.struct("from_seq", "trips")).alias("b"))
+        rode = on.join(later, "trip").where(F.col("seq") > F.col("b.from_seq"))
+        rode = rode.select("query", F.col("to").alias("station"), F.col("reach").alias("arrival"), F.concat("b.trips", F.array("trip")).alias("trips"))
+        best = F.min(F.struct("arrival", F.size("trips").alias("rides"), "trips")).alias("l")
+        labels = labels.unionByName(rode).groupBy("query", "station").agg(best).select("query", "station", "l.arrival", "l.trips")
+    return labels
+
+
+def diverse(queries: DataFrame, stops: DataFrame, rounds: int, most: int = 6) -> DataFrame:
+    """(query, arrival, trips, rank): the fastest journey of each query and those that avoid one of its lines.
+
+    ``queries``: query, station, depart, dest. Each line of the fastest journey makes one plan that bans it; all plans
+    are rows of one second run. Journeys with the same trips count once, and the ``most`` earliest stay.
+    """
+    ends = queries.select("query", F.col("dest").alias("station"))
+    # read twice below, so it is written once
+    fastest = written(journeys(queries, stops, rounds).join(ends, ["query", "station"]).where(F.size("trips") > 0).select("query", "arrival", "trips"))
+    lines = stops.select("trip", "line").distinct()
+    used = fastest.select("query", F.explode("trips").alias("trip")).join(lines, "trip").select("query", "line").distinct()
+    plans = queries.join(used, "query").select(F.struct("query", "line").alias("plan"), "line", "station", "depart", "dest").withColumnRenamed("plan", "query")
+    other = journeys(plans, stops, rounds, banned=plans.select("query", "line"))
+    other = other.join(plans.select("query", F.col("dest").alias("station")), ["query", "station"]).where(F.size("trips") > 0)
+    found = fastest.unionByName(other.select("query.query", "arrival", "trips")).groupBy("query", "trips").agg(F.min("arrival").alias("arrival"))
+    place = F.row_number().over(W.partitionBy("query").orderBy("arrival", F.size("trips"), "trips"))
+    return found.withColumn("rank", place).where(F.col("rank") <= most).select("query", "arrival", "trips", "rank")

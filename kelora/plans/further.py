@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kelora.functions import constants as K
 from kelora.functions import risk, text
-from kelora.operators import cluster
+from kelora.operators import aliases, cluster
 from kelora.operators import relational as R
 from kelora.plans.network import _isw, _iss, _mult, _score, _sev, segments
 from kelora.plans.registry import query, read
@@ -477,3 +477,29 @@ def typo_distance(spark, d):  # each name against its neighbour's and against it
     pairs = p.join(nxt.unionByName(swapped), "p_partkey")
     budget = F.when(F.length("p_name") >= 8, 2).otherwise(1)
     return pairs.select("p_partkey", "p_name", "mention", text.typo_distance(F.col("p_name"), F.col("mention"), budget).alias("distance"))
+
+
+_MENTION = "CASE p_partkey % 4 WHEN 0 THEN upper(p_name) WHEN 1 THEN replace(upper(p_name), ' ', '') WHEN 2 THEN concat(substr(upper(p_name), 1, 2), substr(upper(p_name), 4)) ELSE concat(substr(upper(p_name), 2, 1), substr(upper(p_name), 1, 1), substr(upper(p_name), 3, length(p_name) - 3)) END"
+
+
+@query("q_jon17_alias_lookup", f"""WITH m AS (SELECT DISTINCT {_MENTION} AS mention FROM part), a AS (SELECT DISTINCT upper(p_name) AS alias FROM part),
+ h AS (SELECT mention, alias, CASE WHEN mention = alias THEN 0 WHEN replace(mention, ' ', '') = replace(alias, ' ', '') THEN 1 ELSE 2 END AS step, damerau_levenshtein(mention, alias) AS distance,
+  CASE WHEN length(mention) >= 10 THEN 2 WHEN length(mention) >= 6 THEN 1 ELSE 0 END AS budget, len(string_split(mention, ' ')) = len(string_split(alias, ' ')) AS even FROM m, a),
+ g AS (SELECT *, CASE WHEN step < 2 THEN 0 ELSE distance END AS d FROM h WHERE step < 2 OR (even AND distance <= budget)),
+ b AS (SELECT * FROM g QUALIFY rank() OVER (PARTITION BY mention ORDER BY step, d) = 1)
+ SELECT p.p_partkey, ['exact', 'compact', 'fuzzy'][min(b.step) + 1] AS how, string_agg(b.alias, '|' ORDER BY b.alias) AS aliases
+ FROM (SELECT p_partkey, {_MENTION} AS mention FROM part) p LEFT JOIN b ON b.mention = p.mention GROUP BY p.p_partkey""")
+def alias_lookup(spark, d):
+    p = read(spark, d, "part")
+    named = p.select("p_partkey", F.expr(_MENTION).alias("mention"))
+    found = aliases.lookup(named, p.select(F.upper("p_name").alias("alias")))
+    return named.join(found, "mention", "left").select("p_partkey", "how", F.array_join("aliases", "|").alias("aliases"))
+
+
+@query("q_jon16_interchange_pair", "SELECT l.a, l.b, CASE WHEN l.a <> l.b AND x.s_nationkey = y.s_nationkey THEN x.s_nationkey END AS place FROM (SELECT DISTINCT l_suppkey AS a, l_partkey % 10 AS b FROM lineitem) l LEFT JOIN supplier x ON x.s_suppkey = l.a LEFT JOIN supplier y ON y.s_suppkey = l.b")
+def interchange_pair(spark, d):  # the place that two platforms share; null where they are no pair
+    s = read(spark, d, "supplier")
+    pairs = read(spark, d, "lineitem").select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") % 10).alias("b")).distinct()
+    of = lambda c, n: s.select(F.col("s_suppkey").alias(c), F.col("s_nationkey").alias(n))
+    both = pairs.join(of("a", "x"), "a", "left").join(of("b", "y"), "b", "left")
+    return both.select("a", "b", F.when((F.col("a") != F.col("b")) & (F.col("x") == F.col("y")), F.col("x")).alias("place"))

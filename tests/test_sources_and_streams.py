@@ -4,9 +4,11 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from kelora.operators import cluster, graph, relational, routing
+from kelora import catalog
+from kelora.operators import aliases, cluster, graph, relational, routing
+from kelora.plans.further import STATUS
 from kelora.sources import gtfs, snapshots
-from kelora.streaming import positions
+from kelora.streaming import incidents, positions
 
 FILES = {
     "stops": "stop_id,stop_name,stop_lat,stop_lon\nA, Alpha ,3.1,101.5\nB,\"Be\"\"ta, x\",oops,101.6\nC,Gamma,3.2,\n",
@@ -95,3 +97,35 @@ def test_routing(spark):
     assert "C" not in {r.station for r in routing.earliest_arrivals(q, risky, None, 2).collect()}
     walk = spark.createDataFrame([("B", "D", 30)], "a string, b string, seconds int")
     assert {r.station: r.arrival for r in routing.earliest_arrivals(q, stops, walk, 1).collect()}["D"] == 230
+
+
+def test_incident_stream_equals_batch_fold(spark, sf, tmp_path):
+    e = spark.read.parquet(f"{sf}/events.parquet").select(F.col("user_id").alias("id"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"), F.expr(STATUS).alias("status"))
+    rows = sorted(e.collect(), key=lambda r: (r.at, r.seq))
+    for k in range(3):  # three files, in order of time
+        part = rows[k * len(rows) // 3 : (k + 1) * len(rows) // 3]
+        spark.createDataFrame(part, e.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    seen = []
+    writer = incidents.upserts(stream).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "cp"))
+    writer.foreachBatch(lambda df, n: seen.extend(df.collect())).trigger(availableNow=True).start().awaitTermination()
+    last = {}
+    for r in seen:
+        if r.reports > last.get((r.id, r.start), (None, 0))[1]:
+            last[r.id, r.start] = (r.status, r.reports)
+    want = catalog.QUERIES["q_stm08_keyed_upsert"](spark, sf).withColumn("start", F.col("start").cast("timestamp")).collect()
+    assert last == {(r.user_id, r.start): (r.status, r.reports) for r in want}
+
+
+def test_diverse_journeys_avoid_lines(spark):
+    stops = spark.createDataFrame([(1, 1, "A", 100, 1), (1, 2, "B", 200, 1), (2, 1, "A", 110, 2), (2, 2, "B", 300, 2), (3, 1, "A", 120, 1), (3, 2, "B", 220, 1)], "trip long, seq int, station string, time int, line long")
+    q = spark.createDataFrame([(7, "A", 90, "B")], "query int, station string, depart int, dest string")
+    got = [(r.rank, r.arrival, r.trips) for r in routing.diverse(q, stops, 2).orderBy("rank").collect()]
+    assert got == [(1, 200, [1]), (2, 300, [2])]
+
+
+def test_alias_lookup_steps(spark):
+    names = spark.createDataFrame([("PASAR SENI",), ("PASAR SENA",), ("KLCC",), (None,)], "alias string")
+    said = spark.createDataFrame([("PASAR SENI",), ("PASARSENI",), ("PASAR SENO",), ("APSAR SNEI",), ("KLCX",), (None,)], "mention string")
+    got = {r.mention: (r.how, r.aliases) for r in aliases.lookup(said, names).collect()}
+    assert got == {"PASAR SENI": ("exact", ["PASAR SENI"]), "PASARSENI": ("compact", ["PASAR SENI"]), "PASAR SENO": ("fuzzy", ["PASAR SENA", "PASAR SENI"]), "APSAR SNEI": ("fuzzy", ["PASAR SENI"])}
