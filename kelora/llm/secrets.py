@@ -1,6 +1,6 @@
 """Secret scans: candidates by pattern, then a random forest that removes false positives.
 
-Candidates are assigned values, quoted strings and long mixed tokens of a whole text. The forest sees candidate length,
+Candidates are values assigned to a keyword, private key blocks, quoted strings and long mixed tokens of a whole text. The forest sees candidate length,
 character transitions, entropy, dictionary coverage, path-like shape and neighbouring words. The dictionary is the
 DICTIONARY most frequent words of all documents, counted by Spark. The forest is trained on labelled findings: a bounded sample of the corpus' own candidates labelled by strict rules (provider formats and keyworded keys
 are secrets; paths, addresses, counters, plain words and placeholders are not), and variants of them with a keyword
@@ -24,10 +24,16 @@ from kelora.llm.common import TRAIN_ROWS, bounded, stored
 # fixed patterns and word lists
 CANDIDATE = re.compile(r"""(?x)
     (?<![A-Za-z0-9+/_\-.@])
-    (?: -----BEGIN[ ][A-Z ]*PRIVATE[ ]KEY-----
-      | (?=[A-Za-z0-9+/_\-.@:=]*[0-9])(?=[A-Za-z0-9+/_\-.@:=]*[A-Za-z])[A-Za-z0-9+/_\-.@:=]{12,}
+    (?: (?=[A-Za-z0-9+/_\-.@:=]*[0-9])(?=[A-Za-z0-9+/_\-.@:=]*[A-Za-z])[A-Za-z0-9+/_\-.@:=]{12,}
       | (?<=["'])[A-Za-z]{16,}(?=["'])
     )""")
+#: A value after a keyword and '=' or ':': quoted with any characters, or unquoted up to white space.
+KEYED = re.compile(r"""(?x)
+    (?:(?i:token|secret|password|passwd|pwd|api_?key|credential|access_key)|(?<![A-Za-z])(?i:key|auth|private))s?(?![a-z])[\w.\-]*+["']?+[ \t]*+[=:]+[ \t]*+
+    (?: "((?:[^"\\\n]|\\.)++)" | '((?:[^'\\\n]|\\.)++)' | ([^\s"']\S*+) )""")
+#: A private key block up to its END line; only the header where that is missing.
+PEM = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:(?!-----BEGIN )[\s\S])*?-----END [A-Z ]*PRIVATE KEY-----)?")
+ASSIGNED = re.compile(r"[A-Za-z_][A-Za-z0-9_.\-]*[=:]+(?!/)(?=[^=:])")
 PROVIDER = re.compile(r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_\-]{35}|eyJ[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]*|-----BEGIN[ A-Z]*PRIVATE KEY-----)$")
 KEYWORDS = "token secret password passwd pwd apikey api_key key credential credentials auth access_key private".split()
 HARMLESS = "example sample placeholder dummy checksum sha1 sha256 md5 commit revision digest hash uuid id version mail http https www".split()
@@ -105,7 +111,7 @@ def shape(value: str, before: str, after: str, known: frozenset[str] = frozenset
     entropy = -sum(k / n * math.log2(k / n) for k in counts.values())
     hexes = sum(c in "0123456789abcdefABCDEF" for c in value) / n
     words = WORDY.findall(value)
-    near = re.findall(r"\w+", before.lower())[-3:]
+    near = nearby(before)
     vowels = sum(c in "aeiouAEIOU" for c in value) / n
     return [
         float(n), entropy, sum(a != b for a, b in zip(kinds, kinds[1:])) / max(1, n - 1), kinds.count(0) / n, kinds.count(2) / n, kinds.count(3) / n, hexes,
@@ -118,28 +124,66 @@ def shape(value: str, before: str, after: str, known: frozenset[str] = frozenset
 
 def candidates(text: str | None) -> Iterator[tuple[int, str, str, str]]:
     """(start, value, before, after) of each candidate of a whole text, in code points."""
-    for m in CANDIDATE.finditer(text or ""):
-        value = m.group().rstrip(".:=-")
-        if len(value) >= 12:
-            a, z = m.start(), m.start() + len(value)
-            yield a, value, text[max(0, a - 40) : a], text[z : z + 40]
+    text = text or ""
+    spans = [m.span() for m in PEM.finditer(text)]
+    blocks = len(spans)
+    for m in KEYED.finditer(text):
+        a, z = m.span(m.lastindex)
+        if m.lastindex == 3:  # unquoted: a sentence's punctuation is not the value's
+            z = a + len(text[a:z].rstrip(".,;"))
+        if z > a and not any(a < end and start < z for start, end in spans[:blocks]):
+            spans.append((a, z))
+    spans.sort()
+    at, found = 0, []
+    for m in CANDIDATE.finditer(text):
+        value, a = m.group(), m.start()
+        while (cut := ASSIGNED.match(value)) and _mixed(value[cut.end() :]):
+            value, a = value[cut.end() :], a + cut.end()
+        if not PROVIDER.match(value):
+            value = value.rstrip(".:=-")
+        z = a + len(value)
+        while at < len(spans) and spans[at][1] <= a:
+            at += 1
+        if len(value) >= 12 and not (at < len(spans) and spans[at][0] < z):
+            found.append((a, z))
+    for a, z in sorted(spans + found):
+        yield a, text[a:z], text[max(0, a - 40) : a], text[z : z + 40]
+
+
+def _mixed(value: str) -> bool:
+    return len(value.rstrip(".:=-")) >= 12 and any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
+
+
+def nearby(before: str) -> list[str]:
+    """The last three words before a value and the parts of compound ones."""
+    words = re.findall(r"\w+", before.lower())[-3:]
+    return words + [part for w in words if "_" in w for part in w.split("_")]
+
+
+def sure(value: str) -> bool:
+    """A provider's format or a private key block."""
+    return bool(PROVIDER.match(value) or PEM.fullmatch(value))
 
 
 def strict_label(value: str, before: str, after: str) -> int | None:
     """1 or 0 where a rule is sure, None where it is not; these are the labelled findings."""
-    near = re.findall(r"\w+", before.lower())[-3:]
-    if PROVIDER.match(value):
+    near = nearby(before)
+    if sure(value):
         return 1
     if EMAIL.match(value) or re.match(r"^[\d.:/\-]+$", value) or any(w in HARMLESS for w in near) or "/" in value[:8]:
         return 0
     keyed = any(w in KEYWORDS for w in near) and before.rstrip().rstrip("\"'").rstrip()[-1:] in ("=", ":")
     if keyed and len(value) >= 20 and len(set(value)) >= 10 and sum(map(str.isdigit, value)) >= 3:
         return 1
-    if sum(map(len, WORDY.findall(value))) > 0.75 * len(value):
+    if sum(map(len, WORDY.findall(value))) > 0.75 * len(value) and not (keyed and len(value) >= 12):
         return 0
     return None
 
 
+def number_of(rng: np.random.Generator, digits: int) -> str:
+    return "".join(map(str, rng.integers(0, 10, digits)))
+
+
 def labelled(value: str, before: str, after: str, seed: int, known: frozenset[str] = frozenset()) -> list[tuple[list[float], int]]:
     """Training findings of one candidate: itself and variants whose label is known."""
     form = lambda *of: shape(*of, known)
@@ -159,6 +203,15 @@ def labelled(value: str, before: str, after: str, seed: int, known: frozenset[st
                 out.append((form(value[:cut], before, after), 1))
         upper = value.upper() if rng.integers(2) else value
         out.append((form(upper, before.upper() if rng.integers(2) else before, after), 1))
+        # short and symbol-rich passwords, keys of letters only; words and numbers in the same places
+        symbols = "".join(c + ("!@#$%^&*"[int(rng.integers(8))] if rng.integers(3) == 0 else "") for c in value[:14]) + "#"
+        letters = "".join(chr(97 + int(k)) for k in rng.integers(0, 26, 20))
+        key = ("password", "token", "secret", "passwd")[int(rng.integers(4))]
+        for secret, quote in ((value[:10], ""), (words[0][:6].lower() + number_of(rng, 1) + value[:3], ""), (symbols, '"'), (symbols, ""), (letters, "")):
+            gap = (" = ", "=", ": ")[int(rng.integers(3))]
+            out.append((form(secret, words[-1] + " " + key + gap + quote, quote + " and"), 1))
+        for plain in (words[0].lower(), words[-1].lower(), number_of(rng, 2)):
+            out.append((form(plain, words[-1] + " " + key + ": ", " and"), 0))
         number = "".join(map(str, rng.integers(0, 10, 16)))
         out.append((form(number[:14] + "a", "the ", " "), 0))
     return out
@@ -257,7 +310,8 @@ def probabilities(found: list[tuple[int, str, str, str]], forest: Forest | None)
         return np.zeros(0)
     if forest is None:
         return np.array([float(strict_label(*f[1:]) or 0) for f in found])
-    return forest(np.array([shape(*f[1:], forest.known) for f in found]))
+    certain = np.array([sure(f[1]) for f in found], float)
+    return np.maximum(certain, forest(np.array([shape(*f[1:], forest.known) for f in found])))
 
 
 def findings(docs: DataFrame, forest: Forest | None) -> DataFrame:
