@@ -23,9 +23,9 @@ WEIGHTS, MOST = (5.0, 2.0, 1.0), 3.0
 #: Documents of one source that fly together, about.
 BUCKET = 2_000
 EDGE = 1e-9
-#: Drawn documents that may be swapped at the landing to make up for a long one that landed.
-LANDINGS = 4
-COLUMNS = ["doc_id", "row", "source", "size", "draw", "p"]
+#: Drawn documents that may be exchanged at the landing to make up for a long one that landed.
+LANDINGS, LOOSE = 8, 0.01
+COLUMNS = ["row", "source", "size", "draw", "p"]
 
 
 def targets(sizes: dict, weights: tuple = WEIGHTS, most: float = MOST) -> dict:
@@ -51,7 +51,8 @@ def targets(sizes: dict, weights: tuple = WEIGHTS, most: float = MOST) -> dict:
 def flight(p: np.ndarray, size: np.ndarray, draws: np.ndarray, land: bool) -> np.ndarray:
     """Move ``p`` (each in 0..1) to 0 or 1, keeping sum(p) and sum(p * size); at most two stay fractional unless ``land``.
 
-    Landing rounds those two and then changes at most LANDINGS documents so that the words come near their total again.
+    Landing rounds those two and then exchanges at most LANDINGS drawn documents for others, so that the words come near
+    their total again while the number of documents stays within one of its own.
     """
     start, sizes = p.astype(float), size.astype(float)
     p, size = start.tolist(), sizes.tolist()
@@ -74,45 +75,68 @@ def flight(p: np.ndarray, size: np.ndarray, draws: np.ndarray, land: bool) -> np
                 if p[k] < EDGE or p[k] > 1 - EDGE:
                     p[k] = float(round(p[k]))
             live = [k for k in live if 0 < p[k] < 1]
-    if land and live:  # landing: the outcome whose word total is nearest; one or two documents
-        want = sum(p[k] * size[k] for k in live)
-        best = min(range(1 << len(live)), key=lambda m: (abs(sum(size[k] for j, k in enumerate(live) if m >> j & 1) - want), m))
-        for j, k in enumerate(live):
-            p[k] = float(best >> j & 1)
+    if land and live:  # landing: of the outcomes whose number of documents is nearest, that whose words are nearest
+        many, want = sum(p[k] for k in live), sum(p[k] * size[k] for k in live)
+        bits = [[m >> j & 1 for j in range(len(live))] for m in range(1 << len(live))]
+        best = min(bits, key=lambda b: (round(abs(sum(b) - many) - 0.5) > 0, abs(sum(x * size[k] for x, k in zip(b, live)) - want), b))
+        for k, x in zip(live, best):
+            p[k] = float(x)
     out = np.array(p)
-    if land:
-        free = np.flatnonzero((start > EDGE) & (start < 1 - EDGE))
-        for _ in range(LANDINGS if len(free) else 0):
-            off = float((out * sizes).sum() - (start * sizes).sum())
-            after = np.abs(off + np.where(out[free] > 0.5, -sizes[free], sizes[free]))
-            i = int(after.argmin())
-            if after[i] >= abs(off):
-                break
-            out[free[i]] = 1 - out[free[i]]
+    return _swapped(start, sizes, out) if land else out
+
+
+def _swapped(start: np.ndarray, sizes: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """``out`` after at most LANDINGS exchanges of a drawn document for another: their number stays, words near their total.
+
+    A source of few documents may have no such exchange; while its words are off by more than LOOSE of their total, a
+    single document is drawn or dropped instead.
+    """
+    free = np.flatnonzero((start > EDGE) & (start < 1 - EDGE))
+    for _ in range(LANDINGS):
+        off = float(((out - start) * sizes).sum())
+        drawn, left = free[out[free] > 0.5], free[out[free] < 0.5]
+        one = np.abs(off + np.where(out[free] > 0.5, -sizes[free], sizes[free]))
+        if not len(drawn) or not len(left):
+            break
+        left = left[np.argsort(sizes[left], kind="stable")]
+        near = np.searchsorted(sizes[left], sizes[drawn] - off)
+        pairs = np.concatenate([np.maximum(near - 1, 0), np.minimum(near, len(left) - 1)])
+        drawn = np.concatenate([drawn, drawn])
+        after = np.abs(off - sizes[drawn] + sizes[left[pairs]])
+        i = int(after.argmin())
+        if after[i] < abs(off):
+            out[drawn[i]], out[left[pairs[i]]] = 0.0, 1.0
+        elif one.min() < abs(off) > LOOSE * float((start * sizes).sum()):
+            out[free[one.argmin()]] = 1 - out[free[one.argmin()]]
+        else:
+            break
     return out
 
 
-def _flown(fly: DataFrame, keys: list[str], land: bool) -> DataFrame:
+def _flown(fly: DataFrame, ids: list[str], keys: list[str], land: bool) -> DataFrame:
     """One flight in each group of ``keys``: long documents first, then in the fixed order of the draws."""
+    kinds = ", ".join(f"`{k}` {fly.schema[k].dataType.simpleString()}" for k in ids)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["size", "draw", "doc_id", "row"], ascending=[False, True, True, True], kind="stable")  # small ones last, so they land
+        group = group.sort_values(["size", "draw", *ids, "row"], ascending=[False] + [True] * (len(ids) + 2), kind="stable")  # small ones last, so they land
         chance = (group["draw"].to_numpy() % (1 << 31)) / float(1 << 31)
-        return group[COLUMNS].assign(p=flight(group["p"].to_numpy(), group["size"].to_numpy(), chance, land))
+        return group[[*ids, *COLUMNS]].assign(p=flight(group["p"].to_numpy(), group["size"].to_numpy(), chance, land))
 
-    return fly.groupBy(*keys).applyInPandas(run, "doc_id long, row int, source string, size long, draw long, p double")
+    return fly.groupBy(*keys).applyInPandas(run, f"{kinds}, row int, source string, size long, draw long, p double")
 
 
-def mixed(docs: DataFrame, weights: tuple = WEIGHTS, most: float = MOST) -> DataFrame:
-    """(doc_id, row, source, size, source_size, target, copies) for each row of ``docs``.
+def mixed(docs: DataFrame, weights: tuple = WEIGHTS, most: float = MOST, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(keys, row, source, size, source_size, target, copies) for each row of ``docs``.
 
-    ``row`` tells repeated rows of one doc_id apart. Null or empty texts have size 0. A null source is a source of its
-    own, last in order. Empty tables give an empty result. The draw is a hash of doc_id and row, so reruns agree.
+    ``keys`` name the columns that tell documents apart; ``row`` tells repeated rows of one document apart. Null or
+    empty texts have size 0. A null source is a source of its own, last in order. Empty tables give an empty result.
+    The draw is a hash of keys, size and row, so reruns agree and ties fall the same way. Extra columns are not read.
     """
+    ids = list(keys)
     words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    base = docs.select("doc_id", "source", words.alias("size"))
-    # rows that share doc_id, source and size are told apart by explode after counting, so no window meets a hot key
-    base = base.groupBy("doc_id", "source", "size").count().select("doc_id", "source", "size", F.explode(F.sequence(F.lit(1), F.col("count").cast("int"))).alias("row"))
+    base = docs.select(*ids, "source", words.alias("size"))
+    # rows that share keys, source and size are told apart by explode after counting, so no window meets a hot key
+    base = base.groupBy(*ids, "source", "size").count().select(*ids, "source", "size", F.explode(F.sequence(F.lit(1), F.col("count").cast("int"))).alias("row"))
     base = stored(base, "sizes")
     per = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).collect()  # one row per source
     sizes = {r.source: r.source_size for r in per}
@@ -124,13 +148,12 @@ def mixed(docs: DataFrame, weights: tuple = WEIGHTS, most: float = MOST) -> Data
     one = base.join(plan.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s", "none")
     sure = F.floor(F.col("ratio") + EDGE)
     one = one.withColumn("sure", sure.cast("long")).withColumn("p", F.greatest(F.lit(0.0), F.col("ratio") - sure))
-    one = one.withColumn("draw", F.xxhash64("doc_id", "size", "row", F.lit("mix")))
-    fly = one.select("doc_id", "row", "source", "size", "draw", "p", F.pmod(F.shiftright("draw", 20), F.col("buckets")).alias("bucket"))
+    one = one.withColumn("draw", F.xxhash64(*ids, "size", "row", F.lit("mix")))
+    fly = one.select(*ids, "row", "source", "size", "draw", "p", F.pmod(F.shiftright("draw", 20), F.col("buckets")).alias("bucket"))
     settled, n, most_buckets = [], None, max((r.n for r in per), default=0)
     while True:
         last = most_buckets <= BUCKET
-        keys = ["source"] if last else ["source", "bucket"]
-        flown = stored(_flown(fly, keys, last), "flight")
+        flown = stored(_flown(fly, ids, ["source"] if last else ["source", "bucket"], last), "flight")
         settled.append(flown.where(f"p <= {EDGE} or p >= {1 - EDGE}"))
         if last:
             break
@@ -141,9 +164,11 @@ def mixed(docs: DataFrame, weights: tuple = WEIGHTS, most: float = MOST) -> Data
     extra = settled[0]
     for s in settled[1:]:
         extra = extra.unionByName(s)
-    extra = extra.select("doc_id", "row", "size", F.col("source").alias("s2"), F.round("p").cast("long").alias("extra"))
-    match = one["doc_id"].eqNullSafe(extra["doc_id"]) & (one["row"] == extra["row"]) & (one["size"] == extra["size"]) & one["source"].eqNullSafe(extra["s2"])
-    return one.join(extra, match).select(one["doc_id"], one["row"], one["source"], one["size"], "source_size", "target", (F.col("sure") + F.col("extra")).alias("copies"))
+    extra = extra.select(*(F.col(k).alias(f"{k}_2") for k in ids), F.col("row").alias("row_2"), F.col("size").alias("size_2"), F.col("source").alias("source_2"), F.round("p").cast("long").alias("extra"))
+    match = (F.col("row") == F.col("row_2")) & (F.col("size") == F.col("size_2"))
+    for k in [*ids, "source"]:
+        match = match & F.col(k).eqNullSafe(F.col(f"{k}_2"))
+    return one.join(extra, match).select(*ids, "row", "source", "size", "source_size", "target", (F.col("sure") + F.col("extra")).alias("copies"))
 
 
 def op10(docs: DataFrame) -> DataFrame:

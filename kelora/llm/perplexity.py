@@ -1,10 +1,12 @@
 """Quality rules with n-gram perplexity.
 
-A byte n-gram model (order ORDER) with modified Kneser-Ney smoothing is counted by Spark over every whole text. Its
-lower orders, discounts and back-off weights are joins and aggregates over the distinct n-grams, whose number
-saturates with the alphabet rather than growing with the corpus. The finished probabilities are stored in a sorted
-array of packed n-grams; scoring is one binary search per byte. Per-language bands on the log-perplexity, taken from
-exact histograms over all documents, reject documents above or below.
+A sub-word model: byte n-grams up to ORDER, about a word long, with modified Kneser-Ney smoothing, counted by Spark over
+every whole text. Lower orders, discounts and back-off weights are joins and aggregates over the distinct n-grams. The
+highest order leaves out n-grams that occur once (their mass goes to the back-off weight), so a text is not predicted by
+n-grams that only itself holds. Each order is stored as a sorted hash array of its n-grams with log-probabilities and
+one of its contexts with back-off weights; an n-gram that an order lacks is scored by the next lower one, down to the
+uniform distribution. Per-language bands on the log-perplexity, taken from exact histograms over all documents, reject
+documents above or below.
 """
 
 from __future__ import annotations
@@ -19,11 +21,13 @@ from pyspark.sql import functions as F
 
 from kelora.llm.common import stored
 
-ORDER = 4
-#: n-grams that one scoring pass holds (12 bytes each); a larger model is scored in several passes.
-PASS_ENTRIES = 8_000_000
-#: Documents outside median +- BAND interquartile ranges (plus BAND_BYTES/sqrt(bytes)) of their language are rejected.
-BAND_LOW, BAND_HIGH, BAND_BYTES = 4.0, 2.2, 1.5
+ORDER = 6
+#: Entries that one scoring pass holds (12 bytes each, twice that with its index); a larger model is scored in several
+#: passes, each over the places after certain bytes.
+PASS_ENTRIES = 12_000_000
+#: Documents more than BAND interquartile ranges plus ROOM / sqrt(bytes) below or above their language's median are
+#: rejected; short texts vary more, most of all downwards, where one common sentence is much of the text.
+BAND_LOW, ROOM_LOW, BAND_HIGH, ROOM_HIGH = 2.5, 6.0, 1.5, 0.8
 STEP = 0.001
 SYMBOLS = "#*$%&|<>"
 
@@ -81,7 +85,7 @@ def grams(texts, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
     return out[own], sizes
 
 
-def _batches(text: pd.Series, most: int = 1 << 22) -> Iterator[tuple[int, int]]:
+def _batches(text: pd.Series, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about ``most`` characters."""
     start = size = 0
     for i, t in enumerate(text):
@@ -117,26 +121,29 @@ def count_grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
     return docs.select("text").mapInPandas(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
-    """(gram, logp): interpolated modified Kneser-Ney log-probabilities of every counted n-gram.
+def kneser_ney(counts: DataFrame, order: int = ORDER, least: int = 2) -> DataFrame:
+    """(k, kind, gram, value): the model. Kind 0 is the log-probability of an n-gram of order k, kind 1 the log of the
+    back-off weight of a context of order k (the n-gram without its last byte).
 
-    The highest order uses counts, lower ones the number of distinct left extensions; each order has discounts D1, D2
-    and D3+ from its counts of counts.
+    Interpolated modified Kneser-Ney: the highest order uses counts, lower ones the number of distinct left extensions;
+    each order has discounts D1, D2 and D3+ from its counts of counts. N-grams of the highest order that occur less than
+    ``least`` times are left out.
     """
     levels = {order: counts}
     for k in range(order - 1, 0, -1):
-        tail = (1 << 8 * k) - 1
-        levels[k] = levels[k + 1].groupBy(F.col("gram").bitwiseAND(F.lit(tail)).alias("gram")).agg(F.count("*").alias("n"))
-    lower = None
+        levels[k] = levels[k + 1].groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("gram")).agg(F.count("*").alias("n"))
+    lower, parts = None, []
     for k in range(1, order + 1):
         level = stored(levels[k], f"order{k}") if k < order else levels[k]
         few = {r.n: r.c for r in level.where("n <= 4").groupBy("n").agg(F.count("*").alias("c")).collect()}  # four rows
         n1, n2, n3, n4 = (float(few.get(i, 0)) for i in (1, 2, 3, 4))
         y = n1 / (n1 + 2 * n2) if n1 + n2 else 0.5
         d = [max(0.05, min(i - 0.05, i - (i + 1) * y * b / a)) if a and b else 0.5 * i for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
-        level = level.withColumn("ctx", F.shiftright("gram", 8)).withColumn("d", F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2]))
+        own = least if k == order and k > 1 else 1
+        discount = F.when(F.col("n") < own, F.col("n")).when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
+        level = level.withColumn("ctx", F.shiftright("gram", 8)).withColumn("d", discount.cast("double"))
         total = level.groupBy("ctx").agg(F.sum("n").alias("total"), F.sum("d").alias("mass"))
-        level = level.join(total, "ctx")
+        level = level.where(F.col("n") >= own).join(total, "ctx")
         if lower is None:
             below = F.lit(1 / 256)
         else:
@@ -144,34 +151,108 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
             below = F.col("below")
         p = (F.col("n") - F.col("d") + F.col("mass") * below) / F.col("total")
         lower = stored(level.select("gram", p.alias("p")), f"model{k}")
-    return lower.select("gram", F.log("p").alias("logp"))
+        parts += [lower.select(F.lit(k).alias("k"), F.lit(0).alias("kind"), "gram", F.log("p").alias("value"))]
+        parts += [total.select(F.lit(k).alias("k"), F.lit(1).alias("kind"), F.col("ctx").alias("gram"), F.log(F.col("mass") / F.col("total")).alias("value"))]
+    model = parts[0]
+    for x in parts[1:]:
+        model = model.unionByName(x)
+    return stored(model, "model")
+
+
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+
+
+class HashArray:
+    """Packed n-grams and their values, sorted by hash, with an index of where each hash prefix begins."""
+
+    def __init__(self, grams: np.ndarray, values: np.ndarray):
+        h = grams * _SPREAD
+        at = np.argsort(h)
+        self.bits = np.uint64(64 - max(1, int(2 * len(grams)).bit_length()))
+        self.keys, self.values = np.append(grams[at], np.uint64(0)), np.append(values[at], 0).astype(np.float32)
+        self.start = np.searchsorted(h[at] >> self.bits, np.arange((1 << int(64 - self.bits)) + 1, dtype=np.uint64)).astype(np.int32)
+
+    def __call__(self, grams: np.ndarray) -> np.ndarray:
+        """The value of each n-gram; NaN where it is not held."""
+        prefix = (grams * _SPREAD >> self.bits).astype(np.int64)
+        at, end = self.start[prefix], self.start[prefix + 1]
+        hit = (self.keys[at] == grams) & (at < end)
+        out = np.where(hit, self.values[at], np.float32(np.nan))
+        left = np.flatnonzero(~hit & (at + 1 < end))
+        while len(left):
+            at = at[left] + 1 if len(at) != len(left) else at + 1
+            hit = self.keys[at] == grams[left]
+            out[left[hit]] = self.values[at[hit]]
+            go = ~hit & (at + 1 < end[left])
+            left, at = left[go], at[go]
+        return out
+
+
+def _log_probabilities(g: np.ndarray, model: dict, order: int) -> np.ndarray:
+    """The log-probability of the last byte of each packed n-gram given those before it."""
+    out, left = np.zeros(len(g), np.float32), np.arange(len(g))
+    for k in range(order, 0, -1):
+        probs, backs = model[k, 0], model[k, 1]
+        got = probs(g[left] & np.uint64((1 << 8 * k) - 1))
+        hit = ~np.isnan(got)
+        out[left[hit]] += got[hit]
+        left = left[~hit]
+        if not len(left):
+            break
+        back = backs(g[left] >> np.uint64(8) & np.uint64((1 << 8 * (k - 1)) - 1))
+        out[left] += np.nan_to_num(back, nan=0.0)  # a context never seen backs off whole
+    out[left] += np.float32(-np.log(256))
+    return out
 
 
 def log_perplexity(docs: DataFrame, model: DataFrame, order: int = ORDER, entries: int = PASS_ENTRIES) -> DataFrame:
-    """``docs`` plus n_bytes and log_ppl (mean negative log-probability of a byte; null for empty texts)."""
+    """``docs`` plus n_bytes and log_ppl (mean negative log-probability of a byte; null for empty texts and nulls).
+
+    Columns of these names are replaced. A model over ``entries`` is scored in passes over the places that follow
+    certain bytes: n-grams and their contexts share the byte before the last, so each pass holds what it needs.
+    """
     spark = docs.sparkSession
-    size = model.count()
-    passes = max(1, -(-size // entries))
+    byte = F.when(F.col("kind") == 1, F.col("gram")).otherwise(F.shiftright("gram", 8)).bitwiseAND(F.lit(255)).alias("byte")
+    sizes = {int(r.byte): r.n for r in model.where("k > 1").groupBy(byte).agg(F.count("*").alias("n")).collect()}  # 256 rows
+    passes: list[list[int]] = []
+    room = 0
+    for b in range(256):
+        if not passes or sizes.get(b, 0) > room:
+            passes.append([])
+            room = max(entries, sizes.get(b, 0))
+        passes[-1].append(b)
+        room -= sizes.get(b, 0)
     docs = docs.drop("n_bytes", "log_ppl").select("*", F.lit(0).cast("long").alias("n_bytes"), F.lit(0.0).alias("log_ppl"))
     names, schema = docs.columns, docs.schema
-    for k in range(passes):
-        part = model.where(F.pmod("gram", F.lit(passes)) == k).toPandas().sort_values("gram")  # at most about `entries` rows
-        sent = spark.sparkContext.broadcast((part["gram"].to_numpy().view(np.uint64), part["logp"].to_numpy(np.float32)))
+    for k, own in enumerate(passes):
+        part = model if len(passes) == 1 else model.where((F.col("k") == 1) | byte.isin(own))
+        got = part.toPandas()  # about `entries` rows, or one byte's share
+        tables = {}
+        for x in [(k, kind) for k in range(1, order + 1) for kind in (0, 1)]:
+            rows = got[(got["k"] == x[0]) & (got["kind"] == x[1])]
+            tables[x] = HashArray(rows["gram"].to_numpy(np.int64).view(np.uint64), rows["value"].to_numpy(np.float32))
+        del got
+        mine = np.isin(np.arange(256), own)
+        sent = spark.sparkContext.broadcast((tables, mine))
 
         def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            keys, logp = sent.value
+            tables, mine = sent.value
             for b in batches:
                 for i, j in _batches(b["text"]):
                     part = b.iloc[i:j]
                     g, sizes = grams(part["text"], order)
-                    at = np.minimum(np.searchsorted(keys, g), max(0, len(keys) - 1))
-                    own = np.where(keys[at] == g, logp[at], 0.0) if len(keys) else np.zeros(len(g))
-                    sums = np.concatenate([[0.0], np.cumsum(own, dtype=np.float64)])
+                    sums = np.zeros(len(g) + 1)
+                    if mine.all():
+                        np.cumsum(_log_probabilities(g, tables, order), dtype=np.float64, out=sums[1:])
+                    else:
+                        at = np.flatnonzero(mine[(g >> np.uint64(8) & np.uint64(255)).astype(np.int64)])
+                        sums[at + 1] = _log_probabilities(g[at], tables, order)
+                        np.cumsum(sums, out=sums)
                     ends = np.cumsum(sizes)
                     yield part.assign(n_bytes=sizes, log_ppl=part["log_ppl"].to_numpy() - (sums[ends] - sums[ends - sizes]))[names]
 
         docs = docs.mapInPandas(run, schema)
-        if k + 1 < passes:
+        if k + 1 < len(passes):
             docs = stored(docs, "scored")
     return docs.withColumn("log_ppl", F.when(F.col("n_bytes") > 0, F.col("log_ppl") / F.col("n_bytes")))
 
@@ -189,6 +270,11 @@ def bands(scored: DataFrame) -> DataFrame:
 
 
 def op6(docs: DataFrame) -> DataFrame:
+    """A row per row of ``docs``: base counts, base_failed, kept, log_ppl.
+
+    Null and empty texts have no words, so they fail; texts of ties and repeated rows get equal values; an empty table
+    gives no rows; extra columns are not read.
+    """
     docs = docs.select("doc_id", "text", "lang")
     model = kneser_ney(stored(count_grams(docs), "grams"))
     scored = log_perplexity(docs, model)
@@ -201,9 +287,9 @@ def op6(docs: DataFrame) -> DataFrame:
 
     counted = stored(scored.mapInPandas(run, "doc_id long, lang string, n_bytes long, log_ppl double, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"), "counted")
     limits = F.broadcast(bands(counted))  # one row a language, checked when its histogram was read
-    room = F.lit(BAND_BYTES) / F.sqrt(F.greatest(F.col("n_bytes"), F.lit(1)))
-    low = F.col("mid") - F.col("spread") * BAND_LOW - room
-    high = F.col("mid") + F.col("spread") * BAND_HIGH + room
+    root = F.sqrt(F.greatest(F.col("n_bytes"), F.lit(1)))
+    low = F.col("mid") - F.col("spread") * BAND_LOW - ROOM_LOW / root
+    high = F.col("mid") + F.col("spread") * BAND_HIGH + ROOM_HIGH / root
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     out = counted.join(limits, F.col("lang").eqNullSafe(F.col("band_lang")), "left")
     inside = F.coalesce(F.col("log_ppl").between(low, high), F.lit(True))

@@ -1,7 +1,8 @@
 """Secret scans: candidates by pattern, then a random forest that removes false positives.
 
-Candidates are values assigned to a keyword, private key blocks, quoted strings and long mixed tokens of a whole text. The forest sees candidate length,
-character transitions, entropy, dictionary coverage, path-like shape and neighbouring words. The dictionary is the
+Candidates are values assigned to a keyword, private key blocks, quoted strings and long mixed tokens of a whole text,
+found in time linear in its length. The forest sees candidate length, character transitions, entropy, dictionary
+coverage, path shape and neighbouring words. The dictionary is the
 DICTIONARY most frequent words of all documents, counted by Spark. The forest is trained on labelled findings: a bounded sample of the corpus' own candidates labelled by strict rules (provider formats and keyworded keys
 are secrets; paths, addresses, counters, plain words and placeholders are not), and variants of them with a keyword
 removed, the quotes dropped or the value replaced by ordinary words, so no single feature decides.
@@ -22,25 +23,25 @@ from pyspark.sql import functions as F
 from kelora.llm.common import TRAIN_ROWS, bounded, stored
 
 # fixed patterns and word lists
-CANDIDATE = re.compile(r"""(?x)
-    (?<![A-Za-z0-9+/_\-.@])
-    (?: (?=[A-Za-z0-9+/_\-.@:=]*[0-9])(?=[A-Za-z0-9+/_\-.@:=]*[A-Za-z])[A-Za-z0-9+/_\-.@:=]{12,}
-      | (?<=["'])[A-Za-z]{16,}(?=["'])
-    )""")
-#: A value after a keyword and '=' or ':': quoted with any characters, or unquoted up to white space.
+TOKEN = re.compile(r"[A-Za-z0-9+/_\-.@:=]{12,}")
+DIGIT, LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
+#: A value after a keyword (and up to 64 more characters of its name) and '=' or ':': quoted with any characters, or
+#: unquoted up to white space.
 KEYED = re.compile(r"""(?x)
-    (?:(?i:token|secret|password|passwd|pwd|api_?key|credential|access_key)|(?<![A-Za-z])(?i:key|auth|private))s?(?![a-z])[\w.\-]*+["']?+[ \t]*+[=:]+[ \t]*+
+    (?:(?i:token|secret|password|passwd|pwd|api_?key|credential|access_key)|(?<![A-Za-z])(?i:key|auth|private))s?(?![a-z])[\w.\-]{0,64}+["']?+[ \t]*+[=:]+[ \t]*+
     (?: "((?:[^"\\\n]|\\.)++)" | '((?:[^'\\\n]|\\.)++)' | ([^\s"']\S*+) )""")
 #: A private key block up to its END line; only the header where that is missing.
 PEM = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:(?!-----BEGIN )[\s\S])*?-----END [A-Z ]*PRIVATE KEY-----)?")
 ASSIGNED = re.compile(r"[A-Za-z_][A-Za-z0-9_.\-]*[=:]+(?!/)(?=[^=:])")
 PROVIDER = re.compile(r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_\-]{35}|eyJ[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]*|-----BEGIN[ A-Z]*PRIVATE KEY-----)$")
+QUOTES, DIGITS, LETTERS = ("'", '"'), "0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 KEYWORDS = "token secret password passwd pwd apikey api_key key credential credentials auth access_key private".split()
 HARMLESS = "example sample placeholder dummy checksum sha1 sha256 md5 commit revision digest hash uuid id version mail http https www".split()
 EMAIL = re.compile(r"^[^@\s]+@[^@\s]+\.[^@\s]+$")
 WORDY = re.compile(r"[A-Za-z]{3,}")
+EXTENSION = re.compile(r"\.[A-Za-z]{1,4}[0-9]?$")
 
-N_FEATURES = 18
+N_FEATURES = 21
 #: Words of the dictionary; this bounds what the driver collects and the executors receive.
 DICTIONARY = 20_000
 WORD_LENGTHS = (4, 20)
@@ -116,12 +117,21 @@ def shape(value: str, before: str, after: str, known: frozenset[str] = frozenset
     return [
         float(n), entropy, sum(a != b for a, b in zip(kinds, kinds[1:])) / max(1, n - 1), kinds.count(0) / n, kinds.count(2) / n, kinds.count(3) / n, hexes,
         sum(map(len, words)) / n, float(max(map(len, words), default=0)), vowels, len(counts) / n,
-        float("@" in value), float(value.count(".") + value.count("/")), float(any(w in KEYWORDS for w in near)), float(any(w in HARMLESS for w in near)),
+        float("@" in value), float(value.count(".") + value.count("/")), *path_shape(value, before), float(any(w in KEYWORDS for w in near)), float(any(w in HARMLESS for w in near)),
         float(before.rstrip()[-1:] in ("=", ":") or before.rstrip().rstrip("\"'").rstrip()[-1:] in ("=", ":")), float(before[-1:] in ("'", '"') and after[:1] in ("'", '"')),
         coverage(value, known),
     ]
 
 
+def path_shape(value: str, before: str) -> list[float]:
+    """How a value looks as a path: the share of its parts between separators that are words, a file's extension, a
+    root, drive, scheme or longer path before it."""
+    parts = [p for p in re.split(r"[/\\.]", value) if p]
+    words = sum(p.isalpha() or p.replace("_", "").replace("-", "").isalpha() for p in parts)
+    rooted = value.startswith(("/", "./", "../", "~/")) or "://" in value or before[-1:] in ("/", "\\", "~")
+    return [words / len(parts) if len(parts) > 1 else 0.0, float(bool(EXTENSION.search(value))), float(rooted)]
+
+
 def candidates(text: str | None) -> Iterator[tuple[int, str, str, str]]:
     """(start, value, before, after) of each candidate of a whole text, in code points."""
     text = text or ""
@@ -135,10 +145,13 @@ def candidates(text: str | None) -> Iterator[tuple[int, str, str, str]]:
             spans.append((a, z))
     spans.sort()
     at, found = 0, []
-    for m in CANDIDATE.finditer(text):
+    for m in TOKEN.finditer(text):
         value, a = m.group(), m.start()
-        while (cut := ASSIGNED.match(value)) and _mixed(value[cut.end() :]):
-            value, a = value[cut.end() :], a + cut.end()
+        quoted = len(value) >= 16 and text[a - 1 : a] in QUOTES and text[m.end() : m.end() + 1] in QUOTES and value.isalpha()
+        if not quoted and not (DIGIT.search(value) and LETTER.search(value)):
+            continue
+        skip = _assigned(value)
+        value, a = value[skip:], a + skip
         if not PROVIDER.match(value):
             value = value.rstrip(".:=-")
         z = a + len(value)
@@ -150,8 +163,14 @@ def candidates(text: str | None) -> Iterator[tuple[int, str, str, str]]:
         yield a, text[a:z], text[max(0, a - 40) : a], text[z : z + 40]
 
 
-def _mixed(value: str) -> bool:
-    return len(value.rstrip(".:=-")) >= 12 and any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
+def _assigned(value: str) -> int:
+    """Where the value of ``name=value`` begins: after all names that leave 12 characters with a digit and a letter."""
+    size = len(value.rstrip(".:=-"))
+    last = min((max(map(value.rfind, kind)) for kind in (DIGITS, LETTERS)), default=-1)
+    at = 0
+    while (cut := ASSIGNED.match(value, at)) and size - cut.end() >= 12 and last >= cut.end():
+        at = cut.end()
+    return at
 
 
 def nearby(before: str) -> list[str]:
@@ -278,11 +297,15 @@ class Forest:
         return total / max(1, len(self.value))
 
 
-def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> Forest | None:
-    """A forest from at most ``rows`` findings in about TRAIN_DOCS documents, all labels by strict rules; None without findings."""
+def fit(docs: DataFrame, rows: int = TRAIN_ROWS, labels: DataFrame | None = None) -> Forest | None:
+    """A forest from at most ``rows`` labelled findings; None where there are none of one of the classes.
+
+    ``labels`` (value, before, after, label) are a user's labelled findings. Without them findings of about TRAIN_DOCS
+    documents are labelled by strict rules, with variants of known label beside each.
+    """
     known = dictionary(docs)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def variants(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for text in b["text"]:
@@ -291,7 +314,16 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> Forest | None:
                     out += [(x, y, seed) for x, y in labelled(value, before, after, seed, known)]
             yield pd.DataFrame(out, columns=["x", "y", "seed"])
 
-    found = bounded(docs, TRAIN_DOCS, "doc_id").select("text").mapInPandas(run, "x array<double>, y int, seed long")
+    def given(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = [(shape(v, p or "", q or "", known), int(y), hash_of(v)) for v, p, q, y in zip(b["value"], b["before"], b["after"], b["label"]) if v]
+            yield pd.DataFrame(out, columns=["x", "y", "seed"])
+
+    kind = "x array<double>, y int, seed long"
+    if labels is None:
+        found = bounded(docs, TRAIN_DOCS, "doc_id").select("text").mapInPandas(variants, kind)
+    else:
+        found = bounded(labels.where("label is not null"), 2 * rows, "value").select("value", "before", "after", "label").mapInPandas(given, kind)
     got = found.distinct().orderBy(F.xxhash64("seed", "y"), "x").limit(rows).toPandas()
     if not len(got) or got["y"].nunique() < 2:
         return None
@@ -333,7 +365,10 @@ def findings(docs: DataFrame, forest: Forest | None) -> DataFrame:
 
 
 def redacted(docs: DataFrame, forest: Forest | None) -> DataFrame:
-    """``docs`` with every secret in ``text`` replaced by REDACTED and n_chars (where present) counted anew. Narrow."""
+    """``docs`` with every secret in ``text`` replaced by REDACTED and n_chars (where present) counted anew. Narrow.
+
+    Null and empty texts stay; repeated rows stay repeated; other columns pass through. An empty table stays empty.
+    """
     names = docs.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

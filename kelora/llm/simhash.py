@@ -70,7 +70,8 @@ class BKTree:
     its own group is that one, so dense groups cost little.
     """
 
-    def __init__(self):
+    def __init__(self, radius: int = RADIUS):
+        self.radius = radius
         self.value, self.child, self.same, self.up = [], [], [], []
 
     def find(self, i: int) -> int:
@@ -82,6 +83,7 @@ class BKTree:
     def search(self, x: int, own: int = -1) -> list[int]:
         """One node of each group that has a member within the radius; with ``own``, joins those groups to it."""
         hits: dict[int, int] = {}
+        radius = self.radius
         stack = [0] if self.value else []
         while stack:
             i = stack.pop()
@@ -89,21 +91,41 @@ class BKTree:
             if s >= 0 and (self.find(s) in hits):
                 continue
             d = (x ^ self.value[i]).bit_count()
-            if d <= RADIUS:
+            if d <= radius:
                 hits.setdefault(self.find(i), i)
             for e, c in self.child[i].items():
-                if d - RADIUS <= e <= d + RADIUS:
+                if d - radius <= e <= d + radius:
                     stack.append(c)
         for root in hits if own >= 0 else ():
             self.up[root] = own
         return list(hits.values())
 
+    def near(self, x: int) -> list[int]:
+        """All nodes within the radius."""
+        hits, stack, radius = [], [0] if self.value else [], self.radius
+        while stack:
+            i = stack.pop()
+            d = (x ^ self.value[i]).bit_count()
+            if d <= radius:
+                hits.append(i)
+            stack += [c for e, c in self.child[i].items() if d - radius <= e <= d + radius]
+        return hits
+
     def add(self, x: int) -> list[int]:
         """Insert ``x``; the nodes it links to (one a group), as indexes."""
         new = len(self.value)
         self.up.append(new)
         hits = self.search(x, new)
-        at, path = 0, []
+        path = self.insert(x)
+        root = self.find(new)
+        for i in path:
+            if self.same[i] >= 0 and self.find(self.same[i]) != root:
+                self.same[i] = -1
+        return hits
+
+    def insert(self, x: int) -> list[int]:
+        """Insert ``x`` without a search; the nodes above it."""
+        new, at, path = len(self.value), 0, []
         while new:
             path.append(at)
             d = (x ^ self.value[at]).bit_count()
@@ -115,59 +137,88 @@ class BKTree:
         self.value.append(x)
         self.child.append({})
         self.same.append(new)
-        root = self.find(new)
-        for i in path:
-            if self.same[i] >= 0 and self.find(self.same[i]) != root:
-                self.same[i] = -1
-        return hits
+        return path
 
 
-def links(nodes: DataFrame) -> DataFrame:
-    """(a, b): star links between the ids of ``nodes`` (id, fp; distinct fp) whose fingerprints are near."""
-    masks = F.array(*(F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in MASKS))
-    dealt = nodes.select("id", "fp", F.posexplode(masks).alias("pair", "mask")).select("id", "fp", "pair", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
-    parts = dealt.groupBy("pair", "key").agg(F.count("*").alias("n"))
-    big = parts.where(F.col("n") > SHARD).select(F.col("pair").alias("p2"), F.col("key").alias("k2"), F.ceil(F.col("n") / SHARD).cast("int").alias("parts"))
+def split_shards(dealt: DataFrame) -> DataFrame:
+    """``dealt`` (pair, key, fp, ...) with part and role: a shard of more than SHARD rows is split into parts.
+
+    A row builds its own part's tree (role 0) and is probed against the other parts' trees (role 1).
+    """
+    counts = dealt.groupBy("pair", "key").agg(F.count("*").alias("n"))
+    big = counts.where(F.col("n") > SHARD).select(F.col("pair").alias("p2"), F.col("key").alias("k2"), F.ceil(F.col("n") / SHARD).cast("int").alias("parts"))
     big = stored(big, "bigshards")
     if big.isEmpty():
-        work = dealt.select("id", "fp", "pair", "key", F.lit(0).alias("part"), F.lit(0).alias("role"))
-    else:
-        with_parts = dealt.join(big, (F.col("pair") == F.col("p2")) & (F.col("key") == F.col("k2")), "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-        own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-        # a member builds its own part's tree (role 0) and is probed against the other parts' trees (role 1)
-        work = with_parts.withColumn("own", own).select("id", "fp", "pair", "key", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-        work = work.select("id", "fp", "pair", "key", "part", (F.col("part") != F.col("own")).cast("int").alias("role"))
+        return dealt.select("*", F.lit(0).alias("part"), F.lit(0).alias("role"))
+    with_parts = dealt.join(big, (F.col("pair") == F.col("p2")) & (F.col("key") == F.col("k2")), "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+    work = with_parts.withColumn("own", own).select(*dealt.columns, "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return work.select(*dealt.columns, "part", (F.col("part") != F.col("own")).cast("int").alias("role"))
+
+
+def shards(work: DataFrame, visit, out: str) -> DataFrame:
+    """``visit(shard, rows)`` for each run of rows of one (pair, key, part), roles in order; it returns a frame or None.
+
+    ``shard`` is a dict that lasts as long as the shard does, so rows of one shard may come in several batches.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shard, tree, ids = None, BKTree(), []
+        name, shard = None, {}
         for b in batches:
-            pair, key, part, role = (b[c].to_numpy() for c in ("pair", "key", "part", "role"))
-            fp, ident = b["fp"].to_numpy().view(np.uint64), b["id"].to_numpy()
+            pair, key, part = (b[c].to_numpy() for c in ("pair", "key", "part"))
             new = np.ones(len(b), bool)
             new[1:] = (pair[1:] != pair[:-1]) | (key[1:] != key[:-1]) | (part[1:] != part[:-1])
             starts = np.flatnonzero(new)
-            ends = np.append(starts[1:], len(b))
-            out_a, out_b = [], []
-            for k, (s, e) in enumerate(zip(starts.tolist(), ends.tolist())):
-                name = (int(pair[s]), int(key[s]), int(part[s]))
-                if name != shard:
+            found = []
+            for s, e in zip(starts.tolist(), np.append(starts[1:], len(b)).tolist()):
+                now = int(pair[s]), int(key[s]), int(part[s])
+                if now != name:
+                    name, shard = now, {}
                     if e - s == 1 and e < len(b):
                         continue  # a shard of one: nothing to link, no tree to build
-                    shard, tree, ids = name, BKTree(), []
-                for i in range(s, e):
-                    x = int(fp[i])
-                    if role[i]:
-                        hits = tree.search(x)
-                    else:
-                        hits = tree.add(x)
-                        ids.append(int(ident[i]))
-                    out_a += [int(ident[i])] * len(hits)
-                    out_b += [ids[h] for h in hits]
-            if out_a:
-                yield pd.DataFrame({"a": out_a, "b": out_b})
-
-    dealt_out = work.repartition("pair", "key", "part").sortWithinPartitions("pair", "key", "part", "role", "fp")
-    return dealt_out.mapInPandas(run, "a long, b long").distinct()
+                found += visit(shard, b, s, e)
+            if found:
+                yield pd.DataFrame(found)
+
+    return work.repartition("pair", "key", "part").sortWithinPartitions("pair", "key", "part", "role", "fp").mapInPandas(run, out)
+
+
+def links(nodes: DataFrame) -> DataFrame:
+    """(a, b): star links between the ids of ``nodes`` (id, fp; distinct fp) whose fingerprints are near."""
+    masks = F.array(*(F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in MASKS))
+    dealt = nodes.select("id", "fp", F.posexplode(masks).alias("pair", "mask")).select("id", "fp", "pair", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
+
+    def visit(shard: dict, b: pd.DataFrame, s: int, e: int) -> list[dict]:
+        tree, ids = shard.setdefault("tree", BKTree()), shard.setdefault("ids", [])
+        out = []
+        for x, ident, role in zip(b["fp"].to_numpy()[s:e].view(np.uint64).tolist(), b["id"].to_numpy()[s:e].tolist(), b["role"].to_numpy()[s:e].tolist()):
+            if role:
+                hits = tree.search(x)
+            else:
+                hits = tree.add(x)
+                ids.append(ident)
+            out += [{"a": ident, "b": ids[h]} for h in hits]
+        return out
+
+    return shards(split_shards(dealt), visit, "a long, b long").distinct()
+
+
+def near_pairs(dealt: DataFrame, radius: int) -> DataFrame:
+    """(a, b), a < b: all pairs of ``dealt`` (id, fp, pair, key, root) of one (pair, key), of different roots, within ``radius``."""
+
+    def visit(shard: dict, b: pd.DataFrame, s: int, e: int) -> list[dict]:
+        tree, ids, roots = shard.setdefault("tree", BKTree(radius)), shard.setdefault("ids", []), shard.setdefault("roots", [])
+        out = []
+        columns = (b[c].to_numpy()[s:e] for c in ("id", "root", "role"))
+        for x, ident, root, role in zip(b["fp"].to_numpy()[s:e].view(np.uint64).tolist(), *(c.tolist() for c in columns)):
+            out += [{"a": min(ident, ids[h]), "b": max(ident, ids[h])} for h in tree.near(x) if roots[h] != root]
+            if not role:
+                tree.insert(x)
+                ids.append(ident)
+                roots.append(root)
+        return out
+
+    return shards(split_shards(dealt), visit, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -193,12 +244,15 @@ def components(edges: DataFrame) -> DataFrame:
 def grouped(prints: DataFrame) -> DataFrame:
     """``prints`` (doc_id, fp, ...) with component_id, the smallest doc_id of each row's group of near fingerprints.
 
-    Equal fingerprints are one node, so groups of exact copies cost one row. Null doc_ids are ignored when the smallest
-    is taken; a group of only such rows has a null component_id.
+    Nodes are the distinct fingerprints, so groups of exact copies cost one row, and a doc_id that occurs with several
+    texts links nothing by itself. Null doc_ids link like others but are ignored when the smallest is taken; a group of
+    only such rows has a null component_id. An empty table gives an empty result.
     """
-    nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("id")), "nodes")
-    found = components(links(nodes.where("id is not null")))
-    named = nodes.join(found, "id", "left").select(F.col("fp").alias("node"), F.coalesce("root", "id").alias("component_id"))
+    nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    found = components(links(nodes.select(F.col("fp").alias("id"), "fp")))
+    placed = nodes.join(found, nodes["fp"] == found["id"], "left").select("fp", "least", "root")
+    heads = placed.where("root is not null").groupBy("root").agg(F.min("least").alias("head")).withColumnRenamed("root", "g")
+    named = placed.join(heads, F.col("root") == F.col("g"), "left").select(F.col("fp").alias("node"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("head")).alias("component_id"))
     return prints.join(named, prints["fp"] == named["node"]).drop("node")
 
 

@@ -1,6 +1,7 @@
 """The ten operators on small tables: brute force, round trips, edge cases."""
 
 import hashlib
+import time
 import zlib
 
 import numpy as np
@@ -53,13 +54,34 @@ def test_odd_and_empty_tables(odd, empty, labels, n):
 
 
 def test_toxicity_grammar():
-    machine = toxicity.grammar()
-    words = toxicity.Words({})
-    f = lambda t: toxicity.clause_features(t, words, machine)
-    aimed, plain, negated, told = f("you idiot."), f("what idiot."), f("he is not an idiot."), f("she said idiot.")
-    place = toxicity.PLACE
-    assert aimed[place[(toxicity.INSULT, ("aim",))]] > 0 and plain[0] > 0
-    assert negated[place[(toxicity.INSULT, ("neg", "aim"))]] > 0 and told[place[(toxicity.INSULT, ("rep", "aim"))]] > 0
+    machine, words = toxicity.grammar(), toxicity.Words({})
+    f = lambda t: sum(toxicity.clause_scores(t, words, machine)[0])
+    assert f("you idiot now") == f("idiot now you") == toxicity.AIMED and f("what idiot now") == 1.0
+    assert f("you idiot now") > f("what idiot now") > f("she said idiot") > f("not an idiot") > f("what river now") == 0.0
+    assert f("total idiot here") == toxicity.INTENSE and f("i will kill you") > f("kill the lights") == toxicity.UNANNOUNCED
+    assert f('he wrote: "idiot" twice') == toxicity.REPORTED  # the saying reaches over the colon, the person does not
+    assert f("he said so. what idiot") == 1.0 and f("not so. what idiot") == 1.0  # nothing reaches over a full stop
+    learned = toxicity.Words({"frob*": (toxicity.INSULT, 2.0), "zap": (toxicity.THREAT, 1.0)})
+    g = lambda t: sum(toxicity.clause_scores(t, learned, machine)[0])
+    assert g("a frobnik") == 2.0 and g("we zap") == toxicity.UNANNOUNCED and g("we will zap") == 1.0
+
+
+def test_toxicity_score_orders_clauses(spark):
+    d = "/root/testdata/sf0.01"
+    model = toxicity.fit(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet"))
+    texts = ["you idiot now", "what idiot now", "she said idiot", "not an idiot", "what river now", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("toxicity", F.lit("kept"))
+    got = [r.s for r in toxicity.score(docs, model, "s").orderBy("doc_id").collect()]
+    assert got[0] > got[1] > got[2] > got[3] and got[3] >= got[4] and 0 <= got[5] <= 1
+
+
+def test_held_out_recall(spark):
+    """Recall of toxic documents and clean ones left alone, outside the training fold."""
+    d = "/root/testdata/sf0.1"
+    docs, lab = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    out = toxicity.op1(docs, lab).where("held_out").join(lab, "doc_id").groupBy("toxic").agg(F.avg("predicted")).collect()
+    rate = {r[0]: r[1] for r in out}
+    assert rate[1] > 0.85 and rate[0] < 0.01
 
 
 @pytest.mark.parametrize("name", ["toxic", "quality"])
@@ -107,6 +129,33 @@ def test_secrets(spark):
     assert secrets.redacted(target, forest).collect()[0].text == 'x password: "[SECRET]" and ann.lee7@mail.example.com'
 
 
+def test_secret_candidates_in_linear_time():
+    for text in ("=" * 300_000, "token_" * 50_000, "a=1" * 100_000, "a1:" * 100_000, 'token="' * 40_000):
+        began = time.perf_counter()
+        list(secrets.candidates(text))
+        assert time.perf_counter() - began < 5
+    assert [v for _, v, _, _ in secrets.candidates("see x=y=Abcdefgh1234567 now")] == ["Abcdefgh1234567"]
+
+
+def test_forest_against_plain_trees(spark):
+    """Each tree's leaf by following its nodes one by one; labelled findings of a user train it."""
+    rows = [(hashlib.sha1(str(i).encode()).hexdigest(), "token = ", " x", 1) for i in range(40)] + [(f"/usr/lib/mod{i}/file.so", "see ", " x", 0) for i in range(40)] + [(None, None, None, 1), ("abc", "", "", None)]
+    labels = spark.createDataFrame(rows, "value string, before string, after string, label int")
+    docs = spark.createDataFrame([(1, "some plain words some plain words")], "doc_id long, text string")
+    forest = secrets.fit(docs, labels=labels)
+    x = np.array([secrets.shape(v, p, q, forest.known) for v, p, q, _ in rows[:80]])
+    for row, got in zip(x, forest(x)):
+        leaves = []
+        for t in range(secrets.TREES):
+            at = 0
+            while forest.left[t, at] != at or forest.right[t, at] != at:
+                at = forest.left[t, at] if row[forest.feature[t, at]] <= forest.cut[t, at] else forest.right[t, at]
+            leaves.append(forest.value[t, at])
+        assert got == pytest.approx(np.mean(leaves))
+    assert (forest(x[:40]) > 0.5).all() and (forest(x[40:]) < 0.5).all()
+    assert secrets.path_shape("/usr/lib/file.so", "") == [1.0, 1.0, 1.0] and secrets.path_shape("9f8e7d", "x") == [0.0, 0.0, 0.0]
+
+
 def test_fingerprint_by_hand():
     text = "One two THREE four five é"
     words = "one two three four five é".encode().split()
@@ -138,6 +187,24 @@ def test_components_against_brute_force(spark, monkeypatch, shard):
     assert got == {i: find(i) for i, _ in docs}
 
 
+def test_components_with_shared_and_null_ids(spark):
+    """Two texts of one doc_id link nothing by themselves; null ids link like others."""
+    rows = [(5, 0x1), (5, 0xFFFF0000), (3, 0x3), (None, 0xFFFF0001), (9, 0xFFFF00000000), (None, 0xF0F0F0F0F0F0)]
+    got = sorted(((r.doc_id, r.fp, r.component_id) for r in simhash.grouped(spark.createDataFrame(rows, "doc_id long, fp long")).collect()), key=str)
+    want = [(5, 0x1, 3), (5, 0xFFFF0000, 5), (3, 0x3, 3), (None, 0xFFFF0001, 5), (9, 0xFFFF00000000, 9), (None, 0xF0F0F0F0F0F0, None)]
+    assert got == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("shard", [20_000, 7])
+def test_wide_radius_pairs_against_brute_force(spark, monkeypatch, shard):
+    monkeypatch.setattr(simhash, "SHARD", shard)
+    rng = np.random.default_rng(8)
+    rows = [(i, int(rng.integers(-(1 << 63), 1 << 63)) if i % 3 else 7 << (i % 9), i % 2, i % 4 // 2, i % 5) for i in range(60)]
+    got = {(r.a, r.b) for r in simhash.near_pairs(spark.createDataFrame(rows, "id long, fp long, pair int, key long, root long"), 27).collect()}
+    want = {(x[0], y[0]) for x in rows for y in rows if x[0] < y[0] and x[2:4] == y[2:4] and x[4] != y[4] and ((x[1] ^ y[1]) & (1 << 64) - 1).bit_count() <= 27}
+    assert got == want and want
+
+
 def test_base_counts():
     text = "a b c d e f g h\nsame line\nsame line\n \na b c d e f g h $5 <x>"
     n, chars, symbols, dup, repeat = perplexity.base_counts(text)
@@ -146,16 +213,69 @@ def test_base_counts():
     assert perplexity.base_counts(None) == (0, 0, 0, 0, 0)
 
 
-def test_kneser_ney_sums_to_one(spark):
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["banana bandana", "ananas", "", None, "band"] * 3)], "doc_id long, text string")
-    model = {r.gram: np.exp(r.logp) for r in perplexity.kneser_ney(perplexity.count_grams(docs)).collect()}
-    seen: dict = {}
-    for g, p in model.items():
-        seen[g >> 8] = seen.get(g >> 8, 0) + p
-    assert all(0 < p <= 1 for p in model.values()) and max(seen.values()) <= 1 + 1e-9
-    a = {r.doc_id: r.log_ppl for r in perplexity.log_perplexity(docs, perplexity.kneser_ney(perplexity.count_grams(docs))).collect()}
-    b = {r.doc_id: r.log_ppl for r in perplexity.log_perplexity(docs, perplexity.kneser_ney(perplexity.count_grams(docs)), entries=5).collect()}
-    assert all(a[k] is None and b[k] is None or abs(a[k] - b[k]) < 1e-6 for k in a)
+def plain_kneser_ney(texts, order, least):
+    """P(byte | history) by the definition, with dictionaries over byte strings."""
+    levels = {order: {}}
+    for t in texts:
+        raw = b"\0" * (order - 1) + (t or "").encode()
+        for i in range(len(raw) - order + 1):
+            levels[order][raw[i : i + order]] = levels[order].get(raw[i : i + order], 0) + 1
+    for k in range(order - 1, 0, -1):
+        levels[k] = {}
+        for g in levels[k + 1]:
+            levels[k][g[1:]] = levels[k].get(g[1:], 0) + 1
+    cuts = {}
+    for k, level in levels.items():
+        n = [sum(c == i for c in level.values()) for i in range(5)]
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] + n[2] else 0.5
+        cuts[k] = [max(0.05, min(i - 0.05, i - (i + 1) * y * n[i + 1] / n[i])) if n[i] and n[i + 1] else 0.5 * i for i in (1, 2, 3)]
+
+    def prob(h, w, k):
+        if k == 0:
+            return 1 / 256
+        own = {g: c for g, c in levels[k].items() if g[:-1] == h}
+        below = prob(h[1:], w, k - 1)
+        if not own:
+            return below
+        d = {g: c if k == order > 1 and c < least else cuts[k][min(c, 3) - 1] for g, c in own.items()}
+        c = own.get(h + w, 0)
+        return (c - d.get(h + w, 0) + sum(d.values()) * below) / sum(own.values())
+
+    return lambda h, w: prob(h, w, order)
+
+
+@pytest.mark.parametrize("order", [3, 6])
+def test_kneser_ney_against_the_definition(spark, order):
+    texts = ["banana bandana", "ananas", "", None, "band", "a bandana band", "banana"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = perplexity.kneser_ney(perplexity.count_grams(docs, order), order)
+    rows = model.collect()
+    tables = {(k, kind): perplexity.HashArray(np.array([r.gram for r in rows if (r.k, r.kind) == (k, kind)], np.int64).view(np.uint64), np.array([r.value for r in rows if (r.k, r.kind) == (k, kind)], np.float32)) for k in range(1, order + 1) for kind in (0, 1)}
+    want = plain_kneser_ney(texts, order, 2)
+    for h in (b"\0\0\0\0\0", b"banan", b"xxban", b"a ban", b"zzzzz"):
+        h = h[len(h) - order + 1 :]
+        g = np.array([int.from_bytes(h + bytes([w]), "big") for w in range(256)], np.uint64)
+        p = np.exp(perplexity._log_probabilities(g, tables, order).astype(float))
+        assert p.sum() == pytest.approx(1, abs=1e-5) and np.allclose(p, [want(h, bytes([w])) for w in range(256)], rtol=1e-4)
+    other = spark.createDataFrame([(1, "banana"), (2, "qzx#@!9wvk"), (3, None), (4, "")], "doc_id long, text string")
+    a, b = ({r.doc_id: r.log_ppl for r in perplexity.log_perplexity(other, model, order, n).collect()} for n in (10**6, 5))
+    assert a[1] < 1 < 5 < a[2] and a[3] is None and a[4] is None  # text of unseen n-grams is the worst
+    assert all(a[k] == b[k] or abs(a[k] - b[k]) < 1e-5 for k in a)
+
+
+def test_bands_and_kept(spark):
+    """Bands equal exact quantiles to a histogram step, and verdicts follow from them."""
+    d = "/root/testdata/sf0.01"
+    got = perplexity.op6(spark.read.parquet(f"{d}/documents.parquet")).toPandas()
+    for lang, g in got.groupby("lang"):
+        x = np.sort(g["log_ppl"].dropna().to_numpy())
+        q1, mid, q3 = (x[int(np.ceil(q * len(x))) - 1] for q in (0.25, 0.5, 0.75))
+        spread, root = max(q3 - q1, 10 * perplexity.STEP), np.sqrt(np.maximum(g["n_bytes"], 1))
+        low, high = mid - perplexity.BAND_LOW * spread - perplexity.ROOM_LOW / root, mid + perplexity.BAND_HIGH * spread + perplexity.ROOM_HIGH / root
+        clear = ((g["log_ppl"] - low).abs() > 0.02) & ((g["log_ppl"] - high).abs() > 0.02)
+        want = ~g["base_failed"] & (g["log_ppl"] > low) & (g["log_ppl"] < high)
+        assert (g["kept"] == want)[clear].all() and clear.mean() > 0.5
+    assert (~got["kept"] & ~got["base_failed"]).any()
 
 
 def test_packing_plan_against_per_document_best_fit():
@@ -238,6 +358,12 @@ def test_mixing(spark, sf):
     a, b = (sorted(tuple(r) for r in mixing.op10(docs).collect()) for _ in range(2))
     assert a == b
     assert mixing.targets({"a": 100, "b": 100, None: 10}) == {"a": 150.0, "b": 60.0, None: 0.0} or sum(mixing.targets({"a": 100, "b": 100, None: 10}).values()) == pytest.approx(210)
+    per: dict = {}
+    for r in mixing.mixed(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect():
+        per.setdefault((r.source, r.source_size, r.target), []).append((r.size, r.copies))
+    for (_, size, target), own in per.items():  # words near the target, the number of documents within one of its own
+        assert abs(sum(s * c for s, c in own) - target) <= 0.005 * target and sum(s for s, _ in own) == size
+        assert abs(sum(c for _, c in own) - target / size * len(own)) < 1.001 and all(0 <= c <= 3 for _, c in own)
     p = np.array([0.3, 0.5, 0.7, 0.2, 0.9, 0.4] * 20)
     size = np.arange(120) + 1
     out = mixing.flight(p, size, np.random.default_rng(0).random(120), land=False)
