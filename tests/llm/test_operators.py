@@ -353,6 +353,31 @@ def test_repeats_against_brute_force(spark, shard):
         assert bytes(out[i].kept) == bytes(b for b, g in zip(r, gone) if not g) and out[i].n_removed == gone.sum()
 
 
+@pytest.mark.parametrize("shard", [8000, 3])
+def test_passages_against_brute_force(spark, shard):
+    """Words in windows that another document holds; a window that only its own document repeats does not count."""
+    rng = np.random.default_rng(6)
+    passage, word = 12, lambda n: " ".join(rng.choice(["a", "bé", "c", "dd"], n))
+    shared = [word(n) for n in (12, 18, 30)]
+    texts = [word(9) + "\n" + shared[i % 3] + "\t" + word(7) + " " + " ".join(shared[(i + 1) % 3].split()[:14]) for i in range(24)]
+    own = " ".join(f"w{i}" for i in range(15))
+    texts += [own + " " + own, "", None, shared[0], "  " + shared[2] + " x", "a b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r.n_passage_words for r in suffixdedup.cleaned(docs, 400, shard=shard, passage=passage).collect()}
+    words = [(t or "").split() for t in texts]
+    holds: dict = {}
+    for i, w in enumerate(words):
+        for s in range(len(w) - passage + 1):
+            holds.setdefault(tuple(w[s : s + passage]), set()).add(i)
+    for i, w in enumerate(words):
+        cover = np.zeros(len(w), bool)
+        for s in range(len(w) - passage + 1):
+            if len(holds[tuple(w[s : s + passage])]) > 1:
+                cover[s : s + passage] = True
+        assert out[i] == cover.sum(), i
+    assert out[24] == 0 and out[27] == 12
+
+
 def test_mixing(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     a, b = (sorted(tuple(r) for r in mixing.op10(docs).collect()) for _ in range(2))
