@@ -53,7 +53,8 @@ def whole_minutes(start: Column, end: Column) -> Column:
 def language(text: Column) -> Column:
     """The language whose stopwords occur most often; ties go to the first in the table; no hit gives null."""
     words = F.split(F.lower(text), r"[^\p{L}]+")
-    votes = [(F.size(F.filter(words, lambda w, s=s: w.isin(*s.split()))), k) for k, s in STOPWORDS.items()]
+    held = lambda s: F.size(F.filter(words, lambda w: w.isin(*s.split())))  # noqa: E731  (a filter's own second argument would be an index)
+    votes = [(held(s), k) for k, s in STOPWORDS.items()]
     best = F.greatest(*(v for v, _ in votes))
     return F.when(best > 0, F.coalesce(*(F.when(v == best, F.lit(k)) for v, k in votes)))
 

@@ -23,17 +23,14 @@ def clusters(candidates: DataFrame, minutes: int = 90) -> DataFrame:
     """
 
     def fold(g: pd.DataFrame) -> pd.DataFrame:
-        open_: list[list] = []  # last time, segments, number
-        out = []
+        open_: list[list] = []  # last time, segments, number: only those still open
+        out, made, limit = [], 0, pd.Timedelta(minutes=minutes)
         for row in g.sort_values(["ts", "id"]).itertuples():
-            best, most = None, -1
-            for c in open_:
-                if row.ts - c[0] <= pd.Timedelta(minutes=minutes):
-                    score = 4 * (row.segment in c[1]) + 1
-                    if score > most:
-                        best, most = c, score
+            open_ = [c for c in open_ if row.ts - c[0] <= limit]
+            best = max(open_, key=lambda c: 4 * (row.segment in c[1]) + 1, default=None)  # the first of equal ones
             if best is None:
-                best = [row.ts, set(), len(open_)]
+                best = [row.ts, set(), made]
+                made += 1
                 open_.append(best)
             best[0] = max(best[0], row.ts)
             best[1].add(row.segment)
@@ -44,7 +41,11 @@ def clusters(candidates: DataFrame, minutes: int = 90) -> DataFrame:
 
 
 def greedy_matches(pairs: DataFrame, key: str) -> DataFrame:
-    """(lid, rid): one-to-one, in the order of lid; each takes its closest unmatched partner, ties by rid."""
+    """(lid, rid): one-to-one, in the order of lid; each takes its closest unmatched partner, ties by rid.
+
+    ``pairs``: key, lid, lts, rid, rts, apart_us. Pairs that overlap no other pair's span of time can't compete, so the
+    fold runs in blocks of overlapping spans instead of whole keys.
+    """
 
     def fold(g: pd.DataFrame) -> pd.DataFrame:
         taken, out = set(), []
@@ -55,4 +56,8 @@ def greedy_matches(pairs: DataFrame, key: str) -> DataFrame:
                 out.append((lid, rid))
         return pd.DataFrame(out, columns=["lid", "rid"])
 
-    return pairs.select(key, "lid", "rid", "apart_us").groupBy(key).applyInPandas(fold, "lid long, rid long")
+    w = W.partitionBy(key).orderBy("start", "lid", "rid")
+    spans = pairs.select(key, "lid", "rid", "apart_us", F.least("lts", "rts").alias("start"), F.greatest("lts", "rts").alias("end"))
+    fresh = F.coalesce(F.col("start") > F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(True))
+    spans = spans.withColumn("fresh", fresh.cast("int")).withColumn("block", F.sum("fresh").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    return spans.groupBy(key, "block").applyInPandas(fold, "lid long, rid long")

@@ -23,6 +23,7 @@ def earliest_arrivals(queries: DataFrame, stops: DataFrame, walks: DataFrame | N
     later stop of the trip; 0 for the timetable). ``walks``: a, b, seconds. A change of vehicle takes CHANGE_SECONDS;
     the first departure is at most ``max_wait`` after the query's time.
     """
+    stops = written(stops)  # read twice a round
     labels = queries.select("query", "station", F.col("depart").alias("arrival"), F.lit(0).alias("rides"))
     board = stops.select(F.col("trip"), F.col("seq").alias("from_seq"), "station", F.col("time").alias("leave"))
     later = stops.select("trip", "seq", F.col("station").alias("to"), F.col("time").alias("reach"), "run")
@@ -47,6 +48,7 @@ def journeys(queries: DataFrame, stops: DataFrame, rounds: int, max_wait: int =
     ``queries``: query, station, depart. ``stops``: trip, seq, station, time, line. ``banned``: query, line; a query
     never boards a line that is banned for it. ``query`` may be of any type, so one run serves many plans.
     """
+    stops = written(stops)  # read twice a round
     labels = queries.select("query", "station", F.col("depart").alias("arrival"), F.expr("cast(array() as array<bigint>)").alias("trips"))
     board = stops.select("trip", "line", F.col("seq").alias("from_seq"), "station", F.col("time").alias("leave"))
     later = stops.select("trip", "seq", F.col("station").alias("to"), F.col("time").alias("reach"))

@@ -370,12 +370,12 @@ def seeded_draws(spark, d):  # the n-th draw is a function of seed and n, so dra
     return users.select("user_id", "draw", risk.draw(F.concat(F.lit("user-"), F.col("user_id").cast("string")), F.col("draw")).alias("u"))
 
 
-@query("q_mth21_simple_penalty", f"""SELECT p_partkey, floor(round(120 * (m - 1), 6) + 0.5) AS penalty_seconds, round(m, 4) AS multiplier, CAST(least(1.0, round(0.34 + 0.075 * least(p_size % 9, 6) + CASE WHEN p_size % 4 = 0 THEN 0.18 ELSE 0 END, 3)) AS DOUBLE) AS evidence
+@query("q_mth21_simple_penalty", f"""SELECT p_partkey, floor(round(120 * (m - 1), 6) + 0.5) AS penalty_seconds, floor(round(m * 10000, 4) + 0.5) / 10000 AS multiplier, CAST(least(1.0, round(0.34 + 0.075 * least(p_size % 9, 6) + CASE WHEN p_size % 4 = 0 THEN 0.18 ELSE 0 END, 3)) AS DOUBLE) AS evidence
  FROM (SELECT *, greatest(1.0, 1 + ({_mult} - 1) * ((p_size % 21) / 20.0) * {_isw} * CASE WHEN p_partkey % 2 = 0 THEN 1.0 ELSE 0.4 END) AS m FROM part)""")
 def simple_penalty(spark, d):  # a cleared signal leaves 0.4 of its delay
     m = F.greatest(F.lit(1.0), 1 + (risk.lookup(F.col("severity"), K.SEVERITY, 1.0) - 1) * F.col("confidence") * risk.lookup(F.col("issue"), K.ISSUE, 0.5) * F.when(F.col("p_partkey") % 2 == 0, 1.0).otherwise(0.4))
     evidence = F.least(F.lit(1.0), F.round(0.34 + 0.075 * F.least(F.col("p_size") % 9, F.lit(6)) + F.when(F.col("p_size") % 4 == 0, 0.18).otherwise(0.0), 3))
-    return segments(spark, d).select("p_partkey", risk.half_up(F.round(120 * (m - 1), 6)).alias("penalty_seconds"), F.round(m, 4).alias("multiplier"), evidence.alias("evidence"))
+    return segments(spark, d).select("p_partkey", risk.half_up(F.round(120 * (m - 1), 6)).alias("penalty_seconds"), (risk.half_up(F.round(m * 10000, 4)) / 10000).alias("multiplier"), evidence.alias("evidence"))
 
 
 _conf22 = "(p_size % 21) / 20.0 * ((p_partkey % 10) / 10.0)"
@@ -469,7 +469,8 @@ def overlay_diagnostics(spark, d):
     return e.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query("q_str08_typo_distance")
+@query("q_str08_typo_distance", """SELECT p_partkey, p_name, mention, CASE WHEN distance <= CASE WHEN length(p_name) >= 8 THEN 2 ELSE 1 END THEN distance END AS distance FROM (SELECT *, damerau_levenshtein(p_name, mention) AS distance FROM
+ (SELECT p.p_partkey, p.p_name, n.p_name AS mention FROM part p JOIN part n ON n.p_partkey = p.p_partkey + 1 UNION ALL SELECT p_partkey, p_name, concat(substr(p_name, 2, 1), substr(p_name, 1, 1), substr(p_name, 3)) FROM part))""")
 def typo_distance(spark, d):  # each name against its neighbour's and against itself with two letters swapped
     p = read(spark, d, "part").select("p_partkey", "p_name")
     nxt = p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("mention"))

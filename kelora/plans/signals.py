@@ -133,10 +133,10 @@ def severity_floor(spark, d):
     return evidence(spark, d).where("event_type <> 'error'").groupBy("segment").agg(F.max("severity").alias("m")).select("segment", F.greatest("m", floor).cast("long").alias("severity"))
 
 
-@query("q_agg26_merge_sources", "SELECT user_id, event_type, min(ts) AS first_ts FROM (SELECT * FROM events WHERE event_id % 2 = 0 UNION ALL SELECT * FROM events WHERE event_id % 3 = 0) GROUP BY ALL")
+@query("q_agg26_merge_sources", "SELECT user_id, event_type, min(ts) AS first_ts FROM (SELECT * FROM events WHERE event_type <> 'error' UNION ALL SELECT * FROM events WHERE event_type = 'error' OR value >= 50) GROUP BY ALL")
 def merge_sources(spark, d):
     e = read(spark, d, "events")
-    return e.where("event_id % 2 = 0").unionByName(e.where("event_id % 3 = 0")).groupBy("user_id", "event_type").agg(F.min("ts").alias("first_ts"))
+    return e.where("event_type <> 'error'").unionByName(e.where("event_type = 'error' or value >= 50")).groupBy("user_id", "event_type").agg(F.min("ts").alias("first_ts"))
 
 
 @query("q_agg29_fastest", "SELECT p_brand, arg_min(p_partkey, p_retailprice * 1000000 + p_partkey) AS fastest FROM part GROUP BY p_brand")
@@ -161,9 +161,9 @@ def top_itineraries(spark, d):
     return read(spark, d, "orders").withColumn("rn", F.row_number().over(w)).where("rn <= 3").select("o_custkey", "o_orderkey")
 
 
-@query("q_set01_union_corpora", "SELECT 'doc' AS kind, doc_id AS id, text FROM documents WHERE doc_id < 50 UNION ALL SELECT 'bench', item_id, text FROM benchmark")
+@query("q_set01_union_corpora", "SELECT 'doc' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'bench', item_id, text FROM benchmark")
 def union_corpora(spark, d):
-    a = read(spark, d, "documents").where("doc_id < 50").select(F.lit("doc").alias("kind"), F.col("doc_id").alias("id"), "text")
+    a = read(spark, d, "documents").select(F.lit("doc").alias("kind"), F.col("doc_id").alias("id"), "text")
     return a.unionByName(read(spark, d, "benchmark").select(F.lit("bench").alias("kind"), F.col("item_id").alias("id"), "text"))
 
 
@@ -274,10 +274,10 @@ def variant_path(spark, d):
     return read(spark, d, "events").groupBy(k.alias("k")).agg(F.count("*").alias("n"))
 
 
-@query("q_arr05_pattern_walk", "SELECT vec_id, CAST(i - 1 AS BIGINT) AS pos, embedding[i] AS stop, embedding[i + 8] AS arrival FROM embeddings, (SELECT unnest(range(1, 9)) AS i) WHERE vec_id < 200")
+@query("q_arr05_pattern_walk", "SELECT vec_id, CAST(i - 1 AS BIGINT) AS pos, embedding[i] AS stop, embedding[i + 32] AS arrival FROM embeddings, (SELECT unnest(range(1, 33)) AS i)")
 def pattern_walk(spark, d):
-    zipped = F.arrays_zip(F.slice("embedding", 1, 8).alias("a"), F.slice("embedding", 9, 8).alias("b"))
-    out = read(spark, d, "embeddings").where("vec_id < 200").select("vec_id", F.posexplode(zipped).alias("pos", "z"))
+    zipped = F.arrays_zip(F.slice("embedding", 1, 32).alias("a"), F.slice("embedding", 33, 32).alias("b"))
+    out = read(spark, d, "embeddings").select("vec_id", F.posexplode(zipped).alias("pos", "z"))
     return out.select("vec_id", F.col("pos").cast("long").alias("pos"), F.col("z.a").alias("stop"), F.col("z.b").alias("arrival"))
 
 

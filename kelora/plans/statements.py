@@ -39,9 +39,11 @@ def repost_texts(spark, d):
     return h.agg(F.count("*").alias("reposted"), F.coalesce(F.sum("count"), F.lit(0)).alias("documents"))
 
 
-@query("q_win04_document_dedupe", "SELECT doc_id, first_value(doc_id) OVER (PARTITION BY source, left(text, 40) ORDER BY doc_id) AS original FROM documents")
+@query("q_win04_document_dedupe", "SELECT doc_id, first_value(doc_id) OVER (PARTITION BY source, regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g') ORDER BY doc_id) AS original FROM documents")
 def document_dedupe(spark, d):
-    docs = read(spark, d, "documents").select("doc_id", "source", F.substring("text", 1, 40).alias("slug"))
+    # the whole text's slug; only its digest is shuffled
+    slug = F.sha2(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", "-").cast("binary"), 256)
+    docs = read(spark, d, "documents").select("doc_id", "source", slug.alias("slug"))
     first = docs.groupBy("source", "slug").agg(F.min("doc_id").alias("original"))  # an aggregate and a join: a hot slug is split
     return docs.join(first, ["source", "slug"]).select("doc_id", "original")
 
@@ -67,12 +69,17 @@ def rule_scores(spark, d):
     return one.unpivot(["lang"], [r for r, _ in _RULES], "rule", "score").where("score is not null").select("lang", "rule", F.round("score", 4).alias("score"))
 
 
-@query("q_str15_language_vote")
+_VOTES = ", ".join(f"len(list_filter(ws, lambda w: list_contains({s.split()}, w))) AS {k}" for k, s in text.STOPWORDS.items())
+_MOST = f"greatest({', '.join(text.STOPWORDS)})"
+
+
+@query("q_str15_language_vote", f"""SELECT lang, CASE WHEN {_MOST} = 0 THEN NULL {' '.join(f"WHEN {k} = {_MOST} THEN '{k}'" for k in text.STOPWORDS)} END AS voted, count(*) AS n
+ FROM (SELECT lang, {_VOTES} FROM (SELECT lang, string_split_regex(lower(text), '[^\\p{{L}}]+') AS ws FROM documents)) GROUP BY ALL""")
 def language_vote(spark, d):
     return read(spark, d, "documents").groupBy("lang", text.language(F.col("text")).alias("voted")).agg(F.count("*").alias("n"))
 
 
-@query("q_str13_fnv1a")
+@query("q_str13_fnv1a", "SELECT p_partkey, list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(p_name, ''), lambda c: unicode(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) % 4294967296) AS hash FROM part")
 def fnv(spark, d):
     return read(spark, d, "part").select("p_partkey", text.fnv1a(F.col("p_name")).alias("hash"))
 
@@ -139,12 +146,16 @@ def titles(spark, d):
     return read(spark, d, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
 
 
-@query("q_jon21_longest_prefix", "SELECT doc_id, arg_max(item_id, len * 1000000 - item_id) AS item_id FROM (SELECT d.doc_id, b.item_id, length(b.k) AS len FROM documents d JOIN (SELECT item_id, left(text, 12) AS k FROM benchmark UNION ALL SELECT item_id, left(text, 3) FROM benchmark) b ON starts_with(d.text, b.k)) GROUP BY doc_id")
+_KEYS = "(SELECT k, min(item_id) AS item_id FROM (SELECT item_id, string_split(text, ' ')[1] AS k FROM benchmark UNION ALL SELECT item_id, left(text, 3) FROM benchmark) WHERE k <> '' GROUP BY k)"
+
+
+@query("q_jon21_longest_prefix", f"SELECT doc_id, arg_max(item_id, length(k)) AS item_id FROM documents JOIN {_KEYS} ON starts_with(text, k) GROUP BY doc_id")
 def longest_prefix(spark, d):
     b = read(spark, d, "benchmark")
-    keys = b.select("item_id", F.substring("text", 1, 12).alias("k")).unionByName(b.select("item_id", F.substring("text", 1, 3).alias("k")))
-    keys = keys.groupBy("k").agg(F.min("item_id").alias("item_id"))
-    # prefixes of the two lengths that occur are equi keys: no theta join
-    docs = read(spark, d, "documents").select("doc_id", F.explode(F.array(F.substring("text", 1, 12), F.substring("text", 1, 3))).alias("k"))
-    hit = docs.join(keys, "k").withColumn("len", F.length("k"))
-    return hit.groupBy("doc_id").agg(F.max_by("item_id", F.struct("len", (-F.col("item_id")).alias("o"))).alias("item_id"))
+    keys = b.select("item_id", F.split("text", " ")[0].alias("k")).unionByName(b.select("item_id", F.substring("text", 1, 3).alias("k")))
+    keys = keys.where("k <> ''").groupBy("k").agg(F.min("item_id").alias("item_id"))
+    # prefixes of every length that a key has are equi keys: no theta join
+    lengths = sorted(r[0] for r in keys.select(F.length("k")).distinct().collect())  # the lengths of words: a few numbers
+    docs = read(spark, d, "documents").select("doc_id", F.explode(F.array(*(F.substring("text", 1, n) for n in lengths or [1]))).alias("k")).distinct()
+    hit = docs.join(keys, "k")
+    return hit.groupBy("doc_id").agg(F.max_by("item_id", F.length("k")).alias("item_id"))

@@ -73,3 +73,43 @@ def test_typo_distance(spark, sf):
     for r in rows:
         want = brute(r.p_name, r.mention)
         assert r.distance == (want if want <= (2 if len(r.p_name) >= 8 else 1) else None)
+
+
+def test_greedy_matches_and_clusters_against_plain_loops(spark):
+    import datetime as dt
+
+    import numpy as np
+
+    from kelora.operators import cluster
+
+    rng, at = np.random.default_rng(2), lambda m: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=int(m))
+    left = [(int(u), i, at(m)) for i, (u, m) in enumerate(zip(rng.integers(0, 4, 60), rng.integers(0, 9000, 60)))]
+    right = [(int(u), 100 + i, at(m)) for i, (u, m) in enumerate(zip(rng.integers(0, 4, 60), rng.integers(0, 9000, 60)))]
+    pairs = [(u, i, a, j, b, int(abs((a - b).total_seconds()) * 1_000_000)) for u, i, a in left for v, j, b in right if u == v and abs((a - b).total_seconds()) <= 360 * 60]
+    kinds = "user_id long, lid long, lts timestamp_ntz, rid long, rts timestamp_ntz, apart_us long"
+    got = {r.lid: r.rid for r in cluster.greedy_matches(spark.createDataFrame(pairs, kinds), "user_id").collect()}
+    taken, want = set(), {}
+    for _, i, _ in sorted(left, key=lambda x: x[1]):
+        for p in sorted((p for p in pairs if p[1] == i), key=lambda p: (p[5], p[3])):
+            if p[3] not in taken:
+                taken.add(p[3])
+                want[i] = p[3]
+                break
+    assert got == want and len(want) > 10
+
+    seen = [(i, int(line), int(seg), at(m)) for i, (line, seg, m) in enumerate(zip(rng.integers(0, 2, 120), rng.integers(0, 6, 120), rng.integers(0, 4000, 120)))]
+    out = cluster.clusters(spark.createDataFrame(seen, "id long, line long, segment long, ts timestamp_ntz")).collect()
+    named = {r.id: (r.line, r.block, r.cluster) for r in out}
+    made: list = []
+    plain = {}
+    for i, line, seg, t in sorted(seen, key=lambda x: (x[3], x[0])):
+        open_ = [c for c in made if c[0] == line and t - c[1] <= dt.timedelta(minutes=90)]
+        best = max(open_, key=lambda c: 4 * (seg in c[2]) + 1, default=None)
+        if best is None:
+            best = [line, t, set(), len(made)]
+            made.append(best)
+        best[1] = t
+        best[2].add(seg)
+        plain[i] = best[3]
+    assert len(set(named.values())) == len(made)
+    assert all((named[i] == named[j]) == (plain[i] == plain[j]) for i in plain for j in plain)
