@@ -85,7 +85,7 @@ def grams(texts, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
     return out[own], sizes
 
 
-def _batches(text: pd.Series, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def _batches(text: pd.Series, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about ``most`` characters."""
     start = size = 0
     for i, t in enumerate(text):
@@ -109,9 +109,9 @@ def count_grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
         for b in batches:
             for i, j in _batches(b["text"]):
                 found.append(np.unique(grams(b["text"].iloc[i:j], order)[0], return_counts=True))
-                if sum(len(k) for k, _ in found) > 4_000_000:
+                if sum(len(k) for k, _ in found) > 2_000_000:
                     found = [merge(found)]
-                    if len(found[0][0]) > 3_000_000:  # a task's table is bounded; Spark sums the parts
+                    if len(found[0][0]) > 1_500_000:  # a task's table is bounded; Spark sums the parts
                         yield pd.DataFrame({"gram": found[0][0].view(np.int64), "n": found[0][1]})
                         found = []
         if found:
@@ -162,15 +162,20 @@ def kneser_ney(counts: DataFrame, order: int = ORDER, least: int = 2) -> DataFra
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
+def by_hash(grams: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Packed n-grams and their values, sorted by hash."""
+    at = np.argsort(grams * _SPREAD)
+    return grams[at], values[at].astype(np.float32)
+
+
 class HashArray:
-    """Packed n-grams and their values, sorted by hash, with an index of where each hash prefix begins."""
+    """A sorted hash array with an index of where each hash prefix begins."""
 
     def __init__(self, grams: np.ndarray, values: np.ndarray):
-        h = grams * _SPREAD
-        at = np.argsort(h)
         self.bits = np.uint64(64 - max(1, int(2 * len(grams)).bit_length()))
-        self.keys, self.values = np.append(grams[at], np.uint64(0)), np.append(values[at], 0).astype(np.float32)
-        self.start = np.searchsorted(h[at] >> self.bits, np.arange((1 << int(64 - self.bits)) + 1, dtype=np.uint64)).astype(np.int32)
+        self.keys, self.values = np.append(grams, np.uint64(0)), np.append(values, np.float32(0))
+        counts = np.bincount((grams * _SPREAD >> self.bits).astype(np.int64), minlength=1 << int(64 - self.bits))
+        self.start = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
 
     def __call__(self, grams: np.ndarray) -> np.ndarray:
         """The value of each n-gram; NaN where it is not held."""
@@ -205,6 +210,25 @@ def _log_probabilities(g: np.ndarray, model: dict, order: int) -> np.ndarray:
     return out
 
 
+def _packed(model: DataFrame, order: int) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
+    """(k, kind) -> n-grams and values sorted by hash. Tasks pack their rows into bytes, so the driver holds 12 bytes an entry."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+        for b in batches:
+            for x, rows in b.groupby(["k", "kind"]):
+                own = held.setdefault(x, ([], []))
+                own[0].append(rows["gram"].to_numpy(np.int64).tobytes())
+                own[1].append(rows["value"].to_numpy(np.float32).tobytes())
+        if held:
+            yield pd.DataFrame([(k, kind, b"".join(g), b"".join(v)) for (k, kind), (g, v) in held.items()], columns=["k", "kind", "grams", "values"])
+
+    parts: dict = {(k, kind): [] for k in range(1, order + 1) for kind in (0, 1)}
+    for r in model.mapInPandas(run, "k int, kind int, grams binary, values binary").collect():
+        parts[r.k, r.kind].append((r.grams, r["values"]))
+    return {x: by_hash(np.frombuffer(b"".join(g for g, _ in own), np.uint64), np.frombuffer(b"".join(v for _, v in own), np.float32)) for x, own in parts.items()}
+
+
 def log_perplexity(docs: DataFrame, model: DataFrame, order: int = ORDER, entries: int = PASS_ENTRIES) -> DataFrame:
     """``docs`` plus n_bytes and log_ppl (mean negative log-probability of a byte; null for empty texts and nulls).
 
@@ -226,17 +250,13 @@ def log_perplexity(docs: DataFrame, model: DataFrame, order: int = ORDER, entrie
     names, schema = docs.columns, docs.schema
     for k, own in enumerate(passes):
         part = model if len(passes) == 1 else model.where((F.col("k") == 1) | byte.isin(own))
-        got = part.toPandas()  # about `entries` rows, or one byte's share
-        tables = {}
-        for x in [(k, kind) for k in range(1, order + 1) for kind in (0, 1)]:
-            rows = got[(got["k"] == x[0]) & (got["kind"] == x[1])]
-            tables[x] = HashArray(rows["gram"].to_numpy(np.int64).view(np.uint64), rows["value"].to_numpy(np.float32))
-        del got
+        arrays = _packed(part, order)
         mine = np.isin(np.arange(256), own)
-        sent = spark.sparkContext.broadcast((tables, mine))
+        sent = spark.sparkContext.broadcast((arrays, mine))  # about `entries` entries, or one byte's share
 
         def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            tables, mine = sent.value
+            arrays, mine = sent.value
+            tables = {x: HashArray(*own) for x, own in arrays.items()}
             for b in batches:
                 for i, j in _batches(b["text"]):
                     part = b.iloc[i:j]
