@@ -203,19 +203,34 @@ def links(nodes: DataFrame) -> DataFrame:
     return shards(split_shards(dealt), visit, "a long, b long").distinct()
 
 
-def near_pairs(dealt: DataFrame, radius: int) -> DataFrame:
-    """(a, b), a < b: all pairs of ``dealt`` (id, fp, pair, key, root) of one (pair, key), of different roots, within ``radius``."""
+def near_links(dealt: DataFrame, radius: int, similar) -> DataFrame:
+    """(a, b): links that join roots, between rows of ``dealt`` (id, fp, pair, key, root, body) of one (pair, key).
+
+    Tree hits within ``radius`` are candidates; ``similar(body, body)`` decides. Roots that a link has joined are one
+    group from then on, and hits inside a group are not compared, so links stay linear however dense a group is.
+    """
 
     def visit(shard: dict, b: pd.DataFrame, s: int, e: int) -> list[dict]:
-        tree, ids, roots = shard.setdefault("tree", BKTree(radius)), shard.setdefault("ids", []), shard.setdefault("roots", [])
+        if not shard:
+            shard.update(tree=BKTree(radius), rows=[], up={})
+        tree, rows, up = shard["tree"], shard["rows"], shard["up"]
+
+        def find(r: int) -> int:
+            while up.setdefault(r, r) != r:
+                up[r] = r = up[up[r]]
+            return r
+
         out = []
-        columns = (b[c].to_numpy()[s:e] for c in ("id", "root", "role"))
-        for x, ident, root, role in zip(b["fp"].to_numpy()[s:e].view(np.uint64).tolist(), *(c.tolist() for c in columns)):
-            out += [{"a": min(ident, ids[h]), "b": max(ident, ids[h])} for h in tree.near(x) if roots[h] != root]
+        columns = (b[c].to_numpy()[s:e].tolist() for c in ("id", "root", "role"))
+        for x, ident, root, role, body in zip(b["fp"].to_numpy()[s:e].view(np.uint64).tolist(), *columns, b["body"].iloc[s:e]):
+            for h in tree.near(x):
+                other, its, one = rows[h]
+                if find(its) != find(root) and similar(one, body):
+                    up[find(its)] = find(root)
+                    out.append({"a": min(ident, other), "b": max(ident, other)})
             if not role:
                 tree.insert(x)
-                ids.append(ident)
-                roots.append(root)
+                rows.append((ident, root, body))
         return out
 
     return shards(split_shards(dealt), visit, "a long, b long").distinct()

@@ -196,13 +196,24 @@ def test_components_with_shared_and_null_ids(spark):
 
 
 @pytest.mark.parametrize("shard", [20_000, 7])
-def test_wide_radius_pairs_against_brute_force(spark, monkeypatch, shard):
+def test_wide_radius_links_against_brute_force(spark, monkeypatch, shard):
+    """The links join the same roots as all pairs of a shard that are near and similar."""
     monkeypatch.setattr(simhash, "SHARD", shard)
     rng = np.random.default_rng(8)
-    rows = [(i, int(rng.integers(-(1 << 63), 1 << 63)) if i % 3 else 7 << (i % 9), i % 2, i % 4 // 2, i % 5) for i in range(60)]
-    got = {(r.a, r.b) for r in simhash.near_pairs(spark.createDataFrame(rows, "id long, fp long, pair int, key long, root long"), 27).collect()}
-    want = {(x[0], y[0]) for x in rows for y in rows if x[0] < y[0] and x[2:4] == y[2:4] and x[4] != y[4] and ((x[1] ^ y[1]) & (1 << 64) - 1).bit_count() <= 27}
-    assert got == want and want
+    rows = [(i, int(rng.integers(-(1 << 63), 1 << 63)) if i % 3 else 7 << (i % 9), i % 2, i % 4 // 2, i, bytes([i % 7, i % 5])) for i in range(80)]
+    near = lambda x, y: ((x[1] ^ y[1]) & (1 << 64) - 1).bit_count() <= 27 and (x[5][0] == y[5][0] or x[5][1] == y[5][1])
+    got = simhash.near_links(spark.createDataFrame(rows, "id long, fp long, pair int, key long, root long, body binary"), 27, lambda a, b: a[0] == b[0] or a[1] == b[1]).collect()
+
+    def labels(pairs):
+        root = list(range(80))
+        for _ in range(80):
+            for a, b in pairs:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    want = [(x[0], y[0]) for x in rows for y in rows if x[0] < y[0] and x[2:4] == y[2:4] and near(x, y)]
+    assert all(near(rows[r.a], rows[r.b]) for r in got)
+    assert labels([(r.a, r.b) for r in got]) == labels(want) and len(got) <= len(want)
 
 
 def test_base_counts():
@@ -250,7 +261,9 @@ def test_kneser_ney_against_the_definition(spark, order):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     model = perplexity.kneser_ney(perplexity.count_grams(docs, order), order)
     rows = model.collect()
-    tables = {(k, kind): perplexity.HashArray(np.array([r.gram for r in rows if (r.k, r.kind) == (k, kind)], np.int64).view(np.uint64), np.array([r.value for r in rows if (r.k, r.kind) == (k, kind)], np.float32)) for k in range(1, order + 1) for kind in (0, 1)}
+    own = lambda k, kind: [r for r in rows if (r.k, r.kind) == (k, kind)]
+    packed = lambda x: perplexity.by_hash(np.array([r.gram for r in x], np.int64).view(np.uint64), np.array([r.value for r in x], np.float32))
+    tables = {(k, kind): perplexity.HashArray(*packed(own(k, kind))) for k in range(1, order + 1) for kind in (0, 1)}
     want = plain_kneser_ney(texts, order, 2)
     for h in (b"\0\0\0\0\0", b"banan", b"xxban", b"a ban", b"zzzzz"):
         h = h[len(h) - order + 1 :]
