@@ -267,7 +267,9 @@ def grouped(prints: DataFrame) -> DataFrame:
     found = components(links(nodes.select(F.col("fp").alias("id"), "fp")))
     placed = nodes.join(found, nodes["fp"] == found["id"], "left").select("fp", "least", "root")
     heads = placed.where("root is not null").groupBy("root").agg(F.min("least").alias("head")).withColumnRenamed("root", "g")
-    named = placed.join(heads, F.col("root") == F.col("g"), "left").select(F.col("fp").alias("node"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("head")).alias("component_id"))
+    # fingerprints without a link have no root to meet on
+    alone = placed.where("root is null").select(F.col("fp").alias("node"), F.col("least").alias("component_id"))
+    named = alone.unionByName(placed.join(heads, F.col("root") == F.col("g")).select(F.col("fp").alias("node"), F.col("head").alias("component_id")))
     return prints.join(named, prints["fp"] == named["node"]).drop("node")
 
 
