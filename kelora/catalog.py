@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kelora.plans import evidence, further, journeys, network, reports, signals, statements  # noqa: F401  (importing registers their queries)
+from kelora.plans import composites, evidence, further, journeys, network, reports, signals, statements  # noqa: F401  (importing registers their queries)
 from kelora.plans.registry import ORACLES, QUERIES  # noqa: F401
 
 FLAGSHIP = "q_agg02_noisy_or"
