@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from kelora.functions import constants as K
 from kelora.functions import phrases as P
 from kelora.functions import risk, text
+from kelora.operators import graph
 from kelora.plans.network import _conf, _isw, _mult, segments
 from kelora.plans.registry import query, read
 from kelora.plans.reports import REPORTS, _is, _k, parsed, reports
@@ -269,3 +270,27 @@ def labelled(spark, d):
     s = statements(spark, d)
     p = parsed(s).select("event_id", headline(F.col("said")).alias("headline"), "issue", "severity", F.array_join(P.after(F.col("t"), P.STATION_WORDS[:3]), "|").alias("stations"), "recovery")
     return p.join(onsets(s), "event_id")
+
+
+WALK = 900  # fixed: the longest walk, in seconds
+_FOOT = """(SELECT s_suppkey AS a, lead(s_suppkey, 1) OVER w AS b, 60 + s_suppkey * 7 % 200 AS seconds FROM supplier WINDOW w AS (PARTITION BY s_nationkey ORDER BY s_suppkey)
+ UNION ALL SELECT s_suppkey, lead(s_suppkey, 2) OVER w, 90 + s_suppkey * 11 % 400 FROM supplier WINDOW w AS (PARTITION BY s_nationkey ORDER BY s_suppkey))"""
+
+
+@query("q_gra07_footpaths", f"""WITH RECURSIVE e AS (SELECT * FROM {_FOOT} WHERE b IS NOT NULL), r AS (SELECT a, b, seconds FROM e UNION SELECT r.a, e.b, r.seconds + e.seconds FROM r JOIN e ON e.a = r.b WHERE r.seconds + e.seconds <= {WALK})
+ SELECT a, b, min(seconds) AS seconds FROM r GROUP BY a, b""")
+def footpaths(spark, d):
+    """The transitive closure of walking links: the shortest walk to every station within the limit, by rounds that double the links of a walk."""
+    w = W.partitionBy("s_nationkey").orderBy("s_suppkey")
+    s = read(spark, d, "supplier").select("s_suppkey", F.lead("s_suppkey", 1).over(w).alias("one"), F.lead("s_suppkey", 2).over(w).alias("two"))
+    link = lambda b, seconds: F.struct(F.col("s_suppkey").alias("a"), F.col(b).alias("b"), seconds.alias("seconds"))
+    e = s.select(F.inline(F.array(link("one", 60 + F.col("s_suppkey") * 7 % 200), link("two", 90 + F.col("s_suppkey") * 11 % 400)))).where("b is not null")
+    walks, total = graph.written(e.groupBy("a", "b").agg(F.min("seconds").alias("seconds"))), None
+    while True:
+        on = walks.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("seconds").alias("more"))
+        longer = walks.join(on, "b").select("a", F.col("c").alias("b"), (F.col("seconds") + F.col("more")).alias("seconds")).where((F.col("seconds") <= WALK) & (F.col("a") != F.col("b")))
+        walks = graph.written(walks.union(longer).groupBy("a", "b").agg(F.min("seconds").alias("seconds")))
+        now = walks.agg(F.count("*"), F.sum("seconds")).first()
+        if now == total:
+            return walks
+        total = now

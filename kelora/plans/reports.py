@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from kelora.functions import phrases as P
 from kelora.functions import risk, text
-from kelora.plans.registry import query, read
+from kelora.plans.registry import ORACLES, query, read
 
 # what an event says; {A} and {B} are neighbouring stations, {H} a name that several stations share, {L} a line
 SAYINGS = (
@@ -242,3 +242,25 @@ def verified(spark, d):
     c = c.withColumn("confidence", confidence)
     status = F.when(F.col("live") == 0, "STALE").when(F.col("confidence") < REPORTABLE, "REJECTED").when(F.col("denied"), "CLEARED").when(F.col("official") > 0, "CONFIRMED").when(F.col("confidence") >= 0.4, "REPORTED").otherwise("CANDIDATE")
     return c.select("place", "issue", "start_ts", "last_ts", "reports", "authors", "junk", "official", "realtime", "confidence", status.alias("status"))
+
+
+@query("q_agg31_phrase_rules", " UNION ALL ".join(f"SELECT {n} AS rule, '{i}' AS issue, {w} AS weight, count(*) AS reports, count(DISTINCT user_id) AS authors FROM (SELECT *, {_FOLD} AS t FROM {REPORTS}) WHERE {_is('t', r)} HAVING count(*) > 0" for n, (r, i, _, w) in enumerate(P.ISSUES)))
+def phrase_rules(spark, d):
+    """How often each issue rule speaks, and by how many authors: all rules in one pass over the texts."""
+    t = reports(spark, d).withColumn("t", P.folded(F.col("said")))
+    met = F.array_compact(F.array(*(F.when(F.col("t").rlike(r), F.struct(F.lit(n).alias("rule"), F.lit(i).alias("issue"), F.lit(w).alias("weight"))) for n, (r, i, _, w) in enumerate(P.ISSUES))))
+    return t.select("user_id", F.inline(met)).groupBy("rule", "issue", "weight").agg(F.count("*").alias("reports"), F.countDistinct("user_id").alias("authors"))
+
+
+SOCIAL_CUTS = (0.1, 0.22, 0.32, 0.45, 0.53, 0.58, 0.6)
+_VERIFIED = ORACLES["q_pip04_verified"]
+
+
+@query("q_pip10_evaluation", f"""SELECT cut, tp, fp, fn, round(tp / nullif(tp + fp, 0)::DOUBLE, 6) AS precision, round(tp / nullif(tp + fn, 0)::DOUBLE, 6) AS recall FROM (SELECT c.cut AS cut, count(*) FILTER (WHERE s >= c.cut AND o) AS tp, count(*) FILTER (WHERE s >= c.cut AND NOT o) AS fp, count(*) FILTER (WHERE s < c.cut AND o) AS fn
+ FROM (SELECT official > 0 AS o, [0, .22, .32, .45, .53, .58, .60][least(authors, 6) + 1] AS s FROM ({_VERIFIED})) CROSS JOIN (SELECT unnest({list(SOCIAL_CUTS)}::DOUBLE[]) AS cut) c GROUP BY c.cut)""")
+def evaluation(spark, d):
+    """Incidents that riders' reports alone would tell, against those that the operator stated, at every threshold."""
+    v = verified(spark, d).select((F.col("official") > 0).alias("o"), risk.social_strength(F.col("authors").cast("int")).alias("s"), F.explode(F.filter(F.array(*map(F.lit, SOCIAL_CUTS)), lambda c: c.isNotNull())).alias("cut"))
+    told = F.col("s") >= F.col("cut")
+    c = v.groupBy("cut").agg(F.count_if(told & F.col("o")).alias("tp"), F.count_if(told & ~F.col("o")).alias("fp"), F.count_if(~told & F.col("o")).alias("fn"))
+    return c.select("*", F.round(F.try_divide("tp", F.col("tp") + F.col("fp")), 6).alias("precision"), F.round(F.try_divide("tp", F.col("tp") + F.col("fn")), 6).alias("recall"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -35,3 +36,26 @@ def run(df: DataFrame, path: str, checkpoint: str, mode: str = "append", once: b
 def each_batch(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """A user-supplied sink per micro-batch; ``sink`` must be idempotent in the batch number."""
     return df.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def insert_absent(root: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
+    """A sink per micro-batch that appends the rows whose keys the table lacks; an empty batch writes nothing, a repeated one changes nothing.
+
+    Every batch leaves one row in ``root/cycles``: batch, seen, written."""
+
+    def sink(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        at = f"{root}/rows"
+        fresh = batch.dropDuplicates(keys)
+        try:
+            fresh = fresh.join(spark.read.parquet(at).where(F.col("batch") != number).select(*keys), keys, "left_anti")
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+        part = f"{at}/batch={number}"
+        fresh.write.mode("overwrite").parquet(part)
+        seen = batch.agg(F.count("*").alias("seen"))
+        written = spark.read.schema(fresh.schema).parquet(part).agg(F.count("*").alias("written"))
+        seen.join(written, F.lit(True), "inner").select(F.lit(number).alias("batch"), "seen", "written").write.mode("overwrite").parquet(f"{root}/cycles/n={number}")
+
+    return sink
