@@ -73,8 +73,10 @@ def test_clusters_and_matches(spark):
     rows = [(1, 1, 5, at(0)), (2, 1, 6, at(60)), (3, 1, 5, at(140)), (4, 1, 5, at(400)), (5, 2, 5, at(0))]
     got = {r.id: (r.line, r.block, r.cluster) for r in cluster.clusters(spark.createDataFrame(rows, "id long, line long, segment int, ts timestamp_ntz")).collect()}
     assert got[1] == got[2] == got[3] == (1, 1, 0) and got[4] == (1, 2, 0) and got[5] == (2, 1, 0)
-    pairs = spark.createDataFrame([(0, 1, 10, 5), (0, 1, 11, 3), (0, 2, 11, 1), (0, 2, 10, 9), (0, 3, 10, 1)], "k int, lid long, rid long, apart_us long")
-    assert sorted(tuple(r) for r in cluster.greedy_matches(pairs, "k").collect()) == [(1, 11), (2, 10)]
+    left, right = {1: 0, 2: -4, 3: 4, 4: 900}, {10: 5, 11: -3, 12: 903}  # times; 4 and 12 lie apart from all others
+    met = [(1, 10), (1, 11), (2, 11), (2, 10), (3, 10), (4, 12)]
+    pairs = spark.createDataFrame([(0, i, left[i], j, right[j], abs(left[i] - right[j])) for i, j in met], "k int, lid long, lts long, rid long, rts long, apart_us long")
+    assert sorted(tuple(r) for r in cluster.greedy_matches(pairs, "k").collect()) == [(1, 11), (2, 10), (4, 12)]
 
 
 def test_next_event_and_components(spark):
