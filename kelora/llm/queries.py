@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kelora.llm import chat, fillmiddle, matroska, mixing, packing, perplexity, quality, secrets, seedextend, simhash, suffixdedup, toxicity
+from kelora.llm import chat, fillmiddle, matroska, mixing, packing, perplexity, prefixtrie, quality, secrets, seedextend, simhash, suffixdedup, toxicity
 from kelora.llm.common import table
 
 
@@ -48,6 +48,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op10(table(spark, sf_dir, "documents"))
 
 
+def op11_prefixtrie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.op11(table(spark, sf_dir, "conversations"))
+
+
 def op12_seedextend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seedextend.op12(table(spark, sf_dir, "documents"))
 
@@ -60,10 +64,10 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_matroska, op3_secrets, op4_quality, op5_simhash, op6_perplexity, op7_packing, op8_chat, op9_suffixdedup, op10_mixing,
-        op12_seedextend, op13_fillmiddle,
+        op11_prefixtrie, op12_seedextend, op13_fillmiddle,
     )
 }
 
 #: The others are no plain SQL queries (trained models, binary formats, greedy packing, random draws): tests/llm hold
 #: each against brute force, a round trip or held-out accuracy.
-ORACLES: dict[str, str] = {"op12_seedextend": seedextend.SQL, "op13_fillmiddle": fillmiddle.SQL}
+ORACLES: dict[str, str] = {"op11_prefixtrie": prefixtrie.SQL, "op12_seedextend": seedextend.SQL, "op13_fillmiddle": fillmiddle.SQL}
