@@ -14,12 +14,13 @@ from kelora.plans.network import _conf, _isw, _mult, segments
 from kelora.plans.registry import query, read
 from kelora.plans.reports import REPORTS, _is, _k, parsed, reports
 
+HALF = 0.5001  # scores have six places; a hair over a half lets both engines round a half step up
 MATERIAL_PENALTY, TRANSFER_HAZARD, AT_RISK = 0.3, 0.08, 0.35  # fixed: added hazard of a material risk, hazard of a transfer, least score that is safe
 
 _prob = f"{_conf} * ((p_partkey % 10) / 10.0)"
 _hazard = f"least(1.0, {_prob} * least(1.0, ({_mult} - 1) / 1.75 * {_isw}) + CASE WHEN {_conf} >= {K.MATERIAL} OR {_prob} >= {K.MATERIAL} THEN {MATERIAL_PENALTY} ELSE 0 END)"
-JOURNEYS = f"""(SELECT *, score >= {AT_RISK} AND NOT avoid AS safe FROM (SELECT l_orderkey, o_custkey, round((1 - hazard) / (1 + {TRANSFER_HAZARD} * (lines - 1)), 6) AS score, duration, lines, risky, worst, avoid
- FROM (SELECT l_orderkey, o_custkey, 1 - product(1 - {_hazard}) AS hazard, CAST(sum(l_quantity) * 60 AS BIGINT) AS duration, count(DISTINCT l_suppkey) AS lines, count(DISTINCT l_partkey) FILTER (WHERE {_conf} >= {K.MATERIAL} OR {_prob} >= {K.MATERIAL}) AS risky,
+JOURNEYS = f"""(SELECT *, score >= {AT_RISK} AND NOT avoid AS safe FROM (SELECT l_orderkey, o_custkey, floor((1 - hazard) / (1 + {TRANSFER_HAZARD} * (lines - 1)) * 1000000 + {HALF}) / 1000000 AS score, duration, lines, risky, worst, avoid
+ FROM (SELECT l_orderkey, o_custkey, 1 - list_reduce(list_prepend(1.0::DOUBLE, list_sort(list({_hazard}))), lambda a, b: a * (1 - b)) AS hazard, CAST(sum(l_quantity) * 60 AS BIGINT) AS duration, count(DISTINCT l_suppkey) AS lines, count(DISTINCT l_partkey) FILTER (WHERE {_conf} >= {K.MATERIAL} OR {_prob} >= {K.MATERIAL}) AS risky,
  round(max({_prob}), 6) AS worst, max({_conf}) >= {K.AVOID} AS avoid FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL)))"""
 _RANK = "row_number() OVER (PARTITION BY o_custkey ORDER BY safe DESC, score DESC, duration, l_orderkey)"
 
@@ -31,10 +32,11 @@ def journeys(spark, d) -> DataFrame:
     hazard = F.least(F.lit(1.0), p * risk.consequence(F.col("severity"), F.col("issue")) + F.when(material, MATERIAL_PENALTY).otherwise(0.0))
     seg = segments(spark, d).select(F.col("p_partkey").alias("l_partkey"), hazard.alias("hazard"), material.alias("material"), p.alias("p"), "confidence")
     trips = read(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity").join(seg, "l_partkey").groupBy("l_orderkey").agg(
-        (1 - F.product(1 - F.col("hazard"))).alias("h"), (F.sum("l_quantity") * 60).cast("long").alias("duration"), F.size(F.collect_set("l_suppkey")).alias("lines"),
+        # a trip's few hazards are multiplied in the order of their size, so the result does not depend on arrival
+        (1 - F.aggregate(F.sort_array(F.collect_list("hazard")), F.lit(1.0), lambda a, b: a * (1 - b))).alias("h"), (F.sum("l_quantity") * 60).cast("long").alias("duration"), F.size(F.collect_set("l_suppkey")).alias("lines"),
         F.size(F.collect_set(F.when(F.col("material"), F.col("l_partkey")))).alias("risky"), F.round(F.max("p"), 6).alias("worst"), (F.max("confidence") >= K.AVOID).alias("avoid"))  # a trip's few lines and segments
     trips = trips.join(read(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
-    trips = trips.withColumn("score", F.round((1 - F.col("h")) / (1 + TRANSFER_HAZARD * (F.col("lines") - 1)), 6))
+    trips = trips.withColumn("score", F.floor((1 - F.col("h")) / (1 + TRANSFER_HAZARD * (F.col("lines") - 1)) * 1000000 + HALF) / 1000000)
     return trips.withColumn("safe", ~F.col("avoid") & (F.col("score") >= AT_RISK)).drop("h")
 
 
