@@ -105,7 +105,8 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
     first = kinds.where("c > 1").select("key", "ctx", F.col("one.rank").alias("first"))
     whole = places.join(first, ["key", "ctx"]).where(_rank() > F.col("first")).select("doc_id", "digest", "lo", "n")
 
-    open_ = kinds.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1").select("key")
+    # written, so that both sides of the join are plain exchanges and a hot anchor's partition can be split
+    open_ = stored(kinds.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1").select("key"), "open")
     asked = kinds.join(open_, "key").select("one.doc_id", "one.digest", "key", "one.lo", "one.n")
     wanted = stored(asked.groupBy("doc_id", "digest").agg(F.collect_list(F.struct("key", "lo", "n")).alias("want")), "wanted")
     some = marked(docs, stored(bitmap(wanted, "doc_id", "digest"), "bits"), "doc_id", "digest").where("maybe")
