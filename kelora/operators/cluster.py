@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kelora.operators.graph import written
+
 
 def blocks(df: DataFrame, key: str, ts: str, minutes: int) -> DataFrame:
     """``df`` with ``block``: a new one after each gap over ``minutes``; no cluster can reach across such a gap."""
@@ -61,3 +63,36 @@ def greedy_matches(pairs: DataFrame, key: str) -> DataFrame:
     fresh = F.coalesce(F.col("start") > F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(True))
     spans = spans.withColumn("fresh", fresh.cast("int")).withColumn("block", F.sum("fresh").over(w.rowsBetween(W.unboundedPreceding, 0)))
     return spans.groupBy(key, "block").applyInPandas(fold, "lid long, rid long")
+
+
+def head_clusters(candidates: DataFrame, minutes: int = 120) -> DataFrame:
+    """(id, head): each candidate (id, key, ts) joins the first cluster of its key whose head is at most ``minutes`` older.
+
+    Heads of a key are more than ``minutes`` apart, so the head after x is the first candidate later than x + ``minutes``,
+    and heads are what is reached from the first candidate by such steps. Steps are found between neighbouring spans of
+    ``minutes``, reached by pointer doubling, and each candidate looks for its head in its own span and the one before. No
+    task needs more of a key than two spans; candidates without id, key or time are in no cluster.
+    """
+    width = F.lit(minutes * 60_000_000)
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    items = written(candidates.where("id is not null and key is not null and ts is not null").select("id", "key", at.alias("at"), F.floor(at / width).alias("span")))
+    own = F.struct("at", "id")
+    firsts = items.groupBy("key", "span").agg(F.min(own).alias("first"))
+    # the first candidate after x + minutes lies in the next span, or is the first one of a later span
+    asks = items.select("key", (F.col("span") + 1).alias("span"), (F.col("at") + width).alias("at"), "id", F.lit(None).cast("struct<at:bigint,id:bigint>").alias("item"))
+    both = asks.unionByName(items.select("key", "span", "at", "id", own.cast("struct<at:bigint,id:bigint>").alias("item")))
+    down = W.partitionBy("key", "span").orderBy(F.desc("at"), F.col("item").isNotNull(), F.desc("id")).rowsBetween(W.unboundedPreceding, -1)
+    near = both.withColumn("next", F.last("item", ignorenulls=True).over(down)).where("item is null").select("key", "span", "id", "next")
+    marks = firsts.unionByName(firsts.select("key", (F.col("span") + 1).alias("span"), F.lit(None).cast(firsts.schema["first"].dataType).alias("first"))).groupBy("key", "span").agg(F.max("first").alias("first"))
+    later = marks.select("key", "span", F.last("first", ignorenulls=True).over(W.partitionBy("key").orderBy(F.desc("span")).rowsBetween(W.unboundedPreceding, -1)).alias("later"))  # one row per span of a key
+    step = written(near.join(later, ["key", "span"]).select("id", F.coalesce(F.col("next.id"), F.col("later.id")).alias("next")).where("next is not null"))
+    heads = written(items.groupBy("key").agg(F.min(own).alias("first")).select(F.col("first.id").alias("id")))
+    while True:
+        further = written(heads.join(step, "id").select(F.col("next").alias("id")).join(heads, "id", "left_anti").distinct())
+        if further.isEmpty():
+            break
+        heads = written(heads.unionByName(further))
+        step = written(step.join(step.select(F.col("id").alias("next"), F.col("next").alias("far")), "next").select("id", F.col("far").alias("next")))
+    found = items.join(heads, "id").select("key", "span", own.alias("head"))
+    found = found.unionByName(found.withColumn("span", F.col("span") + 1))  # a span holds one head at most
+    return items.join(found, ["key", "span"]).where(own >= F.col("head")).groupBy("id").agg(F.max("head").alias("h")).select("id", F.col("h.id").alias("head"))
