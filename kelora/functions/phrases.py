@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from kelora.functions import text
+
 # Patterns with their issue, severity and weight; markers with their weights; days that a phrase of the past implies.
 ISSUES = (
     (r"\bTREN\s+TERKANDAS\b", "VEHICLE_BREAKDOWN", "MAJOR", 3),
@@ -84,6 +86,7 @@ REPOST = (
     (r"\bFORWARD(?:ED)?\b|\bFWD\b|\bCOPIED\b|\bCOPYPASTA\b|\bSHARE\s+THIS\b", 0.9), (r"\bAMBIL\s+DARI\b|\bSCREENSHOT\s+DARI\b", 0.8),
 )
 STALE_FACTORS, SARCASM_FACTORS, JOKE_FACTORS, QUALITY_FLOOR = (0.05, 0.9), (0.08, 0.85), (0.1, 0.8), 0.02  # (at 0.5 and over, slope below)
+# Words that end a place name, most words of one, words before lines and stations, modes of transport.
 PLACE_STOPWORDS = """DAN AND KE DI YANG BERHENTI TERJEJAS ROS ROSAK GANGGUAN SEKARANG KINI MASIH TIDAK TIADA ADA SEKAT SINI ITU INI PADA AKAN SUDAH DAH TELAH SEHINGGA SANGAT PULA LAH UNTUK
 DARI SEBAB SEJAK PUKUL JAM MINIT MINUTES HOURS LAMA KIRA SILA GUNA LALUAN STESEN SEBELAH ARAH HINGGA SAMPAI SELEPAS KERANA SEMENTARA BAGI SAHAJA LAGI BELUM BUKAN IKUT NAIK ANTARA BETWEEN
 MELALUI SERTA JUGA SEDANG DILAPORKAN STATION HENTIAN STOP PENUH SESAK RAMAI ORANG BERAT TERUK DAPAT BERGERAK MENUNGGU TUNGGU KENA TURUN MASUK KELUAR PAGI TENGAHARI PETANG MALAM HARI SEMUA
@@ -92,12 +95,11 @@ PLACE_TOKENS = 4
 LINE_WORDS, STATION_WORDS = ("LALUAN", "LINE", "ALIRAN", "ROUTE"), ("STESEN", "STATION", "HENTIAN", "STOP")
 MODES = ("LRT", "MRT", "MONOREL", "MONORAIL", "BRT", "KTM", "BAS", "TREN")
 KINDS = tuple(dict.fromkeys(issue for _, issue, _, _ in ISSUES))  # in order of specificity
-_ACCENTS = ("ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ", "AAAAAACEEEEIIIINOOOOOUUUUY")
 
 
 def upper(x: Column) -> Column:
-    """Upper case without Latin accents."""
-    return F.translate(F.upper(x), *_ACCENTS)
+    """Upper case without diacritics."""
+    return F.upper(text.unmarked(x))
 
 
 def folded(x: Column) -> Column:

@@ -63,10 +63,14 @@ _MARKED = [c for c in map(chr, range(0xC0, 0x250)) if unicodedata.normalize("NFK
 _PLAIN = [unicodedata.normalize("NFKD", c)[0] for c in _MARKED]
 
 
+def unmarked(x: Column) -> Column:
+    """Latin letters without their diacritics; case stays."""
+    return F.regexp_replace(F.translate(x, "".join(_MARKED), "".join(_PLAIN)), r"[\u0300-\u036f]", "")
+
+
 def folded(x: Column) -> Column:
     """Upper case without diacritics; only letters, digits and ``'-.!?;`` are kept, spaces squeezed."""
-    x = F.regexp_replace(F.translate(x, "".join(_MARKED), "".join(_PLAIN)), r"[\u0300-\u036f]", "")
-    x = F.translate(F.upper(x), "\u2018\u2019", "''")
+    x = F.translate(F.upper(unmarked(x)), "\u2018\u2019", "''")
     return F.trim(F.regexp_replace(F.regexp_replace(x, r"[^A-Z0-9'\- .!?;]+", " "), r"\s+", " "))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from kelora.functions import phrases as P
 from kelora.functions import risk, text
+from kelora.operators import graph
 from kelora.plans.registry import ORACLES, query, read
 
 # what an event says; {A} and {B} are neighbouring stations, {H} a name that several stations share, {L} a line
@@ -17,6 +18,8 @@ SAYINGS = (
     "Perkhidmatan laluan LRT {L} kembali beroperasi", "Hujan lebat, platform penuh sesak di {A} sekarang", "Throwback 2019: ingat tak {A}, teruk", "Signal fault between {A} and {B}. Back to normal",
     "Jalan ditutup, kemalangan dekat highway", "Nothing to see here", "Pintu tren rosak di {A}, maklumat: sedikit lambat", "Tren gagal dan suis rosak, {A} dan {L}, more than an hour",
     "TAHNIAH, world class! memang bagus {A}", "Masih ingat lagi 2016, {A} masih sesak", "Track fault in {L} near hub {A}", "",
+    "Komponen brek gagal, tren berasap di {A}", "Door problem at {A}, eskalator mati", "Isyarat rosak di {A}. Signalling fault", "Landasan rosak, sistem PIES, kerja-kerja baik pulih di {A}", "Crowded platform penuh di {A}, petir",
+    "Perkhidmatan terjejas di {A}, jadual terjejas, shuttle train", "Tren tidak berhenti di {A}, frekuensi berkurangan", "Masalah teknikal di {A}, šesak",
 )
 _station = lambda k: f"'Nation ' || ({k})"
 _k = "CAST(json_extract_string(props, '$.k') AS INTEGER)"
@@ -212,36 +215,98 @@ def locations(spark, d):
     return located(spark, d)
 
 
-GAP, REPORTABLE = 90, 0.3  # minutes between reports of one incident; least confidence that is told
-_minutes = "floor((epoch_us(max(ts)) - epoch_us(max(ts) FILTER (WHERE counts))) / 60000000.0)"
-
-
-@query("q_pip04_verified", f"""WITH RECURSIVE {LOCATED}, facts AS (SELECT p.*, place, resolution, NOT (historical AND NOT ongoing) AS live, class = 'SOCIAL' AND quality >= 0.5 AND NOT (historical AND NOT ongoing) AS counts
- FROM {PARSED} p JOIN located USING (event_id)), runs AS (SELECT *, sum(fresh) OVER (PARTITION BY place, issue ORDER BY ts, event_id) AS run FROM (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY place, issue ORDER BY ts, event_id) > {GAP * 60000000} THEN 1 ELSE 0 END AS fresh FROM facts)),
- c AS (SELECT place, issue, min(ts) AS start_ts, max(ts) AS last_ts, count(*) AS reports, count(*) FILTER (WHERE live) AS live, max(resolution) = 'UNRESOLVED' AS unresolved, count(DISTINCT user_id) FILTER (WHERE counts) AS authors,
- coalesce(avg(quality) FILTER (WHERE counts), 0) AS q, count(*) FILTER (WHERE class = 'SOCIAL' AND live AND quality < 0.5) AS junk, count(*) FILTER (WHERE class = 'OFFICIAL' AND live AND NOT recovery) AS official,
- count(*) FILTER (WHERE class = 'REALTIME' AND live) AS realtime, coalesce(bool_or(recovery) FILTER (WHERE class = 'OFFICIAL' AND live), false) AS denied, coalesce({_minutes}, 0) AS m FROM runs GROUP BY place, issue, run),
- v AS (SELECT *, (1 - (1 - [0, .22, .32, .45, .53, .58, .60][least(authors, 6) + 1] * q * CASE WHEN m <= 90 THEN 1 ELSE greatest(0.15, 1 - (m - 90) / 270.0 * 0.85) END) * (1 - 0.9 * least(official, 1)) * (1 - least(realtime * 0.05, 0.15)))
+GAP, REPORTABLE, COPIED = 90, 0.3, 40  # minutes between reports of one incident; least confidence that is told; characters of a text that two strangers do not write alike
+WITNESS = {"OFFICIAL": 3.0, "REALTIME": 1.5, "SOCIAL": 1.0}  # fixed: weight of a class in the vote on the issue
+_g, _order = GAP * 60_000_000, "CASE issue " + " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(P.KINDS)) + " ELSE 99 END"
+_of = lambda k: f"class = '{k}' AND live"
+
+# Candidates of a day: written copies and reposts of one author's report are one witness (the first); every report has the places at which it overlaps others.
+WITNESSES = f"""{LOCATED}, facts AS (SELECT p.event_id, ts, user_id, class, issue, quality, recovery, NOT (historical AND NOT ongoing) AS live, t, strategy, resolution, CAST(ts AS DATE) AS day, epoch_us(ts) AS us,
+ CASE WHEN p.event_id % 11 = 0 THEN (user_id + 1) % 150 ELSE user_id END AS author, repost >= 0.5 OR p.event_id % 11 = 0 AS again,
+ CAST(floor(CASE class {' '.join(f"WHEN '{k}' THEN {w}" for k, w in WITNESS.items())} END * CASE WHEN class = 'REALTIME' THEN 0.8 WHEN issue = 'UNKNOWN' THEN 0.2 ELSE 0.4 + 0.6 * least(1.0, {_most} / ({_sum})) END * CASE WHEN class = 'SOCIAL' THEN quality ELSE 1 END * 1000000 + 0.5001) AS BIGINT) AS vote,
+ CASE WHEN strategy = 'SEGMENT_BETWEEN' THEN string_split(place, '-') WHEN strategy = 'NONE' THEN ['NONE:' || issue] ELSE [place] END AS keys FROM {PARSED} p JOIN located USING (event_id)),
+ origin AS (SELECT day, t, min(struct_pack(us := us, event_id := event_id, user_id := user_id, again := again)) AS o FROM facts GROUP BY ALL), wrote AS (SELECT day, author, min(struct_pack(us := us, event_id := event_id)) AS e FROM facts GROUP BY ALL),
+ kept AS (SELECT f.* FROM facts f JOIN origin USING (day, t) JOIN wrote USING (day, author) WHERE (f.event_id = o.event_id OR NOT (f.user_id = o.user_id OR f.again OR o.again OR length(f.t) >= {COPIED})) AND NOT (f.again AND e.event_id <> f.event_id))"""
+INCIDENTS = f"""{WITNESSES}, said AS (SELECT event_id, us, unnest(keys) AS key FROM kept), runs AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY key ORDER BY us, event_id) <= {_g} THEN NULL ELSE event_id END AS fresh FROM said),
+ nodes AS (SELECT event_id, key, last_value(fresh IGNORE NULLS) OVER (PARTITION BY key ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS node FROM runs),
+ links AS (SELECT DISTINCT a.node AS a, b.node AS b FROM nodes a JOIN nodes b USING (event_id) WHERE a.node <> b.node), reach(id, root) AS (SELECT DISTINCT node, node FROM nodes UNION SELECT l.a, r.root FROM reach r JOIN links l ON l.b = r.id),
+ roots AS (SELECT id, min(root) AS root FROM reach GROUP BY id), member AS (SELECT event_id, min(root) AS incident FROM nodes JOIN roots ON id = node GROUP BY event_id),
+ places AS (SELECT root AS incident, array_to_string(list(DISTINCT key ORDER BY key), '|') AS place FROM nodes JOIN roots ON id = node GROUP BY root)"""
+_minutes = "floor((max(us) - max(us) FILTER (WHERE counts)) / 60000000.0)"
+
+
+def witnesses(spark, d) -> DataFrame:
+    """Located, weighed reports without the copies: of one text in a day the first, with its other writers only where the
+    text is short and no repost; of a reposted author the first report."""
+    p = parsed(reports(spark, d)).withColumn("confidence", P.issue_confidence(F.col("vote"), F.col("hit")))
+    p = p.select("event_id", "ts", "user_id", "class", "issue", "confidence", "quality", "recovery", (~F.col("historical") | F.col("ongoing")).alias("live"), F.length("t").alias("size"), F.sha2(F.col("t").cast("binary"), 256).alias("said"), (F.col("repost") >= 0.5).alias("again"))
+    structured = F.col("event_id") % 11 == 0
+    sure = F.when(F.col("class") == "REALTIME", 0.8).when(F.col("issue") == "UNKNOWN", 0.2).otherwise(0.4 + 0.6 * F.col("confidence"))
+    weight = risk.lookup(F.col("class"), WITNESS) * sure * F.when(F.col("class") == "SOCIAL", F.col("quality")).otherwise(1.0)
+    keys = F.when(F.col("strategy") == "SEGMENT_BETWEEN", F.split("place", "-")).when(F.col("strategy") == "NONE", F.array(F.concat(F.lit("NONE:"), F.col("issue")))).otherwise(F.array("place"))
+    f = p.join(located(spark, d).select("event_id", "strategy", "resolution", "place"), "event_id").select(
+        "event_id", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.to_date("ts").alias("day"), "user_id", F.when(structured, (F.col("user_id") + 1) % 150).otherwise(F.col("user_id")).alias("author"), (F.col("again") | structured).alias("again"),
+        "class", "issue", "quality", "recovery", "live", "size", "said", "strategy", "resolution", F.floor(weight * 1000000 + 0.5001).alias("vote"), keys.alias("keys"))
+    f = graph.written(f)  # texts are parsed once; what follows reads it three times
+    origin = f.groupBy("day", "said").agg(F.min(F.struct("us", "event_id", "user_id", "again")).alias("o"))
+    wrote = f.groupBy("day", "author").agg(F.min(F.struct("us", "event_id")).alias("e"))
+    other = (F.col("user_id") == F.col("o.user_id")) | F.col("again") | F.col("o.again") | (F.col("size") >= COPIED)
+    kept = f.join(origin, ["day", "said"]).join(wrote, ["day", "author"])
+    return kept.where(((F.col("event_id") == F.col("o.event_id")) | ~other) & ~(F.col("again") & (F.col("e.event_id") != F.col("event_id")))).drop("o", "e")
+
+
+def incidents(kept: DataFrame) -> DataFrame:
+    """(event_id, incident, key): reports that share a place and follow each other within GAP minutes, and all that hang
+    together by reports of several places. ``kept``: event_id, us, keys.
+
+    A place's reports are first summed by spans of GAP minutes, so neither a hot place nor the reports without any meet in
+    one task: two spans hang together if they are neighbours and the gap between them is short enough.
+    """
+    said = kept.select("event_id", "us", F.floor(F.col("us") / _g).alias("span"), F.explode("keys").alias("key"))
+    spans = said.groupBy("key", "span").agg(F.min(F.struct("us", "event_id")).alias("first"), F.max("us").alias("last"))
+    w = W.partitionBy("key").orderBy("span")  # one row per span of a place
+    near = (F.col("span") - F.lag("span").over(w) == 1) & (F.col("first.us") - F.lag("last").over(w) <= _g)
+    spans = spans.withColumn("fresh", F.when(~F.coalesce(near, F.lit(False)), F.col("first.event_id")))
+    runs = spans.select("key", "span", F.last("fresh", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)).alias("node"))
+    nodes = graph.written(said.join(runs, ["key", "span"]).select("event_id", "key", "node"))
+    own = nodes.groupBy("event_id").agg(F.min("node").alias("a"))
+    links = nodes.join(own, "event_id").where("a <> node").select("a", F.col("node").alias("b")).distinct()
+    roots = graph.components(nodes.select(F.col("node").alias("id")).distinct(), links)
+    return nodes.join(roots.select(F.col("id").alias("node"), F.col("root").alias("incident")), "node").select("event_id", "incident", "key")
+
+
+@query("q_pip04_verified", f"""WITH RECURSIVE {INCIDENTS}, m AS (SELECT k.*, incident, class = 'SOCIAL' AND quality >= 0.5 AND live AS counts FROM kept k JOIN member USING (event_id)),
+ votes AS (SELECT incident, issue, sum(vote) AS v FROM m WHERE live GROUP BY ALL), won AS (SELECT incident, min_by(issue, struct_pack(v := -v, o := {_order})) AS issue FROM votes GROUP BY incident),
+ c AS (SELECT incident, min(ts) AS start_ts, max(ts) AS last_ts, count(*) AS reports, count(*) FILTER (WHERE live) AS live, coalesce(bool_and(resolution = 'UNRESOLVED') FILTER (WHERE live), true) AS unresolved, count(DISTINCT author) FILTER (WHERE counts) AS authors,
+ coalesce(avg(quality) FILTER (WHERE counts), 0) AS q, count(*) FILTER (WHERE {_of('SOCIAL')} AND quality < 0.5) AS junk, count(*) FILTER (WHERE {_of('OFFICIAL')} AND NOT recovery) AS official, count(*) FILTER (WHERE {_of('REALTIME')}) AS realtime,
+ coalesce(max(CASE WHEN resolution = 'RESOLVED' THEN 1.0::DOUBLE WHEN strategy = 'LINE' THEN 0.8 ELSE 0.6 END) FILTER (WHERE {_of('OFFICIAL')} AND NOT recovery), 1) AS oq, CASE WHEN bool_and(strategy <> 'NONE') FILTER (WHERE {_of('REALTIME')}) THEN 1::DOUBLE ELSE 0.6 END AS rq,
+ coalesce(bool_or(recovery) FILTER (WHERE {_of('OFFICIAL')}), false) AS denied, coalesce({_minutes}, 0) AS mins FROM m GROUP BY incident),
+ v AS (SELECT *, (1 - (1 - [0, .22, .32, .45, .53, .58, .60][least(authors, 6) + 1] * q * CASE WHEN mins <= 90 THEN 1 ELSE greatest(0.15, 1 - (mins - 90) / 270.0 * 0.85) END) * (1 - 0.9 * least(official, 1) * oq) * (1 - least(realtime * rq * 0.05, 0.15)))
  * CASE WHEN unresolved THEN 0.8 ELSE 1 END * CASE WHEN denied THEN 0.25 ELSE 1 END AS x FROM c), w AS (SELECT *, round(CASE WHEN unresolved THEN least(x, 0.45) ELSE x END, 6) AS confidence FROM v)
- SELECT place, issue, start_ts, last_ts, reports, authors, junk, official, realtime, confidence, CASE WHEN live = 0 THEN 'STALE' WHEN confidence < {REPORTABLE} THEN 'REJECTED' WHEN denied THEN 'CLEARED' WHEN official > 0 THEN 'CONFIRMED' WHEN confidence >= 0.4 THEN 'REPORTED' ELSE 'CANDIDATE' END AS status FROM w""")
+ SELECT incident, place, coalesce(won.issue, 'UNKNOWN') AS issue, start_ts, last_ts, reports, authors, junk, official, realtime, confidence, CASE WHEN live = 0 THEN 'STALE' WHEN confidence < {REPORTABLE} THEN 'REJECTED' WHEN denied THEN 'CLEARED' WHEN official > 0 THEN 'CONFIRMED' WHEN confidence >= 0.4 THEN 'REPORTED' ELSE 'CANDIDATE' END AS status
+ FROM w JOIN places USING (incident) LEFT JOIN won USING (incident)""")
 def verified(spark, d):
-    """Evidence to incidents: parsed, weighed and located reports of one place and issue, cut at gaps, scored and told or rejected."""
-    live = ~F.col("historical") | F.col("ongoing")
-    facts = parsed(reports(spark, d)).select("event_id", "ts", "user_id", "class", "issue", "quality", "recovery", live.alias("live")).join(located(spark, d).select("event_id", "place", "resolution"), "event_id")
-    w = W.partitionBy("place", "issue").orderBy("ts", "event_id")
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    facts = facts.withColumn("fresh", F.when(micros - F.lag(micros).over(w) > GAP * 60_000_000, 1).otherwise(0)).withColumn("run", F.sum("fresh").over(w))
+    """Evidence to incidents: reports without copies, clustered by shared places, voted on, scored and told or rejected."""
+    kept = graph.written(witnesses(spark, d))
+    member = graph.written(incidents(kept))
+    place = member.groupBy("incident").agg(F.array_join(F.sort_array(F.collect_set("key")), "|").alias("place"))  # the places of one incident
+    m = kept.join(member.groupBy("event_id").agg(F.min("incident").alias("incident")), "event_id")
+    order = F.element_at(F.create_map(*(F.lit(x) for i, k in enumerate(P.KINDS) for x in (k, i))), F.col("issue"))
+    votes = m.where("live").groupBy("incident", "issue").agg(F.sum("vote").alias("v"))
+    won = votes.groupBy("incident").agg(F.min_by("issue", F.struct(-F.col("v"), F.coalesce(order, F.lit(99)))).alias("issue"))
     is_ = lambda k: (F.col("class") == k) & F.col("live")
-    counts = is_("SOCIAL") & (F.col("quality") >= 0.5)
-    c = facts.groupBy("place", "issue", "run").agg(
-        F.min("ts").alias("start_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("reports"), F.count_if("live").alias("live"), (F.max("resolution") == "UNRESOLVED").alias("unresolved"),
-        F.countDistinct(F.when(counts, F.col("user_id"))).alias("authors"), F.coalesce(F.avg(F.when(counts, F.col("quality"))), F.lit(0.0)).alias("q"), F.count_if(is_("SOCIAL") & (F.col("quality") < 0.5)).alias("junk"),
-        F.count_if(is_("OFFICIAL") & ~F.col("recovery")).alias("official"), F.count_if(is_("REALTIME")).alias("realtime"), (F.count_if(is_("OFFICIAL") & F.col("recovery")) > 0).alias("denied"), F.max(F.when(counts, F.col("ts"))).alias("newest"))
+    counts, stated = is_("SOCIAL") & (F.col("quality") >= 0.5), is_("OFFICIAL") & ~F.col("recovery")
+    trust = F.when(F.col("resolution") == "RESOLVED", 1.0).when(F.col("strategy") == "LINE", 0.8).otherwise(0.6)
+    c = m.groupBy("incident").agg(
+        F.min("ts").alias("start_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("reports"), F.count_if("live").alias("live"), (F.count_if(F.col("live") & (F.col("resolution") == "RESOLVED")) == 0).alias("unresolved"),
+        F.countDistinct(F.when(counts, F.col("author"))).alias("authors"), F.coalesce(F.avg(F.when(counts, F.col("quality"))), F.lit(0.0)).alias("q"), F.count_if(is_("SOCIAL") & (F.col("quality") < 0.5)).alias("junk"),
+        F.count_if(stated).alias("official"), F.count_if(is_("REALTIME")).alias("realtime"), F.coalesce(F.max(F.when(stated, trust)), F.lit(1.0)).alias("oq"), F.when(F.min(F.when(is_("REALTIME"), F.col("strategy") != "NONE")), 1.0).otherwise(0.6).alias("rq"),
+        (F.count_if(is_("OFFICIAL") & F.col("recovery")) > 0).alias("denied"), F.max(F.when(counts, F.col("ts"))).alias("newest"))
     age = F.coalesce(text.whole_minutes(F.col("newest"), F.col("last_ts")), F.lit(0))
-    confidence = risk.calibrated(F.col("authors").cast("int"), F.col("q"), age, F.least(F.col("official"), F.lit(1)), F.col("realtime"), F.col("unresolved"), F.col("denied"), F.lit(False))
+    confidence = risk.calibrated(F.col("authors").cast("int"), F.col("q"), age, F.least(F.col("official"), F.lit(1)) * F.col("oq"), F.col("realtime") * F.col("rq"), F.col("unresolved"), F.col("denied"), F.lit(False))
     c = c.withColumn("confidence", confidence)
     status = F.when(F.col("live") == 0, "STALE").when(F.col("confidence") < REPORTABLE, "REJECTED").when(F.col("denied"), "CLEARED").when(F.col("official") > 0, "CONFIRMED").when(F.col("confidence") >= 0.4, "REPORTED").otherwise("CANDIDATE")
-    return c.select("place", "issue", "start_ts", "last_ts", "reports", "authors", "junk", "official", "realtime", "confidence", status.alias("status"))
+    return c.join(place, "incident").join(won, "incident", "left").select("incident", "place", F.coalesce("issue", F.lit("UNKNOWN")).alias("issue"), "start_ts", "last_ts", "reports", "authors", "junk", "official", "realtime", "confidence", status.alias("status"))
 
 
 @query("q_agg31_phrase_rules", " UNION ALL ".join(f"SELECT {n} AS rule, '{i}' AS issue, {w} AS weight, count(*) AS reports, count(DISTINCT user_id) AS authors FROM (SELECT *, {_FOLD} AS t FROM {REPORTS}) WHERE {_is('t', r)} HAVING count(*) > 0" for n, (r, i, _, w) in enumerate(P.ISSUES)))
