@@ -81,10 +81,9 @@ def formatted(nodes: DataFrame, top: int | None = None) -> DataFrame:
     steps = steps.withColumn("at", F.coalesce(F.sum(size).over(before), F.lit(0)) + F.length("head"))
     turn = F.struct((-F.col("dist")).alias("o"), F.concat("head", "body", F.lit(END + "\n")).alias("piece"), F.col("at").cast("long").alias("start"), F.length("body").cast("long").alias("len"), (F.col("role") == "assistant").alias("loss"))
     one = steps.groupBy("tree", "leaf").agg(F.sum("score").alias("score"), F.sort_array(F.collect_list(turn)).alias("t"))
+    one = one.withColumn("rank", F.row_number().over(W.partitionBy("tree").orderBy(F.desc("score"), "leaf")))
     if top is not None:
-        one = one.withColumn("rank", F.row_number().over(W.partitionBy("tree").orderBy(F.desc("score"), "leaf"))).where(F.col("rank") <= top)
-    else:
-        one = one.withColumn("rank", F.lit(None).cast("int"))
+        one = one.where(F.col("rank") <= top)
     loss = F.transform(F.filter("t", lambda x: x.loss), lambda x: F.struct(x.start.alias("start"), x.len.alias("len")))
     return one.select("tree", "leaf", "rank", "score", F.array_join(F.transform("t", lambda x: x.piece), "").alias("formatted"), loss.alias("loss_spans"))
 
@@ -99,6 +98,10 @@ def read_back(text: str, spans) -> tuple[list[tuple[str, str]], str]:
 
 
 def op8(spark: SparkSession, conversations: DataFrame) -> DataFrame:
+    """A row per conversation, and for conversation -1, which is there for an empty table too; see ``chains`` for nulls and ties.
+
+    A plain conversation is a tree of one branch, so its best path is all of it.
+    """
     say = "<|im_end|><|im_start|>assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", say), (-1, 1, "assistant", say)], "conv_id long, turn long, role string, text string")
     nodes = stored(chains(conversations.select("conv_id", "turn", "role", "text").unionByName(extra)), "nodes")
@@ -112,6 +115,6 @@ def op8(spark: SparkSession, conversations: DataFrame) -> DataFrame:
                 rows.append((tree, len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text)))
             yield pd.DataFrame(rows, columns=["tree", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    out = formatted(nodes).select("tree", "formatted", "loss_spans").mapInPandas(run, "tree string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    out = formatted(nodes, top=1).select("tree", "formatted", "loss_spans").mapInPandas(run, "tree string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
     conv = F.when(F.col("tree") != "null", F.col("tree")).cast("long")
     return out.select(conv.alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")

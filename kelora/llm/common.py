@@ -24,9 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder every executor sees: ``spark.checkpoint.dir``; where that is unset, a temporary one, in local mode only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: executors need a folder that all of them see")
         found = spark.conf.get("kelora.scratch.dir", None) or tempfile.mkdtemp(prefix="kelora-")
         spark.conf.set("kelora.scratch.dir", found)
     return found.rstrip("/")

@@ -23,7 +23,7 @@ from kelora.llm.common import stored
 
 ORDER = 6
 #: Entries that one scoring pass holds (12 bytes each, twice that with its index); a larger model is scored in several
-#: passes, each over the places after certain bytes.
+#: passes, each over the places whose context ends with certain bytes.
 PASS_ENTRIES = 12_000_000
 #: Documents more than BAND interquartile ranges plus ROOM / sqrt(bytes) below or above their language's median are
 #: rejected; short texts vary more, most of all downwards, where one common sentence is much of the text.
@@ -229,30 +229,64 @@ def _packed(model: DataFrame, order: int) -> dict[tuple[int, int], tuple[np.ndar
     return {x: by_hash(np.frombuffer(b"".join(g for g, _ in own), np.uint64), np.frombuffer(b"".join(v for _, v in own), np.float32)) for x, own in parts.items()}
 
 
+def shares(model: DataFrame, order: int, entries: int) -> list[list[tuple[int, int]]]:
+    """Passes over the model: lists of (m, ending), the last m bytes of the contexts that a pass holds.
+
+    An ending with more than ``entries`` n-grams is split by the byte before it, down to whole contexts (which have at
+    most 256 n-grams of an order), so no pass is larger than that, whatever the texts' bytes. Together all endings cover
+    each context once. The driver sees 256 counts for each ending that is split, at most one for ``entries`` n-grams.
+    """
+    context = F.when(F.col("kind") == 1, F.col("gram")).otherwise(F.shiftright("gram", 8))
+    rows, heavy, passes, room = model.select("k", context.alias("c")), [None], [], 0
+    for m in range(1, order):
+        if not heavy:
+            break
+        ending = F.col("c").bitwiseAND(F.lit((1 << 8 * m) - 1))
+        own = rows.where(F.col("k") > m)
+        if m > 1:
+            own = own.where(F.col("c").bitwiseAND(F.lit((1 << 8 * (m - 1)) - 1)).isin(heavy))
+        sizes = {int(r.v): r.n for r in own.groupBy(ending.alias("v")).agg(F.count("*").alias("n")).collect()}
+        parents, heavy = heavy, []
+        for v in (byte << 8 * (m - 1) | (parent or 0) for parent in parents for byte in range(256)):
+            n = sizes.get(v, 0)
+            if n > entries and m < order - 1:
+                heavy.append(v)
+                continue
+            if not passes or n > room:
+                passes.append([])
+                room = entries
+            passes[-1].append((m, v))
+            room -= n
+    return passes or [[]]
+
+
+def _held(own: list[tuple[int, int]], order: int):
+    """Filter on the model's rows that a pass needs: contexts with one of its endings, and shorter ones that end so."""
+    context = F.when(F.col("kind") == 1, F.col("gram")).otherwise(F.shiftright("gram", 8))
+    keep = F.col("k") == 1
+    for m in sorted({m for m, _ in own}):
+        values = [v for n, v in own if n == m]
+        keep |= (F.col("k") > m) & context.bitwiseAND(F.lit((1 << 8 * m) - 1)).isin(values)
+        for k in range(2, m + 1):
+            keep |= (F.col("k") == k) & context.isin(sorted({v & (1 << 8 * (k - 1)) - 1 for v in values}))
+    return keep
+
+
 def log_perplexity(docs: DataFrame, model: DataFrame, order: int = ORDER, entries: int = PASS_ENTRIES) -> DataFrame:
     """``docs`` plus n_bytes and log_ppl (mean negative log-probability of a byte; null for empty texts and nulls).
 
-    Columns of these names are replaced. A model over ``entries`` is scored in passes over the places that follow
-    certain bytes: n-grams and their contexts share the byte before the last, so each pass holds what it needs.
+    Columns of these names are replaced. A model over ``entries`` is scored in passes over the places whose context ends
+    with certain bytes (``shares``), so what is broadcast is bounded by ``entries``.
     """
     spark = docs.sparkSession
-    byte = F.when(F.col("kind") == 1, F.col("gram")).otherwise(F.shiftright("gram", 8)).bitwiseAND(F.lit(255)).alias("byte")
-    sizes = {int(r.byte): r.n for r in model.where("k > 1").groupBy(byte).agg(F.count("*").alias("n")).collect()}  # 256 rows
-    passes: list[list[int]] = []
-    room = 0
-    for b in range(256):
-        if not passes or sizes.get(b, 0) > room:
-            passes.append([])
-            room = max(entries, sizes.get(b, 0))
-        passes[-1].append(b)
-        room -= sizes.get(b, 0)
+    passes = shares(model, order, entries)
     docs = docs.drop("n_bytes", "log_ppl").select("*", F.lit(0).cast("long").alias("n_bytes"), F.lit(0.0).alias("log_ppl"))
     names, schema = docs.columns, docs.schema
     for k, own in enumerate(passes):
-        part = model if len(passes) == 1 else model.where((F.col("k") == 1) | byte.isin(own))
+        part = model if len(passes) == 1 else model.where(_held(own, order))
         arrays = _packed(part, order)
-        mine = np.isin(np.arange(256), own)
-        sent = spark.sparkContext.broadcast((arrays, mine))  # about `entries` entries, or one byte's share
+        mine = {m: np.array(sorted(v for n, v in own if n == m), np.uint64) for m in {m for m, _ in own}} if len(passes) > 1 else None
+        sent = spark.sparkContext.broadcast((arrays, mine))  # about `entries` entries
 
         def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             arrays, mine = sent.value
@@ -262,10 +296,13 @@ def log_perplexity(docs: DataFrame, model: DataFrame, order: int = ORDER, entrie
                     part = b.iloc[i:j]
                     g, sizes = grams(part["text"], order)
                     sums = np.zeros(len(g) + 1)
-                    if mine.all():
+                    if mine is None:
                         np.cumsum(_log_probabilities(g, tables, order), dtype=np.float64, out=sums[1:])
                     else:
-                        at = np.flatnonzero(mine[(g >> np.uint64(8) & np.uint64(255)).astype(np.int64)])
+                        hit = np.zeros(len(g), bool)
+                        for m, values in mine.items():
+                            hit |= np.isin(g >> np.uint64(8) & np.uint64((1 << 8 * m) - 1), values)
+                        at = np.flatnonzero(hit)
                         sums[at + 1] = _log_probabilities(g[at], tables, order)
                         np.cumsum(sums, out=sums)
                     ends = np.cumsum(sizes)

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kelora.llm import fillmiddle, prefixtrie, seedextend
+from kelora.llm import fillmiddle, perplexity, prefixtrie, seedextend
 
 TURNS = "conv_id long, turn long, role string, text string, depth string, forest int"
 DOCS = "doc_id long, text string, n_words string, Row string, digest int"
@@ -177,3 +177,20 @@ def test_sql(spark, sf):
         cur = con.execute(sql)
         assert df.columns == [c[0] for c in cur.description]
         assert sorted(map(tuple, df.collect()), key=repr) == sorted(map(tuple, cur.fetchall()), key=repr)
+
+
+def test_language_model_in_bounded_passes(spark):
+    """One byte before nearly all places: its share is split by the bytes before it, and scores stay the same."""
+    rng = np.random.default_rng(3)
+    docs = spark.createDataFrame([(i, " ".join(chr(97 + x) + " " for x in rng.integers(0, 26, 60))) for i in range(20)] + [(98, ""), (99, None)], "doc_id long, text string")
+    model = perplexity.kneser_ney(perplexity.count_grams(docs, 4), 4)
+    n, entries = model.count(), 120
+    passes = perplexity.shares(model, 4, entries)
+    assert len(passes) > 2 and any(m > 1 for own in passes for m, _ in own)
+    sizes = [model.where(perplexity._held(own, 4)).where("k > 1").count() for own in passes]
+    assert max(sizes) <= entries + 2 * 256 and sum(sizes) >= n - 256
+    covered = [(m, v) for own in passes for m, v in own]
+    for c in rng.integers(0, 1 << 24, 200).tolist() + [0x202020, 0x612020]:
+        assert sum((c & (1 << 8 * m) - 1) == v for m, v in covered) == 1
+    a, b = ({r.doc_id: r.log_ppl for r in perplexity.log_perplexity(docs, model, 4, e).collect()} for e in (10**6, entries))
+    assert all(a[k] == b[k] or abs(a[k] - b[k]) < 1e-5 for k in a) and a[98] is None

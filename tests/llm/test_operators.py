@@ -342,6 +342,15 @@ def test_chat_branches(spark):
     best = chat.formatted(nodes, top=1).collect()
     assert len(best) == 1 and "good" in best[0].formatted and best[0].leaf == 4
     assert len(chat.formatted(nodes).collect()) == 2
+    assert {(r.leaf, r["rank"]) for r in chat.formatted(nodes).collect()} == {(4, 1), (2, 2)}
+
+
+def test_chat_of_no_and_long_conversations(spark):
+    empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert [r.conv_id for r in chat.op8(spark, empty).collect()] == [-1]
+    long = "<|im_end|> é" * 100_000
+    out = {r.conv_id: r for r in chat.op8(spark, spark.createDataFrame([(3, 0, "assistant", long)], empty.schema)).collect()}
+    assert out[3].loss_chars == len(long) and out[3].loss_sha256 == hashlib.sha256(long.encode()).hexdigest()
 
 
 @pytest.mark.parametrize("shard", [8000, 3])
