@@ -5,20 +5,26 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a table in the shared checkpoint folder."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession) -> str:
+    """A new path in the folder that all executors see: ``spark.checkpoint.dir``; a temporary one in local mode only."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("kelora.scratch.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: executors need a folder that all of them see")
         at = tempfile.mkdtemp(prefix="kelora-")
         spark.conf.set("kelora.scratch.dir", at)
-    path = f"{at.rstrip('/')}/kelora/graph-{uuid.uuid4().hex}"
+    return f"{at.rstrip('/')}/kelora/graph-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a table in the shared checkpoint folder."""
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
