@@ -84,12 +84,12 @@ def frequency_orphans(spark, d):
     return n(o.join(c, "k"), "joined").unionByName(n(o.join(c, "k", "left_anti"), "orphan")).unionByName(n(c.join(o, "k", "left_anti"), "unused"))
 
 
-_xy = "SELECT s_suppkey AS id, s_nationkey AS line, CAST(s_suppkey * 37 % 1000 * 10 AS DOUBLE) AS x, CAST(s_suppkey * 91 % 1009 * 10 AS DOUBLE) AS y FROM supplier"
+_xy = "SELECT s_suppkey AS id, s_nationkey AS line, CAST(s_suppkey * 37 % 1000 * 3 AS DOUBLE) AS x, CAST(s_suppkey * 91 % 1009 * 3 AS DOUBLE) AS y FROM supplier"
 _near = f"SELECT a.id AS a, b.id AS b, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d, a.line AS al, b.line AS bl FROM ({_xy}) a JOIN ({_xy}) b ON a.id < b.id"
 
 
 def near(spark, d, metres):
-    p = read(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("line"), F.expr("cast(s_suppkey * 37 % 1000 * 10 as double)").alias("x"), F.expr("cast(s_suppkey * 91 % 1009 * 10 as double)").alias("y"))
+    p = read(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("line"), F.expr("cast(s_suppkey * 37 % 1000 * 3 as double)").alias("x"), F.expr("cast(s_suppkey * 91 % 1009 * 3 as double)").alias("y"))
     line = p.select("id", "line")
     return R.near_pairs(p, metres).join(line.toDF("a", "al"), "a").join(line.toDF("b", "bl"), "b")
 
