@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from kelora.functions import constants as K
 from kelora.functions import phrases as P
-from kelora.functions import risk, text
+from kelora.functions import risk, rulings, text
 from kelora.operators import graph
 from kelora.plans.network import _conf, _isw, _mult, segments
 from kelora.plans.registry import query, read
@@ -242,7 +242,7 @@ ONSETS = f"""(SELECT event_id, date_trunc('day', ts + INTERVAL 8 HOUR) + to_seco
  LEFT JOIN (SELECT event_id, min(seconds - CASE WHEN {_is('around', YESTERDAY)} THEN 86400 ELSE 0 END) AS s FROM {MENTIONS} WHERE role = 'onset' GROUP BY event_id) USING (event_id))"""
 
 
-@query("q_dat13_onsets", f"SELECT event_id, CAST(onset AS TIMESTAMP) AS onset, basis FROM {ONSETS}")
+@query("q_dat13_onsets", f"SELECT event_id, onset, basis FROM {ONSETS}")
 def onset(spark, d):
     return onsets(statements(spark, d))
 
@@ -266,12 +266,45 @@ def headlines(spark, d):
     return statements(spark, d).select("event_id", headline(F.col("said")).alias("headline"))
 
 
-@query("q_pip09_labelled")
+LINES_STATED = ("Laluan Kelana Jaya", "Laluan Kajang", "Laluan Putrajaya", "Laluan Monorel", "Laluan Sunway")
+_line_said = f"{list(LINES_STATED)}[CAST(json_extract_string(props, '$.k') AS INTEGER) % 5 + 1]"
+
+
+def labelled_statements(spark, d) -> DataFrame:
+    """Statements that also name a line: event_id, ts, said."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    line = read(spark, d, "events").select("event_id", F.element_at(F.array(*map(F.lit, LINES_STATED)), k % 5 + 1).alias("line"))
+    return statements(spark, d).join(line, "event_id").select("event_id", "ts", F.concat("said", F.lit(" "), "line", F.lit(".")).alias("said"))
+
+
+_SAID = f"""(SELECT s.event_id, s.ts, s.said || ' ' || {_line_said} || '.' AS said FROM {STATEMENTS} s JOIN events e ON e.event_id = s.event_id)"""
+_up = "upper(trim(regexp_replace(strip_accents(said), '\\s+', ' ', 'g')))"
+_body = {g: [n for n, r in enumerate(rulings.RULES) if r[0] == g] for g in ("line", "issue", "severity", "disruption", "planned", "strong", "weak")}
+_is_rule = lambda n: f"regexp_matches(u, '{rulings.RULES[n][3].replace(chr(39), chr(39) * 2)}')"
+_sum_of = lambda ns, weight: "(" + " + ".join(f"CASE WHEN {_is_rule(n)} THEN {weight(n)} ELSE 0 END" for n in ns) + ")"
+_scored = {i: _sum_of([n for n in _body["issue"] if rulings.RULES[n][1] == i], lambda n: rulings.RULES[n][2]) for i in rulings.PRIORITY}
+_marked = {g: _sum_of(_body[g], lambda n: 1) for g in ("disruption", "planned", "strong", "weak", "line")}
+_worst = "greatest(0, " + ", ".join(f"CASE WHEN {_is_rule(n)} THEN {rulings.LEVELS.index(rulings.RULES[n][1]) * 100 + rulings.RULES[n][2]} ELSE 0 END" for n in _body["severity"]) + ")"
+_LABEL = f"""(SELECT event_id, u, {', '.join(f'{x} AS s{n}' for n, x in enumerate(_scored.values()))}, {', '.join(f'{x} AS n_{g}' for g, x in _marked.items())}, {_worst} AS worst, size FROM (SELECT event_id, {_up} AS u, length(said) AS size FROM {_SAID}))"""
+_causes = "greatest(" + ", ".join(f"s{n}" for n, i in enumerate(rulings.PRIORITY) if i in rulings.CAUSES) + f") >= {rulings.CAUSE_FLOOR}"
+_left = [f"CASE WHEN {_causes} AND s{n} < {rulings.CROWDING_FLOOR if i == 'CROWDING' else 10 ** 6} THEN 0 ELSE s{n} END" if i in ("CROWDING", "DELAY") else f"s{n}" for n, i in enumerate(rulings.PRIORITY)]
+
+
+@query("q_pip09_labelled", f"""WITH l AS MATERIALIZED {_LABEL}, f AS (SELECT *, {', '.join(f'{x} AS t{n}' for n, x in enumerate(_left))} FROM l), h AS (SELECT event_id, {_headline} AS headline FROM {_SAID})
+ SELECT event_id, headline, CASE WHEN size < {rulings.READABLE} THEN 'UNREADABLE' WHEN n_disruption = 0 OR n_line = 0 OR n_strong >= 1 THEN 'NON_INCIDENT' WHEN n_planned >= 2 AND n_disruption <= 2 THEN 'PLANNED_SERVICE_CHANGE' WHEN n_weak >= 2 AND n_weak >= n_disruption THEN 'NON_INCIDENT' ELSE 'INCIDENT' END AS kind,
+ CASE {' '.join(f"WHEN {_is_rule(n)} THEN '{rulings.RULES[n][1]}'" for n in _body['line'])} ELSE '' END AS line, CASE {' '.join(f"WHEN t{n} > 0 AND t{n} = greatest({', '.join(f't{j}' for j in range(len(_left)))}) THEN '{i}'" for n, i in enumerate(rulings.PRIORITY))} ELSE 'UNKNOWN' END AS issue,
+ {list(rulings.LEVELS)}[CAST(worst // 100 AS INTEGER) + 1] AS severity, onset, basis FROM f JOIN h USING (event_id) JOIN {ONSETS} o USING (event_id)""")
 def labelled(spark, d):
-    """Statements to labelled incidents: headline, issue, severity, stations named, onset and its basis."""
-    s = statements(spark, d)
-    p = parsed(s).select("event_id", headline(F.col("said")).alias("headline"), "issue", "severity", F.array_join(P.after(F.col("t"), P.STATION_WORDS[:3]), "|").alias("stations"), "recovery")
-    return p.join(onsets(s), "event_id")
+    """Statements to labelled incidents: headline, kind of document, line, issue, severity, onset and its basis."""
+    s = labelled_statements(spark, d)
+    u = s.select("event_id", F.length("said").alias("size"), headline(F.col("said")).alias("headline"), F.upper(rulings.plain(F.col("said"))).alias("u"))
+    u = u.select("event_id", "size", "headline", rulings.hits(F.col("u"), "line", "issue", "severity", "disruption", "planned", "strong", "weak").alias("met"))
+    worst = F.coalesce(rulings.severity_score(F.col("met")), F.lit(0))
+    # the headline is part of the text here, so issues are scored by the text alone
+    best = F.get(rulings.issue_scores(F.col("met"), F.array().cast("array<int>")), F.lit(0))["issue"]
+    u = u.select("event_id", "headline", rulings.kind(F.col("size"), F.col("met")).alias("kind"), F.coalesce(F.get(rulings.line_ids(F.col("met")), F.lit(0)), F.lit("")).alias("line"), F.coalesce(best, F.lit("UNKNOWN")).alias("issue"),
+                 F.element_at(F.array(*map(F.lit, rulings.LEVELS)), (F.floor(worst / 100) + 1).cast("int")).alias("severity"))
+    return u.join(onsets(statements(spark, d)), "event_id")
 
 
 WALK = 900  # fixed: the longest walk, in seconds
