@@ -182,18 +182,20 @@ STATED = (
     r"SIARAN MEDIA\nGANGGUAN PERKHIDMATAN NATION {A}\nKuala Lumpur, {N} Januari 2024: Kejadian berlaku kira-kira jam {T} {M} tadi di stesen Nation {A}. Isyarat rosak. Perkhidmatan dipulihkan pada pukul 11.15 malam.",
     r"MAKLUMAN STESEN {A}   Hubungi kami\nShah Alam {N} Januari. Waktu operasi ialah 6.00 pagi. Orang ramai diminta bersabar, kerana pada ketika ini tren yang membawa ramai penumpang ke pusat bandar itu gagal bergerak sejak {T} {M} semalam.",
     r"Tren di Nation {A} lambat dengan tambang 1.27 juta; jam 7 pagi menyebabkan kelewatan", r"Tiada masa dinyatakan di Nation {A}.", r"Pukul 12 tengah malam kemalangan dilaporkan {T} {M}, landasan terjejas",
+    r"Petaling Jaya, {P} Januari 2024. Pada {P} Jan 2024, kejadian berlaku kira-kira jam {T} {M} di Nation {A}.", r"Insiden pada {P} Januari 2024 di Nation {A}; stesen akan ditutup pada 1 April 2025.",
+    r"SIARAN MEDIA UNTUK SIARAN SEGERA Putrajaya, 30 Mac: Ringkas. Tren di Nation {A} terjejas sejak awal pagi! Akhir.",
 )
 _hour, _min = "extract(hour FROM ts)", "lpad(CAST(extract(minute FROM ts) AS VARCHAR), 2, '0')"
 _stated = "[" + ", ".join("'" + s.replace("\\n", "' || chr(10) || '") + "'" for s in STATED) + f"][event_id % {len(STATED)} + 1]"
-STATEMENTS = f"""(SELECT event_id, ts, replace(replace(replace(replace({_stated}, '{{A}}', CAST({_k} % 25 AS VARCHAR)), '{{T}}', CAST({_hour} % 12 + 1 AS VARCHAR) || '.' || {_min}), '{{M}}', CASE WHEN {_hour} < 11 THEN 'pagi' ELSE 'petang' END),
- '{{N}}', CAST(extract(day FROM ts) AS VARCHAR)) AS said FROM events)"""
+STATEMENTS = f"""(SELECT event_id, ts, replace(replace(replace(replace(replace({_stated}, '{{A}}', CAST({_k} % 25 AS VARCHAR)), '{{T}}', CAST({_hour} % 12 + 1 AS VARCHAR) || '.' || {_min}), '{{M}}', CASE WHEN {_hour} < 11 THEN 'pagi' ELSE 'petang' END),
+ '{{N}}', CAST(extract(day FROM ts) AS VARCHAR)), '{{P}}', CAST(greatest(1, extract(day FROM ts) - 2) AS VARCHAR)) AS said FROM events)"""
 
 
 def statements(spark, d) -> DataFrame:
     said = F.element_at(F.array(*(F.lit(s.replace("\\n", "\n")) for s in STATED)), (F.col("event_id") % len(STATED) + 1).cast("int"))
     clock = F.concat_ws(".", F.hour("ts") % 12 + 1, F.lpad(F.minute("ts").cast("string"), 2, "0"))
     k = F.get_json_object("props", "$.k").cast("int") % 25
-    for mark, x in (("{A}", k.cast("string")), ("{T}", clock), ("{M}", F.when(F.hour("ts") < 11, "pagi").otherwise("petang")), ("{N}", F.dayofmonth("ts").cast("string"))):
+    for mark, x in (("{A}", k.cast("string")), ("{T}", clock), ("{M}", F.when(F.hour("ts") < 11, "pagi").otherwise("petang")), ("{N}", F.dayofmonth("ts").cast("string")), ("{P}", F.greatest(F.lit(1), F.dayofmonth("ts") - 2).cast("string"))):
         said = F.replace(said, F.lit(mark), x)
     return read(spark, d, "events").select("event_id", "ts", said.alias("said"))
 
@@ -229,17 +231,63 @@ def mentioned_times(spark, d):
     return clock_mentions(statements(spark, d)).select("event_id", F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos"), "seconds", "role")
 
 
-def onsets(df: DataFrame) -> DataFrame:
-    """event_id, onset (UTC), basis: the earliest onset time, on the day before where the text beside it says so; else the local day of publication."""
-    day = F.date_trunc("day", F.expr("ts + interval 8 hours"))
-    m = clock_mentions(df).where("role = 'onset'").withColumn("back", F.when(F.col("around").rlike(YESTERDAY), 86400).otherwise(0))
-    first = m.groupBy("event_id").agg(F.min(F.col("seconds") - F.col("back")).alias("s"))
-    at = lambda s: F.timestamp_micros(F.unix_micros(day.cast("timestamp")) + (s - 28800) * 1_000_000).cast("timestamp_ntz")
-    return df.join(first, "event_id", "left").select("event_id", at(F.coalesce("s", F.lit(0))).alias("onset"), F.when(F.col("s").isNull(), "dateline_only").otherwise("explicit_time").alias("basis"))
+# fixed: names of months
+MONTHS = {
+    "januari": 1, "january": 1, "jan": 1, "februari": 2, "february": 2, "feb": 2, "mac": 3, "march": 3, "mar": 3, "april": 4, "apr": 4, "mei": 5, "may": 5, "june": 6, "jun": 6, "julai": 7, "july": 7, "jul": 7, "ogos": 8,
+    "august": 8, "aug": 8, "september": 9, "sept": 9, "sep": 9, "oktober": 10, "october": 10, "oct": 10, "okt": 10, "november": 11, "nov": 11, "disember": 12, "december": 12, "dec": 12, "dis": 12,
+}
+DATE = rf"(?i)\b(\d{{1,2}}\s+(?:{'|'.join(MONTHS)})\b(?:\s+\d{{4}})?)"
+AGE, REACH_BACK = 60, 220  # fixed: days that an incident may lie back, characters before a clock time in which a date is its day
+
+
+def dates(df: DataFrame) -> DataFrame:
+    """event_id, day (local day of publication), found (the dates of a text: pos, year as said, iso), dateline (clamped to day)."""
+    gaps, met = F.split("said", DATE), F.regexp_extract_all("said", F.lit(DATE), F.lit(1))
+    size = lambda a, n: F.aggregate(F.slice(a, F.lit(1), n), F.lit(0), lambda s, x: s + F.length(x))
+    month = F.create_map(*(F.lit(x) for kv in MONTHS.items() for x in kv))
+    df = df.select("event_id", "said", F.to_date(F.expr("ts + interval 8 hours")).alias("day"), gaps.alias("gaps"), met.alias("met"), F.regexp_extract("said", DATELINE + r"(?:\s+\d{4})?", 0).alias("line"))
 
+    def one(m, i=None):
+        said = F.nullif(F.regexp_extract(m, r"(\d{4})$", 1), F.lit("")).cast("int")
+        named = F.lpad(F.element_at(month, F.lower(F.regexp_extract(m, r"([A-Za-z]+)", 1))).cast("string"), 2, "0")
+        iso = F.concat(F.coalesce(said, F.year("day")).cast("string"), F.lit("-"), named, F.lit("-"), F.lpad(F.regexp_extract(m, r"^(\d{1,2})", 1), 2, "0"))
+        at = F.lit(0) if i is None else size(F.col("gaps"), i + 1) + size(F.col("met"), i)
+        return F.struct(at.alias("pos"), said.alias("year"), iso.try_cast("date").alias("iso"))
 
-ONSETS = f"""(SELECT event_id, date_trunc('day', ts + INTERVAL 8 HOUR) + to_seconds(coalesce(s, 0) - 28800) AS onset, CASE WHEN s IS NULL THEN 'dateline_only' ELSE 'explicit_time' END AS basis FROM events
- LEFT JOIN (SELECT event_id, min(seconds - CASE WHEN {_is('around', YESTERDAY)} THEN 86400 ELSE 0 END) AS s FROM {MENTIONS} WHERE role = 'onset' GROUP BY event_id) USING (event_id))"""
+    stated = one(F.regexp_extract("line", DATE, 1))["iso"]
+    return df.select("event_id", "day", F.transform("met", one).alias("found"), F.when(stated <= F.col("day"), stated).otherwise(F.col("day")).alias("dateline"))
+
+
+def onsets(df: DataFrame) -> DataFrame:
+    """event_id, onset (UTC), basis: the earliest clock time of an onset, on the day that the words beside it give (yesterday,
+    today, a date shortly before it, else the dateline); without one, the first other date with a year; else the dateline.
+
+    A dateline after the day of publication is the day of publication; a date counts if it is no later than that and at
+    most AGE days before it.
+    """
+    d = dates(df)
+    plausible = lambda x: F.datediff(F.col("day"), x["iso"]).between(0, AGE)
+    m = clock_mentions(df).where("role = 'onset'").join(d, "event_id")
+    beside = F.filter("found", lambda x: (x["pos"] < F.col("pos")) & (x["pos"] >= F.col("pos") - REACH_BACK) & plausible(x))
+    day = F.when(F.col("around").rlike(YESTERDAY), F.date_sub("day", 1)).when(F.col("around").rlike(TODAY), F.col("day")).otherwise(F.coalesce(F.get(F.reverse(beside), F.lit(0))["iso"], F.col("dateline")))
+    first = m.groupBy("event_id").agg(F.min(F.unix_date(day).cast("long") * 86400 + F.col("seconds")).alias("s"))
+    other = F.get(F.filter("found", lambda x: x["year"].isNotNull() & (x["iso"] != F.col("dateline")) & plausible(x)), F.lit(0))["iso"]
+    at = lambda s: F.timestamp_micros((s - 28800) * 1_000_000).cast("timestamp_ntz")
+    midnight = F.unix_date(F.coalesce(other, F.col("dateline"))).cast("long") * 86400
+    basis = F.when(F.col("s").isNotNull(), "explicit_time").when(other.isNotNull(), "date_only").otherwise("dateline_only")
+    return d.join(first, "event_id", "left").select("event_id", at(F.coalesce("s", midnight)).alias("onset"), basis.alias("basis"))
+
+
+_month_sql = f"{list(MONTHS.values())}[list_position({list(MONTHS)}, lower(regexp_extract(m, '[A-Za-z]+')))]"
+_iso = f"TRY_CAST(coalesce(nullif(regexp_extract(m, '(\\d{{4}})$', 1), ''), CAST(year(day) AS VARCHAR)) || '-' || lpad(CAST({_month_sql} AS VARCHAR), 2, '0') || '-' || lpad(regexp_extract(m, '^\\d{{1,2}}'), 2, '0') AS DATE)"
+_dated = f"(SELECT *, CAST(ts + INTERVAL 8 HOUR AS DATE) AS day, regexp_extract_all(said, '{DATE}', 1) AS met, string_split_regex(said, '{DATE}') AS gaps FROM {STATEMENTS})"
+_FOUND = f"""(SELECT event_id, n, pos, y, {_iso} AS iso, day FROM (SELECT event_id, day, n, met[n + 1] AS m, nullif(regexp_extract(met[n + 1], '(\\d{{4}})$', 1), '') AS y, {_len('gaps', 'n + 1')} + {_len('met', 'n')} AS pos FROM (SELECT *, unnest(range(len(met))) AS n FROM {_dated})))"""
+_DATELINE = f"""(SELECT event_id, day, CASE WHEN d <= day THEN d ELSE day END AS dateline FROM (SELECT event_id, day, CASE WHEN m <> '' THEN {_iso} END AS d FROM (SELECT event_id, day, regexp_extract(regexp_extract(said, '{DATELINE}(?:\\s+\\d{{4}})?'), '{DATE}', 1) AS m FROM {_dated})))"""
+_secs = lambda x: f"epoch(CAST({x} AS TIMESTAMP))::BIGINT"
+ONSETS = f"""(SELECT l.event_id, make_timestamp((coalesce(s, {_secs('coalesce(x.iso, dateline)')}) - 28800) * 1000000) AS onset, CASE WHEN s IS NOT NULL THEN 'explicit_time' WHEN x.iso IS NOT NULL THEN 'date_only' ELSE 'dateline_only' END AS basis FROM {_DATELINE} l
+ LEFT JOIN (SELECT m.event_id, min({_secs(f"CASE WHEN {_is('around', YESTERDAY)} THEN l.day - 1 WHEN {_is('around', TODAY)} THEN l.day ELSE coalesce(f.iso, l.dateline) END")} + m.seconds) AS s FROM {MENTIONS} m JOIN {_DATELINE} l ON l.event_id = m.event_id
+ LEFT JOIN (SELECT m.event_id, m.n, max_by(f.iso, f.n) AS iso FROM {MENTIONS} m JOIN {_FOUND} f ON f.event_id = m.event_id AND f.pos < m.pos AND f.pos >= m.pos - {REACH_BACK} AND f.day - f.iso BETWEEN 0 AND {AGE} GROUP BY ALL) f ON f.event_id = m.event_id AND f.n = m.n WHERE m.role = 'onset' GROUP BY m.event_id) o ON o.event_id = l.event_id
+ LEFT JOIN (SELECT f.event_id, min_by(f.iso, f.n) AS iso FROM {_FOUND} f JOIN {_DATELINE} l ON l.event_id = f.event_id WHERE y IS NOT NULL AND f.iso <> l.dateline AND f.day - f.iso BETWEEN 0 AND {AGE} GROUP BY f.event_id) x ON x.event_id = l.event_id)"""
 
 
 @query("q_dat13_onsets", f"SELECT event_id, onset, basis FROM {ONSETS}")
@@ -247,21 +295,47 @@ def onset(spark, d):
     return onsets(statements(spark, d))
 
 
-def headline(x):
-    """The mostly upper-case lines before the dateline, banners aside; where there are none, all lines before it."""
-    head = F.regexp_replace(F.split(x, DATELINE)[0], BANNER, " ")
-    lines = F.filter(F.transform(F.split(head, r"\n|\s{3,}"), lambda w: F.trim(w)), lambda w: w != "")
+# fixed: phrases of nearly every statement, taken out one by one; characters read where there is no dateline, least length of a sentence
+BOILERPLATE = (
+    r"SIARAN\s+MEDIA", r"KENYATAAN\s+MEDIA", r"UNTUK\s+SIARAN\s+(?:SEGERA|SEGARA)", r"KUALA\s+LUMPUR,?\s*\d{1,2}\s+[A-Za-z]+\s*\d{0,4}", r"DIKELUARKAN\s+OLEH[^.]*", r"SEBARANG\s+PERTANYAAN[^.]*", r"TAMAT",
+    r"PRASARANA\s+MALAYSIA\s+BERHAD", r"RAPID\s+RAIL\s+SDN\s+BHD", r"RAPID\s+BUS\s+SDN\s+BHD", r"RAPID\s+KL",
+)
+HEAD, SENTENCE, HEADLINE_LENGTH = 900, 20, 240
+
+
+def headline(said):
+    """The mostly upper-case runs before the dateline (without one: of the first HEAD characters), boilerplate aside; where
+    there are none, all runs; where only boilerplate stands there, the first sentence after it of over SENTENCE characters."""
+    x = rulings.plain(said)
+    parts = F.split(x, DATELINE, 2)
+    end = F.when(F.size(parts) > 1, F.length(parts[0])).otherwise(F.least(F.length(x), F.lit(HEAD)))
+    head = F.substring(x, F.lit(1), end)
+    for phrase in BOILERPLATE:
+        head = F.regexp_replace(head, phrase, " ")
+    lines = F.filter(F.transform(F.split(head, r"\s{3,}"), lambda w: F.trim(w)), lambda w: w != "")
     letters = lambda w: F.greatest(F.lit(1), F.length(F.regexp_replace(w, "[^A-Za-z]", "")))
     caps = F.filter(lines, lambda w: (F.length(F.regexp_replace(w, "[^A-Z]", "")) / letters(w) > 0.6) & (F.length(w) > 6))
-    return F.substring(F.trim(F.regexp_replace(F.array_join(F.when(F.size(caps) > 0, caps).otherwise(lines), " "), r"\s+", " ")), 1, 240)  # a headline has at most 240 characters
+    joined = F.trim(F.regexp_replace(F.array_join(F.when(F.size(caps) > 0, caps).otherwise(lines), " "), r"\s+", " "))
+    tail = F.substring(x, end + 1, F.length(x))
+    sentence = F.get(F.filter(F.split(F.regexp_replace(tail, r"([.!?])\s+", "$1\x01"), "\x01"), lambda t: F.length(F.trim(t)) > SENTENCE), F.lit(0))
+    return F.substring(F.when(joined != "", joined).otherwise(F.trim(F.coalesce(sentence, tail))), 1, HEADLINE_LENGTH)
+
+
+_plain_said = "trim(regexp_replace(translate(strip_accents(said), '‘’‛′“”–—―', '''''''''\"\"---'), '\\s+', ' ', 'g'))"
 
 
-_lines = f"list_filter(list_transform(string_split_regex(regexp_replace(string_split_regex(said, '{DATELINE}')[1], '{BANNER}', ' ', 'g'), '\\n|\\s{{3,}}'), lambda x: trim(x)), lambda x: x <> '')"
-_caps = f"list_filter({_lines}, lambda x: length(regexp_replace(x, '[^A-Z]', '', 'g')) / greatest(1, length(regexp_replace(x, '[^A-Za-z]', '', 'g'))) > 0.6 AND length(x) > 6)"
-_headline = f"substr(trim(regexp_replace(array_to_string(CASE WHEN len({_caps}) > 0 THEN {_caps} ELSE {_lines} END, ' '), '\\s+', ' ', 'g')), 1, 240)"
+def _headline_sql(source: str) -> str:
+    """SQL of (event_id, headline) of ``source`` (event_id, said)."""
+    head = "substr(x, 1, e)"
+    for phrase in BOILERPLATE:
+        head = f"regexp_replace({head}, '{phrase}', ' ', 'g')"
+    caps = "list_filter(ls, lambda w: length(regexp_replace(w, '[^A-Z]', '', 'g')) / greatest(1, length(regexp_replace(w, '[^A-Za-z]', '', 'g'))) > 0.6 AND length(w) > 6)"
+    return f"""(SELECT event_id, substr(CASE WHEN j <> '' THEN j ELSE trim(coalesce(list_filter(string_split(regexp_replace(tail, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda t: length(trim(t)) > {SENTENCE})[1], tail)) END, 1, {HEADLINE_LENGTH}) AS headline
+ FROM (SELECT event_id, tail, trim(regexp_replace(array_to_string(CASE WHEN len({caps}) > 0 THEN {caps} ELSE ls END, ' '), '\\s+', ' ', 'g')) AS j FROM (SELECT event_id, substr(x, e + 1) AS tail, list_filter(list_transform(string_split_regex({head}, '\\s{{3,}}'), lambda w: trim(w)), lambda w: w <> '') AS ls
+ FROM (SELECT event_id, x, CASE WHEN regexp_matches(x, '{DATELINE}') THEN length(string_split_regex(x, '{DATELINE}')[1]) ELSE least(length(x), {HEAD}) END AS e FROM (SELECT event_id, {_plain_said} AS x FROM {source})))))"""
 
 
-@query("q_str21_headlines", f"SELECT event_id, {_headline} AS headline FROM {STATEMENTS}")
+@query("q_str21_headlines", f"SELECT event_id, headline FROM {_headline_sql(STATEMENTS)}")
 def headlines(spark, d):
     return statements(spark, d).select("event_id", headline(F.col("said")).alias("headline"))
 
@@ -290,7 +364,7 @@ _causes = "greatest(" + ", ".join(f"s{n}" for n, i in enumerate(rulings.PRIORITY
 _left = [f"CASE WHEN {_causes} AND s{n} < {rulings.CROWDING_FLOOR if i == 'CROWDING' else 10 ** 6} THEN 0 ELSE s{n} END" if i in ("CROWDING", "DELAY") else f"s{n}" for n, i in enumerate(rulings.PRIORITY)]
 
 
-@query("q_pip09_labelled", f"""WITH l AS MATERIALIZED {_LABEL}, f AS (SELECT *, {', '.join(f'{x} AS t{n}' for n, x in enumerate(_left))} FROM l), h AS (SELECT event_id, {_headline} AS headline FROM {_SAID})
+@query("q_pip09_labelled", f"""WITH l AS MATERIALIZED {_LABEL}, f AS (SELECT *, {', '.join(f'{x} AS t{n}' for n, x in enumerate(_left))} FROM l), h AS {_headline_sql(_SAID)}
  SELECT event_id, headline, CASE WHEN size < {rulings.READABLE} THEN 'UNREADABLE' WHEN n_disruption = 0 OR n_line = 0 OR n_strong >= 1 THEN 'NON_INCIDENT' WHEN n_planned >= 2 AND n_disruption <= 2 THEN 'PLANNED_SERVICE_CHANGE' WHEN n_weak >= 2 AND n_weak >= n_disruption THEN 'NON_INCIDENT' ELSE 'INCIDENT' END AS kind,
  CASE {' '.join(f"WHEN {_is_rule(n)} THEN '{rulings.RULES[n][1]}'" for n in _body['line'])} ELSE '' END AS line, CASE {' '.join(f"WHEN t{n} > 0 AND t{n} = greatest({', '.join(f't{j}' for j in range(len(_left)))}) THEN '{i}'" for n, i in enumerate(rulings.PRIORITY))} ELSE 'UNKNOWN' END AS issue,
  {list(rulings.LEVELS)}[CAST(worst // 100 AS INTEGER) + 1] AS severity, onset, basis FROM f JOIN h USING (event_id) JOIN {ONSETS} o USING (event_id)""")
