@@ -173,4 +173,6 @@ def packed(cut: DataFrame, keys: list[str], capacity: int = CAPACITY) -> DataFra
 
 
 def op7(docs: DataFrame) -> DataFrame:
+    """A row per piece of every row of ``docs``. A null or empty text is the end id alone, repeated rows are placed one by
+    one, pieces of equal length go in the order of id, piece, start and hash; no rows give no rows."""
     return packed(stored(pieces(docs, ["doc_id"]), "pieces"), ["doc_id"])

@@ -67,7 +67,10 @@ def fit_pairs(x: np.ndarray, y: np.ndarray, seed: int = 7, ridge: float = 1.0) -
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> dict:
-    """Model from at most ``rows`` labelled documents outside the held-out fold."""
+    """Model from at most ``rows`` labelled documents outside the held-out fold.
+
+    Null labels and ids are not used; without documents of both labels all worths are equal. Null texts are empty.
+    """
 
     def shape(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -107,5 +110,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
 
 def op4(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """A row per row of ``docs``: held_out, score, predicted. Null and empty texts score as texts without words; equal texts
+    and repeated rows score alike; a null id is not held out; extra columns are not read; no rows give no rows."""
     scored = score(docs.select("doc_id", "text"), fit(docs, labels))
     return scored.select("doc_id", held_out().alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= CUT).cast("int").alias("predicted"))

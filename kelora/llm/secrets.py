@@ -396,4 +396,6 @@ def redacted(docs: DataFrame, forest: Forest | None) -> DataFrame:
 
 
 def op3(docs: DataFrame) -> DataFrame:
+    """Findings of every row of ``docs`` by a forest that is fitted on it. Null and empty texts have none; a value found
+    twice is two findings, in the order of their places, and repeated rows report theirs each; no rows give no rows."""
     return findings(docs, fit(docs))

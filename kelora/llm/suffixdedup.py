@@ -421,6 +421,9 @@ def cleaned(docs: DataFrame, length: int = LENGTH, **how) -> DataFrame:
 
 
 def op9(docs: DataFrame) -> DataFrame:
-    """The digest of ``cleaned``, and whether a document holds a passage of over 50 words that another one holds too."""
+    """The digest of ``cleaned``, and whether a document holds a passage of over 50 words that another one holds too.
+
+    A row per row of ``docs``; see ``cleaned`` for nulls and repeated rows; no rows give no rows.
+    """
     out = cleaned(docs.select("doc_id", "text"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passage_words", (F.col("n_passage_words") > 0).alias("repeats_passage"))

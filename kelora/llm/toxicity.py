@@ -322,6 +322,12 @@ def score(docs: DataFrame, model: tuple[dict[str, tuple[int, float]], np.ndarray
 
 
 def op1(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """A row per row of ``docs``: held_out, score, predicted.
+
+    Null and empty texts score as texts without a match, a null id is not held out, equal texts and repeated rows score
+    alike whatever their ids; extra columns are not read. Without labels of both kinds only the grammar's own weights
+    count; no rows give no rows.
+    """
     model = fit(docs, labels)
     return score(docs.select("doc_id", "text"), model).select(
         "doc_id", held_out().alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted")
