@@ -60,8 +60,9 @@ def next_event(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     One shuffle by key: both sides in one stream, then the next right time by a window; no inequality join.
     """
     both = left.select(key, "lid", F.col("lts").alias("t"), F.lit(0).alias("side")).unionByName(right.select(key, F.lit(None).cast("long").alias("lid"), F.col("rts").alias("t"), F.lit(1).alias("side")))
-    w = W.partitionBy(key).orderBy("t", "side").rowsBetween(0, W.unboundedFollowing)
-    nxt = F.first(F.when(F.col("side") == 1, F.col("t")), ignorenulls=True).over(w)
+    # from the latest time back: a frame that grows costs a step a row, one that shrinks is read anew for every row
+    w = W.partitionBy(key).orderBy(F.desc("t"), F.desc("side")).rowsBetween(W.unboundedPreceding, 0)
+    nxt = F.last(F.when(F.col("side") == 1, F.col("t")), ignorenulls=True).over(w)
     return both.withColumn("next_ts", nxt).where("side = 0").select(key, "lid", F.col("t").alias("lts"), "next_ts")
 
 

@@ -12,8 +12,8 @@ from kelora.operators import graph
 from kelora.operators import relational as R
 from kelora.plans.composites import _metres
 from kelora.plans.further import _imul
-from kelora.plans.registry import query, read
-from kelora.plans.reports import _k
+from kelora.plans.registry import ORACLES, query, read
+from kelora.plans.reports import _k, incidents
 
 SAME_PLACE = 60.0  # metres within which platforms are one place
 _xy = "CAST(s_suppkey * 37 % 1000 * 3 AS DOUBLE) AS x, CAST(s_suppkey * 91 % 1009 * 3 AS DOUBLE) AS y"
@@ -149,3 +149,44 @@ def corpus(spark, d):
     for mark, word in (("{S}", F.concat(F.lit("Nation "), F.col("station").cast("string"))), ("{M}", (F.col("mins") + F.col("a") * 2).cast("string")), ("{C}", of(COMPLAINTS, F.col("complaint") + F.col("a")))):
         said = F.replace(said, F.lit(mark), word)
     return p.select(F.concat("seed", F.lit("#"), F.col("author").cast("string")).alias("id"), "incident", F.col("incident").isNull().alias("decoy"), F.when(F.col("author") == 4, "REALTIME").otherwise("SOCIAL").alias("class"), "author", (F.col("onset") + minutes(F.col("delta") + F.col("later"))).alias("published"), said.alias("said"))
+
+
+MATCH_MINUTES, CUTS = 360, (0.1, 0.22, 0.32, 0.45, 0.53)  # fixed: minutes between an incident and a statement of it; thresholds
+_CORPUS = ORACLES["q_pip08_corpus"]
+_strength = "[0, .22, .32, .45, .53, .58, .60]"
+
+
+@query("q_pip10_matched", f"""WITH c AS MATERIALIZED (SELECT id, CAST(regexp_extract(said, 'Nation (\\d+)', 1) AS BIGINT) AS station, epoch_us(published) AS us FROM ({_CORPUS}) WHERE author <> 90),
+ r AS (SELECT *, sum(CASE WHEN us - prev <= 5400000000 THEN 0 ELSE 1 END) OVER (PARTITION BY station ORDER BY us, id) AS run FROM (SELECT *, lag(us) OVER (PARTITION BY station ORDER BY us, id) AS prev FROM c)),
+ m AS MATERIALIZED (SELECT station % 5 AS line, min(us) // 60000000 AS minute, {_strength}[least(count(*), 6) + 1]::DOUBLE AS score FROM r GROUP BY station, run),
+ t AS MATERIALIZED (SELECT event_id, {_k} % 5 AS line, epoch_us(ts) // 60000000 AS minute FROM events WHERE event_type = 'error'), k AS (SELECT unnest({list(CUTS)}::DOUBLE[]) AS cut),
+ e AS (SELECT m.score, EXISTS (SELECT 1 FROM t WHERE t.line = m.line AND abs(t.minute - m.minute) <= {MATCH_MINUTES}) AS hit FROM m), s AS (SELECT t.event_id, max(m.score) AS best FROM t LEFT JOIN m ON t.line = m.line AND abs(t.minute - m.minute) <= {MATCH_MINUTES} GROUP BY t.event_id)
+ SELECT k.cut AS cut, (SELECT count(*) FROM e WHERE score >= k.cut) AS emitted, (SELECT count(*) FROM e WHERE score >= k.cut AND hit) AS matched, (SELECT count(*) FROM s) AS stated, (SELECT count(*) FROM s WHERE best >= k.cut) AS found,
+ round((SELECT count(*) FROM e WHERE score >= k.cut AND hit) / nullif((SELECT count(*) FROM e WHERE score >= k.cut), 0)::DOUBLE, 6) AS precision, round((SELECT count(*) FROM s WHERE best >= k.cut) / nullif((SELECT count(*) FROM s), 0)::DOUBLE, 6) AS recall FROM k""")
+def matched(spark, d):
+    """Incidents that the evidence tells, against the incidents stated: one counts if one of its line is within 360 minutes.
+
+    Both sides are first summed by line and minute, so the interval join grows with time, not with reports.
+    """
+    c = corpus(spark, d).where("author <> 90").select(F.xxhash64("id").alias("event_id"), F.regexp_extract("said", r"Nation (\d+)", 1).alias("station"), F.unix_micros(F.col("published").cast("timestamp")).alias("us"))
+    c = graph.written(c)
+    run = incidents(c.select("event_id", "us", F.array("station").alias("keys"))).join(c.select("event_id", "us"), "event_id")
+    run = run.groupBy("incident", F.col("key").cast("long").alias("station")).agg(F.min("us").alias("us"), F.count("*").cast("int").alias("n"))
+    minute = F.floor(F.col("us") / 60_000_000)
+    m = run.select((F.col("station") % 5).alias("line"), minute.alias("minute"), risk.social_strength(F.col("n")).alias("score")).groupBy("line", "minute", "score").agg(F.count("*").alias("n"))
+    k = F.get_json_object("props", "$.k").cast("long")
+    t = read(spark, d, "events").where("event_type = 'error'").select((k % 5).alias("line"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 60_000_000).alias("minute")).groupBy("line", "minute").agg(F.count("*").alias("n"))
+    m, t = graph.written(m), graph.written(t)
+    span = lambda x: F.floor(x / MATCH_MINUTES)
+    a = m.select("line", F.col("minute").alias("at"), "score", F.col("n").alias("emitted"), F.explode(F.sequence(span(F.col("minute")) - 1, span(F.col("minute")) + 1)).alias("span"))
+    pairs = a.join(t.select("line", F.col("minute").alias("then"), F.col("n").alias("stated"), span(F.col("minute")).alias("span")), ["line", "span"]).where(F.abs(F.col("at") - F.col("then")) <= MATCH_MINUTES)
+    told = pairs.select("line", F.col("at").alias("minute"), "score", "emitted").distinct()
+    best = pairs.groupBy("line", "then", "stated").agg(F.max("score").alias("score"))
+    sums = m.agg(*(F.coalesce(F.sum(F.when(F.col("score") >= x, F.col("n"))), F.lit(0)).alias(f"e{i}") for i, x in enumerate(CUTS)))
+    hits = told.agg(*(F.coalesce(F.sum(F.when(F.col("score") >= x, F.col("emitted"))), F.lit(0)).alias(f"h{i}") for i, x in enumerate(CUTS)))
+    found = best.agg(*(F.coalesce(F.sum(F.when(F.col("score") >= x, F.col("stated"))), F.lit(0)).alias(f"f{i}") for i, x in enumerate(CUTS)))
+    total = t.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("stated"))
+    one = sums.join(hits).join(found).join(total)  # four rows of one each
+    rows = F.array(*(F.struct(F.lit(x).alias("cut"), F.col(f"e{i}").alias("emitted"), F.col(f"h{i}").alias("matched"), F.col("stated").alias("stated"), F.col(f"f{i}").alias("found")) for i, x in enumerate(CUTS)))
+    out = one.select(F.inline(rows))
+    return out.select("*", F.round(F.try_divide("matched", "emitted"), 6).alias("precision"), F.round(F.try_divide("found", "stated"), 6).alias("recall"))
