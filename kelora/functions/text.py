@@ -142,3 +142,23 @@ def typo_distance(a: Column, b: Column, budget: Column) -> Column:
     # the branch not taken reaches the Arrow batch as nulls, which cost nothing
     d = F.pandas_udf(run, "long")(F.when(near, a), F.when(near, b))
     return F.when(d <= budget, d)
+
+
+# fixed: scripts and words that tell a language
+CJK, TAMIL = r"[\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}]", r"[\x{0b80}-\x{0bff}]"
+TOKEN_GAP = r"[^A-Z\x{3400}-\x{9fff}\x{0b80}-\x{0bff}]+"
+MALAY = """DAN YANG TIDAK TAK ADA DI KE DENGAN UNTUK SAYA AKU KAMI KITA SUDAH DAH BELUM MASIH INI ITU DARI PADA AKAN BILA KALAU JIKA SANGAT LAGI SEMUA ORANG TREN STESEN LALUAN PERKHIDMATAN GANGGUAN TERJEJAS
+KELEWATAN SEKARANG KINI TADI SINI SANA BAGI TELAH BOLEH KENA PUN LAH JE KOT SEBAB""".split()
+ENGLISH = """THE IS ARE WAS WERE AND OF TO IN ON FOR WITH THIS THAT NOT HAVE HAS HAD BEEN WILL WOULD CAN COULD AT BY FROM IT ITS AS BUT OR IF WHEN ALL PEOPLE TRAIN STATION LINE SERVICE DELAY AGAIN STILL""".split()
+
+
+def detected(x: Column) -> Column:
+    """struct(language, malay, english): the script decides first (zh, ta), then the words of each language; ties are Malay,
+    no word is unknown. Shares are of all words of a text."""
+    words = F.filter(F.split(F.regexp_replace(F.upper(x), TOKEN_GAP, " "), " "), lambda w: w != "")
+    held = lambda known: F.size(F.filter(words, lambda w: w.isin(*known)))
+    script = F.when(x.rlike(CJK), "zh").when(x.rlike(TAMIL), "ta")
+    ms, en = held(MALAY), held(ENGLISH)
+    share = lambda n: F.when(script.isNull() & (F.size(words) > 0), n / F.size(words)).otherwise(0.0)
+    latin = F.when((ms == 0) & (en == 0), "unknown").when(ms >= en, "ms").otherwise("en")
+    return F.struct(F.coalesce(script, latin).alias("language"), share(ms).alias("malay"), share(en).alias("english"))
