@@ -55,6 +55,34 @@ def ranked(spark, d):
                     ((F.col("rank") == 1) & F.col("safe")).alias("recommended"), (~F.max("safe").over(own)).alias("no_safe"))
 
 
+ROAD_KMH, ROAD_LEAST = 22, 600  # fixed: road speed in the peak, least seconds of a road journey
+FRAGILE = ("if the disruption on the recommended journey clears, a faster one could lead again", "if the faster journey's risk is downgraded, it leads again", "if a disruption that nobody has reported lies on this journey, the order could change")
+_told = f"({_conf} >= {K.REPORTABLE})"
+
+
+@query("q_pip07_advisory", f"""WITH j AS (SELECT *, {_RANK} AS rank FROM {JOURNEYS}), top AS (SELECT * FROM j WHERE rank = 1), f AS (SELECT o_custkey, arg_min(l_orderkey, struct_pack(d := duration, k := l_orderkey)) AS fastest, bool_and(avoid) AS no_safe, count(*) AS journeys FROM j GROUP BY o_custkey),
+ s AS (SELECT o_custkey, l_partkey, max(round({_prob}, 6)) AS p FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey WHERE {_told} GROUP BY ALL), c AS (SELECT o_custkey, count(*) AS signals, arg_max(l_partkey, struct_pack(p := p, k := -l_partkey)) AS worst_signal FROM s GROUP BY o_custkey),
+ r AS (SELECT o_custkey, 3 + o_custkey % 97 / 400.0 AS a, 101 + o_custkey % 89 / 300.0 AS b, 3 + o_custkey * 7 % 97 / 400.0 AS c, 101 + o_custkey * 5 % 89 / 300.0 AS e FROM top)
+ SELECT top.o_custkey, CASE WHEN NOT no_safe THEN l_orderkey END AS recommended, no_safe, journeys, coalesce(signals, 0) AS signals, worst_signal, CASE WHEN no_safe THEN CAST(greatest({ROAD_LEAST}, floor(sqrt(((c - a) * 111.32) ** 2 + ((e - b) * 111.32 * cos(radians(a))) ** 2) / {ROAD_KMH} * 3600 + 0.5)) AS BIGINT) END AS by_road,
+ CASE WHEN risky > 0 THEN '{FRAGILE[0]}' WHEN fastest <> l_orderkey THEN '{FRAGILE[1].replace("'", "''")}' ELSE '{FRAGILE[2].replace("'", "''")}' END AS could_be_wrong FROM top JOIN f USING (o_custkey) JOIN r USING (o_custkey) LEFT JOIN c USING (o_custkey)""")
+def advisory(spark, d):
+    """One advisory a traveller: the best journey unless all are to be avoided (then the time by road), what could turn the
+    order round, and how many degraded segments were considered, the worst of them by name."""
+    j = graph.written(journeys(spark, d))
+    top = j.withColumn("rank", F.row_number().over(_choice())).where("rank = 1")
+    f = j.groupBy("o_custkey").agg(F.min_by("l_orderkey", F.struct("duration", "l_orderkey")).alias("fastest"), F.min("avoid").alias("no_safe"), F.count("*").alias("journeys"))
+    told = segments(spark, d).where(F.col("confidence") >= K.REPORTABLE).select(F.col("p_partkey").alias("l_partkey"), F.round(F.col("confidence") * (F.col("p_partkey") % 10) / 10.0, 6).alias("p"))
+    own = read(spark, d, "lineitem").select("l_orderkey", "l_partkey").join(read(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey").join(told, "l_partkey")
+    c = own.groupBy("o_custkey", "l_partkey").agg(F.max("p").alias("p")).groupBy("o_custkey").agg(F.count("*").alias("signals"), F.max_by("l_partkey", F.struct("p", -F.col("l_partkey"))).alias("worst_signal"))
+    lat = lambda k: 3 + F.col("o_custkey") * k % 97 / 400.0
+    lon = lambda k: 101 + F.col("o_custkey") * k % 89 / 300.0
+    km = F.sqrt(F.pow((lat(7) - lat(1)) * 111.32, F.lit(2.0)) + F.pow((lon(5) - lon(1)) * 111.32 * F.cos(F.radians(lat(1))), F.lit(2.0)))
+    road = F.greatest(F.lit(ROAD_LEAST), risk.half_up(km / ROAD_KMH * 3600)).cast("long")
+    why = F.when(F.col("risky") > 0, FRAGILE[0]).when(F.col("fastest") != F.col("l_orderkey"), FRAGILE[1]).otherwise(FRAGILE[2])
+    a = top.join(f, "o_custkey").join(c, "o_custkey", "left")
+    return a.select("o_custkey", F.when(~F.col("no_safe"), F.col("l_orderkey")).alias("recommended"), "no_safe", "journeys", F.coalesce("signals", F.lit(0)).alias("signals"), "worst_signal", F.when(F.col("no_safe"), road).alias("by_road"), why.alias("could_be_wrong"))
+
+
 SEEDS, BANS, UNIONS = 3, 2, 4  # fixed: journeys whose segments are banned, segments banned of each, journeys whose lines are banned together
 
 
