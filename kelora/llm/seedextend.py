@@ -18,30 +18,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kelora.llm.common import stored
+from kelora.llm.common import bitmap, marked, stored
 from kelora.llm.suffixdedup import Rolling, _merged, _word_buffers, anchors, word_hashes
 
 LENGTH, GRAM = 50, 16
-#: 64-bit words of a membership bitmap: its size is fixed (16 million bits), so it may be broadcast whatever the input.
-BITMAP_WORDS = 1 << 18
 NEW = ("n_words", "n_removed", "spans", "kept_text")
 
 
-def bitmap(keys: DataFrame, *names: str) -> DataFrame:
-    """(slot, bits): at most BITMAP_WORDS rows that hold a bit for each row of ``keys``."""
-    h = F.xxhash64(*names)
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(h, 20), F.lit(64)).cast("int"))
-    return keys.select(F.pmod(h, F.lit(BITMAP_WORDS)).alias("slot"), bit.alias("b")).groupBy("slot").agg(F.bit_or("b").alias("bits"))
-
-
-def marked(rows: DataFrame, bits: DataFrame, *names: str) -> DataFrame:
-    """``rows`` plus ``maybe``: false where the bitmap shows that a row's key is not in it; true is to be checked."""
-    h = F.xxhash64(*names)
-    own = rows.withColumn("slot", F.pmod(h, F.lit(BITMAP_WORDS))).join(F.broadcast(bits), "slot", "left")
-    hit = F.call_function("bit_get", F.col("bits"), F.pmod(F.shiftright(h, 20), F.lit(64)).cast("int")) == 1
-    return own.withColumn("maybe", F.coalesce(hit, F.lit(False))).drop("slot", "bits")
-
-
 def contexts(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """(doc_id, digest, key, ctx, lo, n): runs of n windows from word lo on that share an anchor, with hashes of the
     anchor's text and of the whole context. Runs that meet with one context, as in periodic texts, are one row."""

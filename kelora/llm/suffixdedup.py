@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kelora.llm.common import stored
+from kelora.llm.common import bitmap, marked, stored
 
 LENGTH, SPAN, GRAM = 400, 256, 48
 #: Words of a passage that is reported, and the words of the short grams among which its anchor is chosen.
@@ -340,7 +340,8 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, span: int = SPAN, gr
     whole = places.join(kinds.where("cnt > 1").select("key", "ctx"), ["key", "ctx"], "left_semi").select("rid", words, "lo", "hi")
     many = kinds.groupBy("key").agg(F.count("*").alias("kinds"), F.min("cnt").alias("least")).where("kinds > 1 and least = 1").select("key", "kinds")
     asked = kinds.join(many, "key").select("one.*", "key", "ctx", "cnt", "kinds")
-    wanted = asked.groupBy("rid").agg(F.collect_list(F.struct("key", "ctx", "cnt", "kinds", "p", "lo", "hi")).alias("want"))
+    wanted = stored(asked.groupBy("rid").agg(F.collect_list(F.struct("key", "ctx", "cnt", "kinds", "p", "lo", "hi")).alias("want")), "wanted")
+    some = marked(docs, stored(bitmap(wanted, "rid"), "bits"), "rid").where("maybe")  # texts without such contexts are not shuffled
 
     def bodies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -351,7 +352,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, span: int = SPAN, gr
                 yield pd.DataFrame([(rid, w["key"], w["ctx"], w["cnt"], w["kinds"], w["p"], w["lo"], w["hi"], body(w)) for w in want], columns=["rid", "key", "ctx", "cnt", "kinds", "p", "lo", "hi", "body"])
 
     kind = "rid long, key long, ctx long, cnt long, kinds long, p int, lo int, hi int, body binary"
-    parts = docs.join(wanted.hint("shuffle_hash"), "rid").select("rid", "text", "want").mapInPandas(bodies, kind)
+    parts = some.join(wanted.hint("shuffle_hash"), "rid").select("rid", "text", "want").mapInPandas(bodies, kind)
     parts = stored(parts.dropDuplicates(["key", "ctx"]), "parts")
     found = inside.unionByName(whole).unionByName(_sorted_shards(parts.where(F.col("kinds") <= shard), length, passage, shard))
     dense = parts.where(F.col("kinds") > shard)
@@ -389,20 +390,26 @@ def cleaned(docs: DataFrame, length: int = LENGTH, **how) -> DataFrame:
     Null texts are empty. Texts shorter than ``length`` bytes keep everything. Rows with equal doc_id and text are
     documents of their own: each holds the other's strings, so a long text that is copied is removed from all copies.
     """
-    rid = F.xxhash64(F.col("doc_id"), F.col("text"))
-    tagged = docs.withColumn("rid", rid)
+    # columns get numbers, so that no name of the user's meets one of this function's
+    names = [c for c in docs.columns if c.lower() not in ("n_bytes", "n_removed", "n_spans", "spans", "kept", "n_passage_words")]
+    own = [*names, *(["text"] if "text" not in names else [])]
+    numbered = [f"c{i}" for i in range(len(own))]
+    said = numbered[own.index("text")]
     # equal rows share a rid; they are told apart where contexts are counted, since each row is read on its own
+    tagged = docs.select(*(F.col(c).alias(n) for c, n in zip(own, numbered)), F.xxhash64(F.col("doc_id"), F.col("text")).alias("rid"))
     passage = how.get("passage", PASSAGE)
-    long_enough = F.length("text") * 4 >= F.least(F.lit(length), F.lit(2 * passage - 1))
-    found = repeated_windows(tagged.select("rid", "text").where(long_enough), length, **how)
-    per = found.groupBy("rid").agg(F.collect_list(F.struct("words", "lo", "hi")).alias("cover"))
-    joined = tagged.join(per.hint("shuffle_hash"), "rid", "left")
-    names = [c for c in docs.columns if c not in ("n_bytes", "n_removed", "n_spans", "spans", "kept", "n_passage_words")]
+    long_enough = F.length(said) * 4 >= F.least(F.lit(length), F.lit(2 * passage - 1))
+    found = repeated_windows(tagged.select("rid", F.col(said).alias("text")).where(long_enough), length, **how)
+    per = stored(found.groupBy("rid").agg(F.collect_list(F.struct("words", "lo", "hi")).alias("cover")), "cover")
+    tagged = marked(tagged, stored(bitmap(per, "rid"), "bits"), "rid")
+    hit = tagged.where("maybe").join(per.hint("shuffle_hash"), "rid", "left").select(*numbered, "cover")
+    joined = tagged.where("not maybe").select(*numbered, F.lit(None).cast(per.schema["cover"].dataType).alias("cover")).unionByName(hit)
+    new = ["n_bytes", "n_removed", "n_spans", "spans", "kept", "n_passage_words"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for text, cover in zip(b["text"], b["cover"]):
+            for text, cover in zip(b[said], b["cover"]):
                 raw = (text or "").encode()
                 cover = cover if cover is not None else ()
                 spans = _merged((c["lo"], c["hi"] + length) for c in cover if not c["words"])
@@ -413,11 +420,11 @@ def cleaned(docs: DataFrame, length: int = LENGTH, **how) -> DataFrame:
                     at = hi
                 kept.append(raw[at:])
                 rows.append((len(raw), sum(h - l for l, h in spans), len(spans), [{"lo": l, "hi": h} for l, h in spans], b"".join(kept), sum(h - l for l, h in passages)))
-            got = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "spans", "kept", "n_passage_words"], index=b.index)
-            yield pd.concat([b[names], got], axis=1)
+            yield pd.concat([b[numbered[: len(names)]], pd.DataFrame(rows, columns=new, index=b.index)], axis=1)
 
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    return joined.select(*names, *(["text"] if "text" not in names else []), "cover").mapInPandas(run, f"{kinds}, n_bytes long, n_removed long, n_spans long, spans array<struct<lo:long,hi:long>>, kept binary, n_passage_words long")
+    kinds = ", ".join(f"{n} {docs.schema[c].dataType.simpleString()}" for c, n in zip(names, numbered))
+    out = joined.mapInPandas(run, f"{kinds}, n_bytes long, n_removed long, n_spans long, spans array<struct<lo:long,hi:long>>, kept binary, n_passage_words long")
+    return out.select(*(F.col(n).alias(c) for c, n in zip(names, numbered)), *new)
 
 
 def op9(docs: DataFrame) -> DataFrame:
