@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kelora.functions import constants as K
 from kelora.functions import risk
 from kelora.functions.rulings import LEVELS
 from kelora.operators import graph
@@ -70,6 +71,40 @@ def aliases(spark, d):
     return each.groupBy("alias").agg(F.min_by(F.struct("rank", "place", "places"), "rank").alias("m")).select("alias", "m.*")
 
 
+WALKABLE = 350.0  # fixed: metres of a walk between stations
+_geo = "3 + s_suppkey * 37 % 1000 / 40000.0 AS lat, 101 + s_suppkey * 91 % 1009 / 40000.0 AS lon"
+
+
+def walkable(stations: DataFrame, metres: float = WALKABLE) -> DataFrame:
+    """(a, b, metres, seconds): walks between stations (id, line, name, lat, lon) of different lines that share a name or lie
+    at most ``metres`` apart on the sphere, in both directions.
+
+    Candidates by distance come from a grid in metres that is a hundredth too wide, the sphere decides; stations of one
+    name are linked to the name's first one, so a common name costs two rows a station.
+    """
+    degree = 111_195.0  # metres of a degree of latitude
+    flat = stations.select("id", (F.col("lon") * F.cos(F.radians(F.col("lat"))) * degree).alias("x"), (F.col("lat") * degree).alias("y"))
+    near = R.near_pairs(flat, metres * 1.01 + 2.0).select("a", "b")
+    first = stations.groupBy("name").agg(F.min("id").alias("a"))
+    named = stations.join(first, "name").where("a <> id").select("a", F.col("id").alias("b"))
+    p = lambda e: stations.select(F.col("id").alias(e), F.col("line").alias(f"line_{e}"), F.col("name").alias(f"name_{e}"), F.col("lat").alias(f"lat_{e}"), F.col("lon").alias(f"lon_{e}"))
+    pairs = near.unionByName(named).distinct().join(p("a"), "a").join(p("b"), "b").where("line_a <> line_b")
+    pairs = pairs.withColumn("metres", risk.haversine(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b"))).where((F.col("metres") <= metres) | (F.col("name_a") == F.col("name_b")))
+    out = pairs.select("a", "b", "metres", risk.walk_seconds(F.col("metres")).cast("long").alias("seconds"))
+    return out.unionByName(out.select(F.col("b").alias("a"), F.col("a").alias("b"), "metres", "seconds"))
+
+
+_walk_m = _metres("a.lat", "a.lon", "b.lat", "b.lon")
+
+
+@query("q_jon06_walks", f"""WITH p AS (SELECT s_suppkey AS id, s_nationkey AS line, 'HUB ' || (s_suppkey * 7 % greatest(1, n * 3 // 4)) AS name, {_geo} FROM supplier, (SELECT count(*) AS n FROM supplier)), f AS (SELECT name, min(id) AS id FROM p GROUP BY name),
+ w AS (SELECT a.id AS a, b.id AS b, {_walk_m} AS m FROM p a JOIN p b ON a.id < b.id AND a.line <> b.line JOIN f ON f.name = a.name WHERE {_walk_m} <= {WALKABLE} OR (a.name = b.name AND f.id = a.id)), s AS (SELECT a, b, m, CAST(floor(greatest({K.WALK_BASE}, least({K.WALK_CAP}, {K.WALK_BASE} + m / {K.WALK_SPEED})) + 0.5) AS BIGINT) AS seconds FROM w)
+ SELECT a, b, round(m, 3) AS metres, seconds FROM s UNION ALL SELECT b, a, round(m, 3), seconds FROM s""")
+def walks(spark, d):
+    s = platforms(spark, d).select("id", "line", "name").join(read(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), *(F.expr(x.split(" AS ")[0]).alias(x.split(" AS ")[1]) for x in _geo.split(", "))), "id")
+    return walkable(graph.written(s)).select("a", "b", F.round("metres", 3).alias("metres"), "seconds")
+
+
 _ORD = "l_shipdate, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity"
 _calls = f"(SELECT l_orderkey AS trip, l_orderkey % 7 AS line, l_orderkey % 2 AS way, l_suppkey AS s, row_number() OVER w AS n, lead(l_suppkey) OVER w AS t, 60 + CAST(l_quantity AS BIGINT) AS run FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY {_ORD}))"
 

@@ -8,7 +8,7 @@ from kelora.functions import text
 from kelora.operators import graph
 from kelora.plans.composites import STATEMENTS, _headline_sql, headline, statements
 from kelora.plans.registry import query
-from kelora.plans.reports import INCIDENTS, REPORTS, incidents, reports, witnesses
+from kelora.plans.reports import INCIDENTS, PARSED, REPORTS, incidents, parsed, reports, witnesses
 
 SLUG = 140  # fixed: characters of a headline that tell statements apart
 
@@ -68,3 +68,11 @@ def traces(spark, d):
         step(F.lit(STEPS[2]), text_("at ", F.col("place")), F.col("place")),
         step(F.when(F.col("told").isNull(), "Operator has not confirmed").otherwise("Operator confirmed"), F.when(F.col("told").isNull(), "no statement yet").otherwise(text_(later, " minutes after the first report")), F.col("official")))
     return a.select("incident", F.posexplode(steps)).select("incident", (F.col("pos") + 1).alias("step"), "col.label", "col.detail", "col.refs")
+
+
+@query("q_str17_authors", f"""SELECT p.event_id, CASE WHEN p.event_id % 11 = 0 THEN 1.0 ELSE round(repost, 6) END AS repost, repost >= 0.5 OR p.event_id % 11 = 0 AS is_repost, CASE WHEN p.event_id % 11 = 0 THEN (user_id + 1) % 150 ELSE user_id END AS author FROM {PARSED} p""")
+def authors(spark, d):
+    """Whose words a report carries: a stated original author goes before the account that posted it."""
+    structured = F.col("event_id") % 11 == 0  # every eleventh report states another author
+    p = parsed(reports(spark, d)).select("event_id", "user_id", "repost")
+    return p.select("event_id", F.when(structured, 1.0).otherwise(F.round("repost", 6)).alias("repost"), ((F.col("repost") >= 0.5) | structured).alias("is_repost"), F.when(structured, (F.col("user_id") + 1) % 150).otherwise(F.col("user_id")).alias("author"))
