@@ -10,13 +10,12 @@ from kelora.functions import constants as K
 from kelora.functions import risk
 from kelora.functions.rulings import LEVELS
 from kelora.operators import graph
-from kelora.operators import relational as R
+from kelora.operators.places import SAME_PLACE, WALKABLE, places, walkable
 from kelora.plans.composites import _metres
 from kelora.plans.further import _imul
 from kelora.plans.registry import ORACLES, query, read
 from kelora.plans.reports import _k, incidents
 
-SAME_PLACE = 60.0  # metres within which platforms are one place
 _xy = "CAST(s_suppkey * 37 % 1000 * 3 AS DOUBLE) AS x, CAST(s_suppkey * 91 % 1009 * 3 AS DOUBLE) AS y"
 _P = f"(SELECT s_suppkey AS id, s_nationkey AS line, 'HUB ' || (s_suppkey * 7 % greatest(1, n * 3 // 4)) AS name, {_xy} FROM supplier, (SELECT count(*) AS n FROM supplier))"
 _PLACES = f"""p AS MATERIALIZED {_P}, e AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON a.id <> b.id AND (a.name = b.name OR sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= {SAME_PLACE} OR (least(a.id, b.id) % 13 = 0 AND abs(a.id - b.id) = 1)) ),
@@ -30,17 +29,6 @@ def platforms(spark, d) -> DataFrame:
     return s.select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("line"), F.concat(F.lit("HUB "), (F.col("s_suppkey") * 7 % max(1, n * 3 // 4)).cast("string")).alias("name"), F.expr(_xy.split(" AS x")[0]).alias("x"), F.expr(_xy.split(", ")[1].split(" AS y")[0]).alias("y"))
 
 
-def places(p: DataFrame, listed: DataFrame, metres: float = SAME_PLACE) -> DataFrame:
-    """(id, place): platforms of one name, of the curated list (a, b) or near each other are one place, named by its smallest id.
-
-    A name's platforms are all linked to its first one, so a common name costs one link a platform.
-    """
-    first = p.groupBy("name").agg(F.min("id").alias("a"))
-    named = p.join(first, "name").where("a <> id").select("a", F.col("id").alias("b"))
-    near = R.near_pairs(p.select("id", "x", "y"), metres).select("a", "b")
-    return graph.components(p.select("id"), named.unionByName(near).unionByName(listed)).select("id", F.col("root").alias("place"))
-
-
 def located_platforms(spark, d) -> DataFrame:
     p = graph.written(platforms(spark, d))
     listed = p.where("id % 13 = 0").select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).join(p.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b")
@@ -71,29 +59,9 @@ def aliases(spark, d):
     return each.groupBy("alias").agg(F.min_by(F.struct("rank", "place", "places"), "rank").alias("m")).select("alias", "m.*")
 
 
-WALKABLE = 350.0  # fixed: metres of a walk between stations
 _geo = "3 + s_suppkey * 37 % 1000 / 40000.0 AS lat, 101 + s_suppkey * 91 % 1009 / 40000.0 AS lon"
 
 
-def walkable(stations: DataFrame, metres: float = WALKABLE) -> DataFrame:
-    """(a, b, metres, seconds): walks between stations (id, line, name, lat, lon) of different lines that share a name or lie
-    at most ``metres`` apart on the sphere, in both directions.
-
-    Candidates by distance come from a grid in metres that is a hundredth too wide, the sphere decides; stations of one
-    name are linked to the name's first one, so a common name costs two rows a station.
-    """
-    degree = 111_195.0  # metres of a degree of latitude
-    flat = stations.select("id", (F.col("lon") * F.cos(F.radians(F.col("lat"))) * degree).alias("x"), (F.col("lat") * degree).alias("y"))
-    near = R.near_pairs(flat, metres * 1.01 + 2.0).select("a", "b")
-    first = stations.groupBy("name").agg(F.min("id").alias("a"))
-    named = stations.join(first, "name").where("a <> id").select("a", F.col("id").alias("b"))
-    p = lambda e: stations.select(F.col("id").alias(e), F.col("line").alias(f"line_{e}"), F.col("name").alias(f"name_{e}"), F.col("lat").alias(f"lat_{e}"), F.col("lon").alias(f"lon_{e}"))
-    pairs = near.unionByName(named).distinct().join(p("a"), "a").join(p("b"), "b").where("line_a <> line_b")
-    pairs = pairs.withColumn("metres", risk.haversine(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b"))).where((F.col("metres") <= metres) | (F.col("name_a") == F.col("name_b")))
-    out = pairs.select("a", "b", "metres", risk.walk_seconds(F.col("metres")).cast("long").alias("seconds"))
-    return out.unionByName(out.select(F.col("b").alias("a"), F.col("a").alias("b"), "metres", "seconds"))
-
-
 _walk_m = _metres("a.lat", "a.lon", "b.lat", "b.lon")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kelora.operators import graph
+from kelora.operators.places import flat, places
 from kelora.sources import committed
 
 VERSION = "1.0.0"
@@ -76,3 +78,19 @@ def load_compact(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     if torn:
         raise ValueError(f"compact network: stops stated twice: {', '.join(str(r.stop_id) for r in torn)}")
     return each, patterns
+
+
+def index(tables: dict[str, DataFrame], listed: DataFrame | None = None) -> DataFrame:
+    """id, name, place, lines, interchange of every station of a network (``load`` or ``corpus.snapshot``).
+
+    Stations of one name, of the curated list (a, b) or near each other are one place, named by its smallest id; a
+    station's lines are those that its links serve anywhere in its place. Ids may be text.
+    """
+    s = graph.written(tables["stations"].select("id", "name", "lat", "lon"))
+    none = s.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+    own = graph.written(places(s.select("id", "name").join(flat(s), "id"), none if listed is None else listed))
+    links = tables["segments"]
+    served = links.select(F.col("fromStationId").alias("id"), "lineId").unionByName(links.select(F.col("toStationId").alias("id"), "lineId")).distinct()
+    lines = served.join(own, "id").groupBy("place").agg(F.sort_array(F.collect_set("lineId")).alias("lines"))  # the lines of one place
+    out = s.join(own, "id").join(lines, "place", "left").withColumn("lines", F.coalesce("lines", F.array().cast("array<string>")))
+    return out.select("id", "name", "place", "lines", (F.size("lines") > 1).alias("interchange"))

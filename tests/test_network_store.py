@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from kelora.operators.places import places
 from kelora.plans import entities
 from kelora.sources import corpus, network
 
@@ -61,4 +62,14 @@ def test_corpus_is_the_same_whatever_the_partitions(spark, sf, monkeypatch):
 def test_places_by_name_list_and_distance(spark):
     p = spark.createDataFrame([(1, 0, "x", 0.0, 0.0), (2, 1, "x", 900.0, 900.0), (3, 2, "y", 930.0, 900.0), (4, 3, "z", 5000.0, 0.0), (5, 3, "w", 9000.0, 0.0), (6, 3, "v", 20000.0, 0.0)], "id long, line long, name string, x double, y double")
     listed = spark.createDataFrame([(4, 5)], "a long, b long")
-    assert {r.id: r.place for r in entities.places(p, listed).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6}
+    assert {r.id: r.place for r in places(p, listed).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6}
+
+
+def test_index_of_a_snapshot(spark, tmp_path):
+    """Platforms a and c share a name, d lies beside b: two places, one of them an interchange."""
+    (tmp_path / "n.json").write_text("""{"lines": [{"id": "L", "shortName": "L"}, {"id": "M", "shortName": "M"}], "stations": [{"id": "a", "name": "Hub", "lat": 3.0, "lon": 101.0}, {"id": "b", "name": "B", "lat": 3.1, "lon": 101.1},
+        {"id": "c", "name": "Hub", "lat": 3.2, "lon": 101.2}, {"id": "d", "name": "D", "lat": 3.1002, "lon": 101.1}, {"id": "", "name": "no id"}], "segments": [{"id": "1", "lineId": "L", "fromStationId": "a", "toStationId": "b"}, {"id": "2", "lineId": "M", "fromStationId": "c", "toStationId": "x"}]}""")
+    got = {r.id: (r.place, r.lines, r.interchange) for r in network.index(corpus.snapshot(spark, str(tmp_path / "n.json"))).collect()}
+    assert got == {"a": ("a", ["L", "M"], True), "c": ("a", ["L", "M"], True), "b": ("b", ["L"], False), "d": ("b", ["L"], False)}
+    listed = spark.createDataFrame([("a", "b")], "a string, b string")
+    assert {r.place for r in network.index(corpus.snapshot(spark, str(tmp_path / "n.json")), listed).collect()} == {"a"}
