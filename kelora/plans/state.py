@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from kelora.operators import graph
 from kelora.plans.registry import query, read
-from kelora.sources import committed
+from kelora.sources import committed, snapshots
 
 HALF = "1995-01-01"  # orders before it are the first of the two writes
 _child = "l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity"
@@ -55,3 +55,27 @@ def synchronised(spark, d):
         changes = committed.synchronised(root, "state", e.where(F.col("ts") < F.lit(stop).cast("timestamp_ntz")), ["segment"], "ts")
         runs.append(changes.select(F.lit(n).alias("run"), "segment", F.col("was.event_id").alias("was"), F.col("now.event_id").alias("now"), F.col("now.event_type").alias("kind")))
     return runs[0].unionByName(runs[1]).unionByName(runs[2])
+
+
+@query("q_snk06_lines", "SELECT event_id, user_id, event_type, round(value, 4) AS value, CAST(ts AS VARCHAR)[1:19] AS ts FROM events")
+def lines(spark, d):
+    """Rows as JSON lines, written and parsed back."""
+    root = graph.scratch(spark)
+    e = read(spark, d, "events").select("event_id", "user_id", "event_type", F.round("value", 4).alias("value"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))
+    snapshots.ndjson(e, root)
+    return spark.read.text(root).select(F.from_json("value", e.schema).alias("r")).select("r.*")
+
+
+@query("q_snk10_appended", f"""WITH e AS (SELECT {_k} AS segment, ts, value FROM events), s AS ({' UNION ALL '.join(f"SELECT {n} AS snapshot, segment, count(*) AS n, max(ts) AS last_ts, round(max(value), 4) AS worst FROM e WHERE ts < TIMESTAMP '{t}' GROUP BY segment" for n, t in enumerate(STOPS))})
+ SELECT segment, count(*) AS snapshots, max(n) AS readings, max(last_ts) AS last_ts, max(worst) - min(worst) AS risen FROM s GROUP BY segment""")
+def appended(spark, d):
+    """Three risk snapshots are appended one after the other; the history of each segment is read from all of them, and the
+    newest is what ``snapshots.read`` gives."""
+    root = graph.scratch(spark)
+    e = read(spark, d, "events").select(F.get_json_object("props", "$.k").cast("long").alias("segment"), "ts", "value")
+    for n, stop in enumerate(STOPS):
+        now = e.where(F.col("ts") < F.lit(stop).cast("timestamp_ntz")).groupBy("segment").agg(F.count("*").alias("n"), F.max("ts").alias("last_ts"), F.round(F.max("value"), 4).alias("worst"))
+        snapshots.write(now, root, n)
+    history = spark.read.parquet(root).groupBy("segment").agg(F.count("*").alias("snapshots"), (F.max("worst") - F.min("worst")).alias("risen"))
+    newest = snapshots.read(spark, root).select("segment", F.col("n").alias("readings"), "last_ts")
+    return history.join(newest, "segment").select("segment", "snapshots", "readings", "last_ts", "risen")
