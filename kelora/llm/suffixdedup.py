@@ -338,7 +338,8 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, span: int = SPAN, gr
     one = F.min(F.struct("rid", "p", "lo", "hi")).alias("one")
     kinds = stored(places.groupBy("key", "ctx").agg(F.sum("n").alias("cnt"), one), "kinds")
     whole = places.join(kinds.where("cnt > 1").select("key", "ctx"), ["key", "ctx"], "left_semi").select("rid", words, "lo", "hi")
-    many = kinds.groupBy("key").agg(F.count("*").alias("kinds"), F.min("cnt").alias("least")).where("kinds > 1 and least = 1").select("key", "kinds")
+    # written, so that both sides of the next join are plain exchanges and a hot anchor's partition can be split
+    many = stored(kinds.groupBy("key").agg(F.count("*").alias("kinds"), F.min("cnt").alias("least")).where("kinds > 1 and least = 1").select("key", "kinds"), "many")
     asked = kinds.join(many, "key").select("one.*", "key", "ctx", "cnt", "kinds")
     wanted = stored(asked.groupBy("rid").agg(F.collect_list(F.struct("key", "ctx", "cnt", "kinds", "p", "lo", "hi")).alias("want")), "wanted")
     some = marked(docs, stored(bitmap(wanted, "rid"), "bits"), "rid").where("maybe")  # texts without such contexts are not shuffled
