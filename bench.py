@@ -12,7 +12,7 @@ SF = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 NAMES = """q_agg02_noisy_or q_flt01_active q_agg04_distinct_authors q_agg12_median q_jon23_next_departure q_jon24_interval_match q_jon30_reconcile q_stm05_sessions q_mth16_calibrated
 q_agg24_journey_hazard q_jon01_stop_times_trips q_win01_stop_pairs q_win02_interpolate q_win05_rank q_jon10_frequency_expansion q_jon06_interchanges q_agg05_repost_collapse q_flt14_document_class q_gra01_earliest_arrival
-q_str16_phrases q_pip04_verified q_str20_statements q_stm06_head_clusters q_gra01_connection_scan""".split()
+q_str16_phrases q_pip04_verified""".split()
 
 
 def main() -> None:
