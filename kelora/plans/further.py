@@ -384,7 +384,7 @@ _knot22 = f"CASE WHEN {_conf22} <= 0.4 THEN {_conf22} WHEN {_conf22} <= 0.7 THEN
 
 @query("q_mth22_priced_risk", f"SELECT p_partkey, nullif(floor(({_mult} - 1) * {_isw} * ({_knot22}) * (p_retailprice / 10) + 0.5), 0) AS penalty_seconds FROM part")
 def priced_risk(spark, d):  # probability times confidence prices a segment; a healthy one has no price
-    p = risk.penalty_seconds(F.col("severity"), F.col("issue"), F.col("confidence") * (F.col("p_partkey") % 10) / 10.0, F.col("p_retailprice") / 10)
+    p = risk.penalty_seconds(F.col("severity"), F.col("issue"), F.col("confidence") * ((F.col("p_partkey") % 10) / 10.0), F.col("p_retailprice") / 10)
     return segments(spark, d).select("p_partkey", F.when(p > 0, p).alias("penalty_seconds"))
 
 
