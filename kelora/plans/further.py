@@ -90,8 +90,7 @@ _near = f"SELECT a.id AS a, b.id AS b, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)
 
 def near(spark, d, metres):
     p = read(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("line"), F.expr("cast(s_suppkey * 37 % 1000 * 3 as double)").alias("x"), F.expr("cast(s_suppkey * 91 % 1009 * 3 as double)").alias("y"))
-    line = p.select("id", "line")
-    return R.near_pairs(p, metres).join(line.toDF("a", "al"), "a").join(line.toDF("b", "bl"), "b")
+    return R.near_points(p, metres).select("cell", "slice", F.col("l.id").alias("a"), F.col("r.id").alias("b"), "d", F.col("l.line").alias("al"), F.col("r.line").alias("bl"))
 
 
 @query("q_jon07_same_place", f"SELECT a, b FROM ({_near}) WHERE d <= 250")
@@ -106,7 +105,8 @@ def transfers(spark, d):
 
 @query("q_srt03_nearest_first", f"SELECT a, list(b ORDER BY d, b) AS footpaths FROM ({_near}) WHERE d <= 400 GROUP BY a")
 def nearest_first(spark, d):
-    one = near(spark, d, 400.0).groupBy("a").agg(F.sort_array(F.collect_list(F.struct("d", "b"))).alias("f"))
+    # all pairs of a station are in one slice of its cell, where they are sorted without another shuffle
+    one = near(spark, d, 400.0).groupBy("cell", "slice", "a").agg(F.sort_array(F.collect_list(F.struct("d", "b"))).alias("f"))
     return one.select("a", F.transform("f", lambda x: x.b).alias("footpaths"))
 
 
