@@ -112,7 +112,7 @@ def hits(t: Column) -> Column:
     """Array of (issue or null, severity level, weight): the rules that match folded text, each pattern run once."""
     rules = [(r, i, s, w) for r, i, s, w in ISSUES] + [(r, None, s, w) for r, s, w in SEVERITIES]
     row = lambda i, s, w: F.struct(F.lit(i).cast("string").alias("issue"), F.lit(LEVELS.index(s)).alias("level"), F.lit(w).alias("weight"))
-    return F.array_compact(F.array(*(F.when(t.rlike(r), row(i, s, w)) for r, i, s, w in rules)))
+    return F.array_compact(F.array(*(F.when(text.matches(t, r), row(i, s, w)) for r, i, s, w in rules)))
 
 
 def _weight(hit: Column, keep) -> Column:
@@ -151,21 +151,21 @@ def severity_confidence(worst: Column) -> Column:
 
 def days_ago(t: Column) -> Column:
     """Days that the text says have passed: by phrase, then by a bare past year, then 0 for now; else null."""
-    return F.coalesce(*(F.when(t.rlike(r), F.lit(n)) for r, n in PAST), F.when(t.rlike(PAST_YEAR), F.lit(YEAR_DAYS)), F.when(t.rlike(NOW), F.lit(0)))
+    return F.coalesce(*(F.when(text.matches(t, r), F.lit(n)) for r, n in PAST), F.when(text.matches(t, PAST_YEAR), F.lit(YEAR_DAYS)), F.when(text.matches(t, NOW), F.lit(0)))
 
 
 def recovered(t: Column) -> Column:
-    return t.rlike(RECOVERY)
+    return text.matches(t, RECOVERY)
 
 
 def ongoing(t: Column, past: Column, over: Column) -> Column:
     """Said to go on, or said of now without a past or an end."""
-    return t.rlike(ONGOING) | (t.rlike(NOW) & ~past & ~over)
+    return text.matches(t, ONGOING) | (text.matches(t, NOW) & ~past & ~over)
 
 
 def marked(t: Column, markers) -> Column:
     """Sum of the weights of the markers found, a third each, at most 1."""
-    return F.least(F.lit(1.0), reduce(lambda a, b: a + b, (F.when(t.rlike(r), F.lit(w)).otherwise(0.0) for r, w in markers)) / 3)
+    return F.least(F.lit(1.0), reduce(lambda a, b: a + b, (F.when(text.matches(t, r), F.lit(w)).otherwise(0.0) for r, w in markers)) / 3)
 
 
 def stale(t: Column, live: Column, days: Column) -> Column:

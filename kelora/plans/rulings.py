@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kelora.functions import rulings as R
-from kelora.plans.registry import query, read
+from kelora.plans.registry import dealt, query, read
 from kelora.plans.reports import _k
 
 # what statements say; between them every rule of the tables speaks
@@ -42,7 +42,7 @@ def statements(spark, d) -> DataFrame:
     station = lambda n: F.concat(F.lit("Nation "), (n % 25).cast("string"))
     where = F.replace(F.replace(pick(STATIONS_SAID, e + k), F.lit("{A}"), station(k)), F.lit("{B}"), station(k + 5))
     long = F.concat(pick(PHRASES, e), F.lit(". "), pick(PHRASES, div(e, _n) + k), F.lit(".  Prasarana memaklumkan pelanggan di "), where, F.lit(". "), pick(LINE_SAID, div(e, 5) + k))
-    return read(spark, d, "events").select("event_id", pick(PHRASES, div(e * 7 + k, 3)).alias("head"), F.when(e % 17 == 0, pick(PHRASES, e)).otherwise(long).alias("body"))
+    return dealt(read(spark, d, "events"), "event_id").select("event_id", pick(PHRASES, div(e * 7 + k, 3)).alias("head"), F.when(e % 17 == 0, pick(PHRASES, e)).otherwise(long).alias("body"))
 
 
 _plain = lambda c: f"trim(regexp_replace(translate(strip_accents({c}), '‘’‛′“”–—―', '''''''''\"\"---'), '\\s+', ' ', 'g'))"
