@@ -3,7 +3,7 @@
 Texts with equal shingle sets are one node. At Jaccard 0.8 SimHash fingerprints differ in about ten of 64 bits, so the
 blocks that op5 deals its trees by (three bits) would be too short to tell texts apart. Here shards are MinHash bands
 (BANDS keys of ROWS minima): a pair of similarity 0.8 shares one with probability 1 - (1 - 0.8^4)^20 = 0.99997. Each
-node is first compared with one hub of each of its shards, which settles dense groups in linear work. Shards that then
+node's fingerprint is first compared with that of one hub, the root, of each of its shards, which settles dense groups in linear work. Shards that then
 still hold different components build BK-trees over the nodes' SimHash fingerprints and follow only edges within
 RADIUS bits, 4.2 standard deviations above the mean of a pair of similarity 0.8. Every candidate is verified by the exact
 Jaccard similarity of the whole texts' shingle sets, in the shard's own task; only links that join components leave it.
@@ -100,6 +100,11 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(second, "b").join(first, "a").select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
 
 
+def by_hub(keyed: DataFrame) -> DataFrame:
+    """Rows of ``keyed`` (node, fp, hub, hub_fp, ...) whose SimHash fingerprint is within RADIUS of their hub's."""
+    return keyed.where((F.col("node") != F.col("hub")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("hub_fp"))) <= RADIUS))
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """(doc_id, digest, component): a row for each row of ``docs`` (doc_id, digest, text); near copies share a component.
 
@@ -108,14 +113,15 @@ def groups(docs: DataFrame) -> DataFrame:
     signed = stored(signatures(docs, ["doc_id", "digest"]), "signatures")
     nodes = signed.groupBy("node").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.min("digest").alias("digest"))
     keyed = nodes.select("node", "digest", "fp", F.posexplode("bands").alias("band", "key"))
-    hubs = keyed.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1").drop("n")
+    hubs = keyed.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("node").alias("hub"), F.min_by("fp", "node").alias("hub_fp")).where("n > 1").drop("n")
     keyed = stored(keyed.join(hubs, ["band", "key"]), "buckets")  # shared buckets only
     # one text of each node that shares a bucket; equal digests are equal texts
     wanted = keyed.groupBy("node").agg(F.min("digest").alias("d"))
     own = docs.select("digest", "text").join(wanted, F.col("digest").eqNullSafe(F.col("d")))
     sets = stored(shingle_sets(own.groupBy("node").agg(F.first("text").alias("text"))), "sets")
 
-    to_hubs = keyed.where("node <> hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
+    # the hub is the root of its shard's tree: fingerprints tell candidates here as everywhere in the trees
+    to_hubs = by_hub(keyed).select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
     links = stored(verified(to_hubs, sets), "verified")
     found = components(links)
     placed = keyed.join(found, F.col("node") == F.col("id"), "left").select(F.col("band").alias("pair"), "key", F.col("node").alias("id"), "fp", F.coalesce("root", "node").alias("root"))
