@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from itertools import groupby
+from operator import itemgetter
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -65,6 +69,73 @@ def greedy_matches(pairs: DataFrame, key: str) -> DataFrame:
     return spans.groupBy(key, "block").applyInPandas(fold, "lid long, rid long")
 
 
+def nearest_matches(left: DataFrame, right: DataFrame, key: str, minutes: int) -> DataFrame:
+    """(lid, rid): one-to-one, in the order of lid; each takes its closest unmatched partner of the key, ties by rid.
+
+    ``left``: key, lid, lts. ``right``: key, rid, rts. Partners are at most ``minutes`` apart; rows without key, id or time
+    have none. These are the ``greedy_matches`` of all such pairs, but no pair is built. Nothing reaches across a gap over
+    ``minutes``: gaps are found between spans of that length, one row per span of a key, and the rows between two gaps are
+    a block. A task reads its blocks as one stream, in order, and holds a single block.
+    """
+    limit = minutes * 60_000_000
+    side = lambda rows, own, at, is_left: rows.select(F.col(key).alias("key"), F.col(own).alias("id"), F.unix_micros(F.col(at).cast("timestamp")).alias("at"), F.lit(is_left).alias("is_left"))
+    rows = side(left, "lid", "lts", True).unionByName(side(right, "rid", "rts", False)).where("key is not null and id is not null and at is not null")
+    rows = rows.withColumn("span", F.floor(F.col("at") / limit))
+    w = W.partitionBy("key").orderBy("span")
+    spans = rows.groupBy("key", "span").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    spans = spans.withColumn("fresh", F.coalesce((F.col("first") - F.lag("last").over(w) > limit).cast("int"), F.lit(1)))
+    items = rows.join(spans.select("key", "span", F.sum("fresh").over(w).alias("block")), ["key", "span"]).select("key", "block", "at", "is_left", "id")
+
+    def fold(batches):
+        stream = (r for g in batches for r in zip(*(g[c].tolist() for c in ("key", "block", "at", "is_left", "id"))))
+        out = []
+        for _, own in groupby(stream, key=itemgetter(0, 1)):
+            out += nearest_of_block([r[2:] for r in own], limit)
+            if len(out) >= 10_000:
+                yield pd.DataFrame(out, columns=["lid", "rid"])
+                out = []
+        yield pd.DataFrame(out, columns=["lid", "rid"])
+
+    return items.repartition("key", "block").sortWithinPartitions("key", "block").mapInPandas(fold, "lid long, rid long")
+
+
+def nearest_of_block(rows: list[tuple[int, bool, int]], limit: int) -> list[tuple[int, int]]:
+    """The matches of one block of (at, is_left, id). Each moment keeps its unmatched right ids, the smallest last; one that
+    has none left points to its neighbours, so that the nearest on either side is found by a few steps."""
+    lefts = sorted((i, t) for t, is_left, i in rows if is_left)
+    waiting: dict[int, list[int]] = {}
+    for i, t in sorted(((i, t) for t, is_left, i in rows if not is_left), reverse=True) if lefts else ():
+        waiting.setdefault(t, []).append(i)
+    moments, n = sorted(waiting), len(waiting)
+    down, up = list(range(n + 2)), list(range(n + 2))  # moments count from 1; 0 and n + 1 are the ends
+    taken: set[int] = set()
+    out = []
+
+    def free(link: list[int], i: int) -> int:
+        while 0 < i <= n:
+            own = waiting[moments[i - 1]]
+            while own and own[-1] in taken:
+                own.pop()
+            if own:
+                return i
+            if link[i] == i:
+                down[i], up[i] = i - 1, i + 1
+            link[i] = link[link[i]]
+            i = link[i]
+        return 0
+
+    for lid, own in groupby(lefts if moments else (), key=itemgetter(0)):
+        near = []
+        for _, t in own:
+            k = bisect_right(moments, t)
+            near += [(abs(moments[i - 1] - t), waiting[moments[i - 1]][-1]) for i in (free(down, k), free(up, k + 1)) if i]
+        best = min((x for x in near if x[0] <= limit), default=None)
+        if best:
+            taken.add(best[1])
+            out.append((lid, best[1]))
+    return out
+
+
 def head_clusters(candidates: DataFrame, minutes: int = 120) -> DataFrame:
     """(id, head): each candidate (id, key, ts) joins the first cluster of its key whose head is at most ``minutes`` older.
 
