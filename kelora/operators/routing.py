@@ -43,28 +43,35 @@ def earliest_arrivals(queries: DataFrame, stops: DataFrame, walks: DataFrame | N
     return labels
 
 
-def journeys(queries: DataFrame, stops: DataFrame, rounds: int, max_wait: int = 3600, banned: DataFrame | None = None) -> DataFrame:
+def journeys(queries: DataFrame, stops: DataFrame, rounds: int, max_wait: int = 3600, banned: DataFrame | None = None, ends: DataFrame | None = None) -> DataFrame:
     """(query, station, arrival, trips): the earliest arrival and the trips ridden; ties go to fewer, then smaller trips.
 
-    ``queries``: query, station, depart. ``stops``: trip, seq, station, time, line. ``banned``: query, line; a query
-    never boards a line that is banned for it. ``query`` may be of any type, so one run serves many plans.
+    ``queries``: query, station, depart. ``stops``: trip, seq, station, time, line; a written table, since a round reads it
+    twice. ``banned``: query, line; a query never boards a line that is banned for it. ``ends``: query, station; only what
+    arrives there is told, so the last round looks at no trips but those that call there. ``query`` may be of any type, so
+    one run serves many plans.
     """
-    stops = written(stops)  # read twice a round
     labels = queries.select("query", "station", F.col("depart").alias("arrival"), F.expr("cast(array() as array<bigint>)").alias("trips"))
     board = stops.select("trip", "line", F.col("seq").alias("from_seq"), "station", F.col("time").alias("leave"))
     later = stops.select("trip", "seq", F.col("station").alias("to"), F.col("time").alias("reach"))
+    allowed = lambda caught: caught if banned is None else caught.join(banned, ["query", "line"], "left_anti")
     for k in range(1, rounds + 1):
-        caught = labels.where(F.size("trips") == k - 1).join(board, "station")
-        caught = caught.where((F.col("leave") >= F.col("arrival") + CHANGE_SECONDS) if k > 1 else F.col("leave").between(F.col("arrival"), F.col("arrival") + max_wait))
-        if banned is not None:
-            caught = caught.join(banned, ["query", "line"], "left_anti")
-        on = caught.groupBy("query", "trip").agg(F.min(F.struct("from_seq", "trips")).alias("b"))
-        rode = on.join(later, "trip").where(F.col("seq") > F.col("b.from_seq"))
+        frontier = labels.where(F.size("trips") == k - 1)
+        in_time = (F.col("leave") >= F.col("arrival") + CHANGE_SECONDS) if k > 1 else F.col("leave").between(F.col("arrival"), F.col("arrival") + max_wait)
+        if ends is None or k < rounds:
+            caught = allowed(frontier.join(board, "station").where(in_time))
+            on = caught.groupBy("query", "trip").agg(F.min(F.struct("from_seq", "trips")).alias("b"))
+            rode = on.join(later, "trip").where(F.col("seq") > F.col("b.from_seq"))
+        else:  # backwards from the ends: the stops of their trips before they call there, then the labels at these stops
+            calls = allowed(ends.select("query", F.col("station").alias("to")).join(stops.select("trip", "line", "seq", F.col("station").alias("to"), F.col("time").alias("reach")), "to"))
+            before = calls.drop("line").join(board.drop("line"), "trip").where(F.col("from_seq") < F.col("seq"))
+            caught = before.join(frontier, ["query", "station"]).where(in_time)
+            rode = caught.groupBy("query", "trip", "seq", "to", "reach").agg(F.min(F.struct("from_seq", "trips")).alias("b"))
         rode = rode.select("query", F.col("to").alias("station"), F.col("reach").alias("arrival"), F.concat("b.trips", F.array("trip")).alias("trips"))
         best = F.min(F.struct("arrival", F.size("trips").alias("rides"), "trips")).alias("l")
         labels = labels.unionByName(rode).groupBy("query", "station").agg(best).select("query", "station", "l.arrival", "l.trips")
         labels = written(labels) if k < rounds else labels  # read twice in the next round
-    return labels
+    return labels if ends is None else labels.join(ends, ["query", "station"], "left_semi")
 
 
 def diverse(queries: DataFrame, stops: DataFrame, rounds: int, most: int = 6) -> DataFrame:
@@ -73,14 +80,17 @@ def diverse(queries: DataFrame, stops: DataFrame, rounds: int, most: int = 6) ->
     ``queries``: query, station, depart, dest. Each line of the fastest journey makes one plan that bans it; all plans
     are rows of one second run. Journeys with the same trips count once, and the ``most`` earliest stay.
     """
-    ends = queries.select("query", F.col("dest").alias("station"))
-    # read twice below, so it is written once
-    fastest = written(journeys(queries, stops, rounds).join(ends, ["query", "station"]).where(F.size("trips") > 0).select("query", "arrival", "trips"))
-    lines = stops.select("trip", "line").distinct()
-    used = fastest.select("query", F.explode("trips").alias("trip")).join(lines, "trip").select("query", "line").distinct()
-    plans = queries.join(used, "query").select(F.struct("query", "line").alias("plan"), "line", "station", "depart", "dest").withColumnRenamed("plan", "query")
-    other = journeys(plans, stops, rounds, banned=plans.select("query", "line"))
-    other = other.join(plans.select("query", F.col("dest").alias("station")), ["query", "station"]).where(F.size("trips") > 0)
+    queries = written(queries)  # few rows, read by every step
+    if rounds <= 2:  # the first ride leaves an origin and the last one ends at a destination: no other trip is ridden
+        places = queries.select("station").union(queries.select("dest")).distinct()
+        stops = stops.join(stops.join(places, "station").select("trip").distinct(), "trip", "left_semi")
+    stops = written(stops)  # both runs read it
+    at = lambda rows: rows.select("query", F.col("dest").alias("station"))
+    fastest = journeys(queries, stops, rounds, ends=at(queries)).where(F.size("trips") > 0)
+    fastest = written(fastest.select("query", "arrival", "trips"))  # read twice below
+    used = fastest.select("query", F.explode("trips").alias("trip")).join(stops, "trip").select("query", "line").distinct()
+    plans = written(queries.join(used, "query").select(F.struct("query", "line").alias("plan"), "line", "station", "depart", "dest").withColumnRenamed("plan", "query"))
+    other = journeys(plans, stops, rounds, banned=plans.select("query", "line"), ends=at(plans)).where(F.size("trips") > 0)
     found = fastest.unionByName(other.select("query.query", "arrival", "trips")).groupBy("query", "trips").agg(F.min("arrival").alias("arrival"))
     place = F.row_number().over(W.partitionBy("query").orderBy("arrival", F.size("trips"), "trips"))
     return found.withColumn("rank", place).where(F.col("rank") <= most).select("query", "arrival", "trips", "rank")
